@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import wire
 from tidemark.functions.avro import avro_decoder, avro_encoder
+from tidemark.functions.once import computed_once
 from tidemark.functions.records import Field, record_fields
 
 CODECS = ("avro_arrow", "avro_jar", "json")
 
 
 def split_frames(raw: DataFrame) -> DataFrame:
-    """Add ``valid_magic, schema_id, payload`` to messages with a binary ``value``."""
+    """Add ``valid_magic, schema_id, payload`` to messages with a binary ``value``; without the magic byte
+    the rest of the header means nothing and stays null."""
     value = F.col("value")
+    magic = F.coalesce(wire.has_magic(value), F.lit(False))
     return raw.withColumns(
         {
-            "valid_magic": F.coalesce(wire.has_magic(value), F.lit(False)),
-            "schema_id": wire.schema_id(value),
-            "payload": wire.payload(value),
+            "valid_magic": magic,
+            "schema_id": F.when(magic, wire.schema_id(value)),
+            "payload": F.when(magic, wire.payload(value)),
         }
     )
 
@@ -41,19 +46,22 @@ def decode_messages(
     fields = record_fields(reader)
     known = F.col("schema_id").isin(*sorted(writers))
     framed = split_frames(raw)
-    body = F.when(F.col("valid_magic") & known, F.col("payload"))
+    body = F.when(known, F.col("payload"))
     if codec == "avro_arrow":
-        stored = framed.withColumn("stored", avro_decoder(writers, reader)(F.col("schema_id"), body))
+        stored = avro_decoder(writers, reader)(F.col("schema_id"), body)
     elif codec == "json":
-        stored = framed.withColumn("stored", _from_json(body, fields))
+        stored = _from_json(body, fields)
     else:
-        stored = framed.withColumn("stored", _from_avro(writers, reader))
-    logical = codec != "avro_jar"  # from_avro already yields logical types
-    values = [
-        (f.to_logical(F.col(f"stored.`{f.name}`")) if logical else F.col(f"stored.`{f.name}`")).alias(f.name)
-        for f in fields
-    ]
-    empty = F.col("stored").isNull() | ~F.greatest(*[F.col(f"stored.`{f.name}`").isNotNull() for f in fields])
+        stored = _from_avro(writers, reader)
+    parsed = computed_once(framed, stored, "stored")
+
+    def value_of(f: Field) -> Column:
+        value = F.col(f"stored.`{f.name}`")
+        return value if codec == "avro_jar" else f.to_logical(value)  # from_avro yields logical types
+
+    empty = F.col("stored").isNull()
+    if codec == "avro_jar":  # from_avro turns bytes it cannot read into a record of nulls
+        empty = empty | reduce(and_, [F.col(f"stored.`{f.name}`").isNull() for f in fields])
     reason = (
         F.when(F.col("value").isNull(), "null_value")
         .when(~F.col("valid_magic"), "bad_magic")
@@ -62,7 +70,8 @@ def decode_messages(
         .when(empty, "malformed")
         .when(F.col(f"stored.`{required}`").isNull(), "null_user")
     )
-    return stored.select(
+    values = [value_of(f).alias(f.name) for f in fields]
+    return parsed.select(
         *raw.columns, "schema_id", F.when(~empty, F.struct(*values)).alias("e"), reason.alias("reason")
     )
 

@@ -5,47 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.once import computed_once
 from tidemark.functions.records import Field, record_fields
 
 # VARIANT types that a field of each primitive accepts (an integer is a fine double).
+_NUMBERS = ["BIGINT", "DECIMAL", "FLOAT", "DOUBLE"]
 _ACCEPTED = {
-    "string": r"^STRING$",
-    "boolean": r"^BOOLEAN$",
-    "int": r"^BIGINT$",
-    "long": r"^BIGINT$",
-    "float": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
-    "double": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
-    "bytes": r"^(STRING|BINARY)$",
+    "string": ["STRING"],
+    "bytes": ["STRING", "BINARY"],
+    "boolean": ["BOOLEAN"],
+    "int": ["BIGINT"],
+    "long": ["BIGINT"],
+    "float": _NUMBERS,
+    "double": _NUMBERS,
 }
 
 
-def _type_of(record: Column, name: str) -> Column:
-    """VARIANT type of a field: null when absent, VOID when null."""
-    return F.schema_of_variant(F.try_variant_get(record, f"$['{name}']", "variant"))
+def _field_check(record: Column, field: Field) -> Column:
+    """What the contract wants of a field beside the type it has: null when absent, VOID when null."""
+    accepted = _ACCEPTED[field.primitive] + (["VOID"] if field.nullable else [])
+    kind = F.schema_of_variant(F.try_variant_get(record, f"$['{field.name}']", "variant"))
+    return F.struct(
+        F.lit(field.name).alias("name"),
+        F.lit(field.logical or field.primitive).alias("wanted"),
+        F.array(*map(F.lit, accepted)).alias("accepted"),
+        F.lit(not field.has_default).alias("required"),
+        F.substring_index(kind, "(", 1).alias("kind"),
+    )
 
 
-def _field_error(record: Column, field: Field) -> Column:
-    kind = _type_of(record, field.name)
-    accepted = _ACCEPTED[field.primitive]
-    fits = kind.rlike(accepted)
-    if field.nullable:
-        fits = fits | (kind == "VOID")
-    wanted = field.logical or field.primitive
-    wrong = F.concat(F.lit(f"{field.name}: expected {wanted} (got "), kind, F.lit(")"))
-    absent = None if field.has_default else F.lit(f"{field.name}: required field is missing")
-    return F.when(kind.isNull(), absent).when(~fits, wrong)
+def _message(check: Column) -> Column:
+    missing = F.when(check["required"], F.concat(check["name"], F.lit(": required field is missing")))
+    wrong = F.concat(check["name"], F.lit(": expected "), check["wanted"], F.lit(" (got "), check["kind"], F.lit(")"))
+    return F.when(check["kind"].isNull(), missing).when(~F.array_contains(check["accepted"], check["kind"]), wrong)
 
 
 def contract_errors(record: Column, schema: str) -> Column:
     """Array of messages, one per field that breaks the contract; fields the contract lacks are ignored."""
-    errors = F.filter(F.array(*[_field_error(record, f) for f in record_fields(schema)]), lambda e: e.isNotNull())
+    checks = F.array(*[_field_check(record, f) for f in record_fields(schema)])
+    errors = F.filter(F.transform(checks, _message), lambda e: e.isNotNull())
     not_record = F.array(F.lit("record: not a JSON object"))
     return F.when(record.isNull() | ~F.schema_of_variant(record).startswith("OBJECT"), not_record).otherwise(errors)
 
 
 def check_records(records: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Add ``record`` (VARIANT) and ``errors`` to JSON text."""
-    parsed = records.withColumn("record", F.try_parse_json(F.col(column).cast("string")))
+    parsed = computed_once(records, F.try_parse_json(F.col(column).cast("string")), "record")
     return parsed.withColumn("errors", contract_errors(F.col("record"), schema))
 
 

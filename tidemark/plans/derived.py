@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import wire
 from tidemark.operators.decode import encode_payload
+from tidemark.operators.contracts import subject_name
 from tidemark.operators.monitor import QUERY_NAMES
 from tidemark.operators.profiles import latest_profile
 from tidemark.operators.serving import lookup_batch
@@ -115,7 +116,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"type":"record","name":"Order","doc":"'), F.col("o_orderpriority"), F.lit('","fields":['), fields, F.lit("]}")
     )
     return orders.select(
-        F.concat(padded_id("c", F.col("o_custkey"), 6), F.lit("-value")).alias("subject"),
+        subject_name(padded_id("c", F.col("o_custkey"), 6)).alias("subject"),
         F.col("o_orderkey").cast("int").alias("version"),
         (F.col("o_orderkey") + 1).cast("int").alias("schema_id"),
         F.when(F.col("o_totalprice") < 5000, '{"broken').otherwise(schema).alias("schema"),

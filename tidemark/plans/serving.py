@@ -101,7 +101,7 @@ from (select cast(generate_subscripts({REQUEST}, 1) - 1 as bigint) as pos, unnes
 left join profile p using (user_id)""",
     "lookup_request_table": sql.with_(sql.EVENTS, LOOKUPS)
     + "select pos, user_id, found, last_seen_ms, freshness_ms from answers",
-    "lookup_log": sql.with_(sql.EVENTS, LOOKUPS) + "select user_id, found, latency_ms, "at" from answers where found",
+    "lookup_log": sql.with_(sql.EVENTS, LOOKUPS) + 'select user_id, found, latency_ms, "at" from answers where found',
     "serving_recent": sql.with_(sql.EVENTS, LOOKUPS + _RECENT) + "select * from recent",
     "serving_latency_recent": sql.with_(sql.EVENTS, LOOKUPS + _RECENT) + _percentiles("recent", "samples", 3, **_FLOOR),
     "latency_floor": sql.with_(sql.EVENTS, LOOKUPS) + _percentiles("answers", "samples", 3, **_FLOOR),
