@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["windows", "store", "serving", "wire", "contracts", "monitor"]
+AREAS = ["windows", "store", "serving", "wire", "contracts", "monitor", "streams"]
 
 
 def queries() -> dict:

@@ -25,8 +25,8 @@ ev as (
 )"""
 
 
-def windows(name: str, length_s: int, slide_s: int, source: str = "ev") -> str:
-    """A CTE with one row per (user, window) and unrounded parts finished as the features are published."""
+def windows(name: str, length_s: int, slide_s: int, source: str = "ev", keep: str = "true") -> str:
+    """CTEs ending in ``name``: one row per (user, window); ``keep`` filters (event, window) pairs."""
     length, slide = length_s * 1_000_000, slide_s * 1_000_000
     copies = -(-length_s // slide_s)
     return f"""
@@ -34,6 +34,7 @@ def windows(name: str, length_s: int, slide_s: int, source: str = "ev") -> str:
   select e.*, (epoch_us(event_ts) // {slide}) * {slide} - k * {slide} as start_us
   from {source} e, range(0, {copies}) r(k)
   where (epoch_us(event_ts) // {slide}) * {slide} - k * {slide} + {length} > epoch_us(event_ts)
+    and {keep.format(end=f"make_timestamp((epoch_us(event_ts) // {slide}) * {slide} - k * {slide} + {length})")}
 ),
 {name}_sums as (
   select user_id, start_us,

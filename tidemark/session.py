@@ -25,3 +25,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def streaming_session(spark: SparkSession, shuffle_partitions: int | None = None) -> SparkSession:
+    """A session for streaming queries: UTC, RocksDB state, and its own shuffle width.
+
+    The width is written into a checkpoint and cannot change afterwards, so it is chosen per job (the
+    number of topic partitions or cores) and not taken from whatever the batch session uses.
+    """
+    session = use_utc(spark.newSession())
+    session.conf.set("spark.sql.shuffle.partitions", shuffle_partitions or spark.sparkContext.defaultParallelism)
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE_STORE)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return session

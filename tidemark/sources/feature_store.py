@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.store import GROUP_SUFFIX, GUARDS, compact, feature_vectors, fold_log, to_log
+from tidemark.operators.ordered import SPAN
+from tidemark.operators.store import GUARDS, compact, feature_vectors, fold_log, to_log
 
 
 class FeatureStore:
@@ -23,7 +24,7 @@ class FeatureStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
-        self.on_null = on_null
+        self.on_null = on_null  # must not change between compactions of one store
         self.rows_per_file = rows_per_file
 
     # -- files
@@ -36,6 +37,10 @@ class FeatureStore:
         jpath, fs = self._path(path)
         return fs.exists(jpath)
 
+    def _children(self, path: str) -> list[str]:
+        jpath, fs = self._path(path)
+        return [status.getPath().getName() for status in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
     def _bucket(self, user_id: Column) -> Column:
         return F.pmod(F.xxhash64(user_id), F.lit(self.buckets)).cast("int")
 
@@ -54,14 +59,20 @@ class FeatureStore:
     # -- reading
 
     def groups(self) -> list[str]:
-        known = [g for g in GROUP_SUFFIX if self._exists(f"{self.root}/log/grp={g}")]
-        return known
+        names = self._children(f"{self.root}/log")
+        return sorted(n.removeprefix("grp=") for n in names if n.startswith("grp="))
+
+    def batches(self, grp: str, after: int = -1) -> list[int]:
+        """Ids of the batches written for a group, from directory names."""
+        names = self._children(f"{self.root}/log/grp={grp}")
+        ids = [int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")]
+        return sorted(i for i in ids if i > after)
 
-    def log(self, grp: str, after: int = -1) -> DataFrame:
-        """Log rows of a group from batches later than ``after``; older batch directories are not read."""
-        table = self.spark.read.parquet(f"{self.root}/log/grp={grp}")
-        rows = table.where(F.col("batch_id") > after).drop("batch_id")
-        return rows.withColumn("grp", F.lit(grp))
+    def log(self, grp: str, batches: Sequence[int]) -> DataFrame:
+        """Log rows of the named batches; no other batch directory is listed or read."""
+        base = f"{self.root}/log/grp={grp}"
+        rows = self.spark.read.option("basePath", base).parquet(*[f"{base}/batch_id={i}" for i in batches])
+        return rows.drop("batch_id").withColumn("grp", F.lit(grp))
 
     def manifest(self) -> tuple[int, dict[str, int]]:
         """Published snapshot version (0 if none) and the last folded batch per group."""
@@ -81,17 +92,23 @@ class FeatureStore:
         return table.drop("bucket").withColumn("grp", F.lit(grp))
 
     def fold(self, grp: str, users: Sequence[str] | None = None) -> DataFrame:
-        """Current state of a group: the published snapshot with later batches folded in.
-
-        A user has one row per batch since the last compaction, which bounds the plain window used here.
-        """
+        """Current state of a group: the published snapshot with later batches folded in."""
         version, folded = self.manifest()
-        later = self.log(grp, folded.get(grp, -1))
+        snapshot = self.snapshot(grp, version, users) if grp in folded else None
+        return self._fold(grp, snapshot, self.batches(grp, folded.get(grp, -1)), users)
+
+    def _fold(self, grp: str, snapshot: DataFrame | None, batches: Sequence[int],
+              users: Sequence[str] | None = None) -> DataFrame:
+        if not batches:
+            return snapshot
+        later = self.log(grp, batches)
         if users is not None:
             later = later.where(F.col("user_id").isin(*users))
-        if grp not in folded:
-            return fold_log(later, self.on_null, span=None)
-        return compact(self.snapshot(grp, version, users), later, self.on_null, span=None)
+        # a user has one row per batch, so few batches allow the plain window
+        span = None if len(batches) <= SPAN else SPAN
+        if snapshot is None:
+            return fold_log(later, self.on_null, span)
+        return compact(snapshot, later, self.on_null, span)
 
     def vectors(self, users: Sequence[str] | None = None) -> DataFrame:
         return feature_vectors({g: self.fold(g, users) for g in self.groups()})
@@ -103,15 +120,11 @@ class FeatureStore:
         version, folded = self.manifest()
         marks = []
         for grp in self.groups():
-            log = self.spark.read.parquet(f"{self.root}/log/grp={grp}")
-            last = log.agg(F.max("batch_id")).first()[0]  # from directory names
-            if last is None:
+            batches = self.batches(grp, folded.get(grp, -1))
+            snapshot = self.snapshot(grp, version) if grp in folded else None
+            if not batches and snapshot is None:
                 continue
-            later = self.log(grp, folded.get(grp, -1)).where(F.col("seq") <= last)
-            if grp in folded:
-                state = compact(self.snapshot(grp, version), later, self.on_null, span=None)
-            else:
-                state = fold_log(later, self.on_null, span=None)
+            state = self._fold(grp, snapshot, batches)
             (
                 state.drop("grp")
                 .withColumn("bucket", self._bucket(F.col("user_id")))
@@ -122,7 +135,7 @@ class FeatureStore:
                 .partitionBy("bucket")
                 .parquet(f"{self.root}/snapshot/version={version + 1}/grp={grp}")
             )
-            marks.append((grp, int(last)))
+            marks.append((grp, batches[-1] if batches else folded[grp]))
         if not marks:
             return version
         marked = self.spark.createDataFrame(marks, "grp string, last_batch bigint").coalesce(1)
@@ -139,12 +152,9 @@ class FeatureStore:
         return removed
 
     def _delete_children(self, path: str, prefix: str, upto: int) -> int:
-        jpath, fs = self._path(path)
-        if not fs.exists(jpath):
-            return 0
         removed = 0
-        for status in fs.listStatus(jpath):
-            name = status.getPath().getName()
-            if name.startswith(prefix) and int(name[len(prefix):]) <= upto:
-                removed += bool(fs.delete(status.getPath(), True))
+        for name in self._children(path):
+            if name.startswith(prefix) and int(name.removeprefix(prefix)) <= upto:
+                jpath, fs = self._path(f"{path}/{name}")
+                removed += bool(fs.delete(jpath, True))
         return removed
