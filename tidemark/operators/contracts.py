@@ -206,16 +206,20 @@ def _with_ids(decided: DataFrame, contracts: DataFrame, span: int | None) -> Dat
     bases = sizes.select("bucket", F.sum("size").over(past).alias("base"))
     inside = Window.partitionBy("bucket").orderBy("subject", "seq")
     numbered = fresh.withColumn("rank", F.row_number().over(inside)).join(bases, "bucket")
-    ids = numbered.select("subject", "seq", (F.col("base") + F.col("rank")).alias("new_id"))
-    out = versioned.join(ids, ["subject", "seq"], "left")
-    same = F.col("status") == "unchanged"
+    # repeats of a schema registered in this run find it under the turn that registered it
+    given = numbered.select(
+        "subject", "first_seq", F.struct(F.col("new_version").alias("version"), (F.col("base") + F.col("rank")).alias("schema_id")).alias("given")
+    )
+    out = decided.join(given, ["subject", "first_seq"], "left")
+    settled = F.col("status").isin("registered", "unchanged")
+    pick = lambda name: F.coalesce(F.col(f"known.{name}"), F.col(f"given.{name}"))
     return out.select(
         "subject",
         "seq",
         "schema",
         "status",
-        F.when(new, F.col("new_version")).when(same, F.col("known.version")).cast("int").alias("version"),
-        F.when(new, F.col("new_id")).when(same, F.col("known.schema_id")).cast("int").alias("schema_id"),
+        F.when(settled, pick("version")).cast("int").alias("version"),
+        F.when(settled, pick("schema_id")).cast("int").alias("schema_id"),
     )
 
 

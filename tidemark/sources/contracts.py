@@ -13,7 +13,7 @@ VERSION_LIMIT = 10_000  # versions of one subject that a driver may hold
 
 def schema_files(spark: SparkSession, directory: str) -> DataFrame:
     """``version, schema`` of the files ``v<number>.avsc``, ordered by the number."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "v*.avsc").text(directory)
+    texts = spark.read.text(directory, wholetext=True, pathGlobFilter="v*.avsc")
     number = F.regexp_extract(F.col("_metadata.file_name"), r"^v([0-9]+)\.avsc$", 1)
     return (
         texts.select(number.alias("n"), F.col("value").alias("schema"))
