@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.once import computed_once
 from tidemark.operators.ordered import SPAN, running_before
+from tidemark.session import written_once
 
 DEFAULT_LEVEL = "BACKWARD"
 _ID_BUCKETS = 4096
@@ -39,21 +41,33 @@ def type_text(text: Column) -> Column:
     return F.when(text.startswith("["), union).otherwise(one(text))
 
 
-def contract_fields(contracts: DataFrame) -> DataFrame:
-    """One row per field of each version: position, shown type, canonical type, whether it has a default.
+def parsed_fields(schema: Column) -> Column:
+    """Fields of a schema in order: name, shown type, canonical type, whether it has a default.
 
-    Fields are parsed as maps, which keeps "no default" apart from "default null".
+    Fields are parsed as maps, which keeps "no default" apart from "default null". Text that is no record
+    has no fields.
     """
-    parsed = F.from_json("schema", "fields array<map<string,string>>")
-    exploded = contracts.select(*contracts.columns, F.posexplode(parsed["fields"]).alias("pos", "f"))
+    fields = F.from_json(schema, "fields array<map<string,string>>")["fields"]
+    described = F.transform(
+        fields,
+        lambda f: F.struct(
+            f["name"].alias("name"),
+            type_text(f["type"]).alias("type"),
+            canonical_type(f["type"]).alias("canonical"),
+            F.map_contains_key(f, "default").alias("has_default"),
+        ),
+    )
+    return F.coalesce(described, F.array().cast(_FIELDS))
+
+
+_FIELDS = "array<struct<name:string,type:string,canonical:string,has_default:boolean>>"
+
+
+def contract_fields(contracts: DataFrame) -> DataFrame:
+    """One row per field of each version."""
     kept = [c for c in contracts.columns if c != "schema"]
-    return exploded.select(
-        *kept,
-        "pos",
-        F.col("f")["name"].alias("name"),
-        type_text(F.col("f")["type"]).alias("type"),
-        canonical_type(F.col("f")["type"]).alias("canonical"),
-        F.map_contains_key("f", "default").alias("has_default"),
+    return contracts.select(*kept, F.posexplode(parsed_fields(F.col("schema"))).alias("pos", "f")).select(
+        *kept, "pos", "f.*"
     )
 
 
@@ -73,44 +87,82 @@ def is_valid_schema(schema: Column) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def with_previous(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
-    """Add ``previous``: the version number registered just before in the same subject."""
+def previous_versions(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
+    """``subject, version, previous``: the version registered just before in the same subject."""
     numbers = contracts.select("subject", "version", F.col("version").alias("_v"))
-    pairs = running_before(numbers, ["subject"], "version", "_v", "previous", span=span).drop("_v")
-    return contracts.join(pairs, ["subject", "version"])
-
-
-def _issues(new_fields: DataFrame, old_fields: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``new_fields`` that a reader on the new schema could not fill from old data."""
-    old = old_fields.select(*on, "name", F.col("canonical").alias("old_type"))
-    joined = new_fields.join(old, [*on, "name"], "left")
-    shown = lambda t: F.when(_is_json(t), t).otherwise(F.concat(F.lit("'"), t, F.lit("'")))
-    issue = F.when(
-        F.col("old_type").isNull(),
-        F.when(~F.col("has_default"), F.concat(F.lit("new field '"), F.col("name"), F.lit("' has no default"))),
-    ).when(
-        F.col("old_type") != F.col("canonical"),
-        F.concat(
-            F.lit("field '"), F.col("name"), F.lit("' changed type "), shown(F.col("old_type")),
-            F.lit(" -> "), shown(F.col("canonical")),
-        ),
+    return running_before(numbers, ["subject"], "version", "_v", "previous", span=span).drop("_v")
+
+
+def paired_versions(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
+    """Every version beside the one before it: ``subject, version, mine, before`` (null for the first).
+
+    Each schema is parsed once and sent to two places, its own version and its successor's; one grouping
+    brings the pairs together. Which version comes next is found on the numbers alone.
+    """
+    numbers = contracts.select("subject", "version", (-F.col("version")).alias("_back"))
+    later = running_before(numbers.withColumn("_v", F.col("_back")), ["subject"], "_back", "_v", "_next", span=span)
+    nexts = later.select("subject", "version", (-F.col("_next")).alias("next"))
+    own = F.struct(
+        "version", "schema_id", schema_doc(F.col("schema")).alias("doc"), parsed_fields(F.col("schema")).alias("fields")
+    )
+    parsed = contracts.join(nexts, ["subject", "version"]).select("subject", "version", "next", own.alias("own"))
+    places = F.array(
+        F.struct(F.col("version").alias("at"), F.lit(True).alias("mine"), F.col("own").alias("c")),
+        F.struct(F.col("next").alias("at"), F.lit(False).alias("mine"), F.col("own").alias("c")),
+    )
+    sent = parsed.select("subject", F.inline(places)).where(F.col("at").isNotNull())
+    return sent.groupBy("subject", F.col("at").alias("version")).agg(
+        F.max(F.when(F.col("mine"), F.col("c"))).alias("mine"),
+        F.max(F.when(~F.col("mine"), F.col("c"))).alias("before"),
     )
-    return joined.withColumn("issue", issue).where(F.col("issue").isNotNull())
+
+
+def _named(fields: Column, name: Column) -> Column:
+    """The field of that name, or null; of repeated names the last counts."""
+    return F.get(F.reverse(F.filter(fields, lambda o: o["name"] == name)), F.lit(0))
+
+
+def _shown(canonical: Column) -> Column:
+    return F.when(_is_json(canonical), canonical).otherwise(F.concat(F.lit("'"), canonical, F.lit("'")))
+
+
+def issue_list(new: Column, old: Column) -> Column:
+    """``name, issue`` for fields of ``new`` that a reader could not fill from data written with ``old``."""
+
+    def beside(f: Column) -> Column:
+        return F.struct(
+            f["name"].alias("name"), f["canonical"].alias("now"), f["has_default"].alias("has_default"),
+            _named(old, f["name"])["canonical"].alias("was"),
+        )
+
+    def judged(x: Column) -> Column:
+        no_default = F.concat(F.lit("new field '"), x["name"], F.lit("' has no default"))
+        retyped = F.concat(
+            F.lit("field '"), x["name"], F.lit("' changed type "), _shown(x["was"]), F.lit(" -> "), _shown(x["now"])
+        )
+        missing = x["was"].isNull()
+        issue = F.when(missing, F.when(~x["has_default"], no_default)).when(x["was"] != x["now"], retyped)
+        return F.struct(x["name"].alias("name"), issue.alias("issue"))
+
+    return F.filter(F.transform(F.transform(new, beside), judged), lambda x: x["issue"].isNotNull())
 
 
 def compat_issues(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
     """Issues between each version and the one before it, one row each; removed fields are allowed."""
-    new = contract_fields(with_previous(contracts, span)).where(F.col("previous").isNotNull())
-    old = contract_fields(contracts).withColumnRenamed("version", "previous")
-    return _issues(new, old, ["subject", "previous"]).select("subject", "previous", "version", "name", "issue")
+    pairs = paired_versions(contracts, span).where(F.col("before").isNotNull())
+    found = F.explode(issue_list(F.col("mine.fields"), F.col("before.fields")))
+    return pairs.select("subject", F.col("before.version").alias("previous"), "version", found.alias("x")).select(
+        "subject", "previous", "version", "x.name", "x.issue"
+    )
 
 
 def compat_gate(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
     """Per subject: versions, unparsable schemas, issues, and whether the subject passes."""
-    issues = compat_issues(contracts, span).groupBy("subject").agg(F.count(F.lit(1)).alias("issues"))
+    valid = is_valid_schema(F.col("schema"))
     checked = contracts.groupBy("subject").agg(
-        F.count(F.lit(1)).alias("versions"), F.count_if(~is_valid_schema(F.col("schema"))).alias("unparsable")
+        F.count(F.lit(1)).alias("versions"), F.count_if(~valid).alias("unparsable")
     )
+    issues = compat_issues(contracts, span).groupBy("subject").agg(F.count(F.lit(1)).alias("issues"))
     counts = checked.join(issues, "subject", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
     return counts.withColumn("passed", (F.col("issues") == 0) & (F.col("unparsable") == 0))
 
@@ -121,24 +173,25 @@ def newest_contracts(contracts: DataFrame) -> DataFrame:
     return contracts.groupBy("subject").agg(newest.alias("c")).select("subject", "c.*")
 
 
+def _newest_fields(contracts: DataFrame) -> DataFrame:
+    return newest_contracts(contracts).select("subject", parsed_fields(F.col("schema")).alias("start_fields"))
+
+
 def candidate_issues(contracts: DataFrame, candidates: DataFrame) -> DataFrame:
     """Issues of candidate schemas (``subject, schema``) against the newest registered version."""
-    old = contract_fields(newest_contracts(contracts))
-    registered = contracts.select("subject").distinct()
-    new = contract_fields(candidates.join(registered, "subject", "left_semi"))
-    return _issues(new, old, ["subject"]).select("subject", "name", "issue")
+    both = candidates.join(_newest_fields(contracts), "subject")
+    found = F.explode(issue_list(parsed_fields(F.col("schema")), F.col("start_fields")))
+    return both.select("subject", found.alias("x")).select("subject", "x.name", "x.issue")
 
 
 def is_compatible(contracts: DataFrame, candidates: DataFrame) -> DataFrame:
     """``subject, compatible, messages`` per candidate; a subject nobody registered accepts anything."""
-    found = candidate_issues(contracts, candidates).groupBy("subject").agg(
-        F.array_sort(F.collect_list("issue")).alias("messages")  # at most one per field of a schema
-    )
-    empty = F.array().cast("array<string>")
-    return (
-        candidates.select("subject")
-        .join(found, "subject", "left")
-        .select("subject", F.col("messages").isNull().alias("compatible"), F.coalesce("messages", empty).alias("messages"))
+    both = candidates.join(_newest_fields(contracts), "subject", "left")
+    found = issue_list(parsed_fields(F.col("schema")), F.col("start_fields"))
+    known = F.col("start_fields").isNotNull()
+    issues = F.when(known, F.transform(found, lambda x: x["issue"])).otherwise(F.array().cast("array<string>"))
+    return both.select("subject", F.array_sort(issues).alias("messages")).select(
+        "subject", (F.size("messages") == 0).alias("compatible"), "messages"
     )
 
 
@@ -156,26 +209,25 @@ def register(contracts: DataFrame, candidates: DataFrame, span: int | None = SPA
         .groupBy("subject", "canon")
         .agg(F.min(F.struct("version", "schema_id")).alias("known"))
     )
-    first = candidates.withColumn("canon", canon).groupBy("subject", "canon").agg(F.min("seq").alias("first_seq"))
+    named = computed_once(candidates, canon, "canon")
+    first = named.groupBy("subject", "canon").agg(F.min("seq").alias("first_seq"))
     turn = (
-        candidates.withColumn("canon", canon)
-        .join(first, ["subject", "canon"])
+        named.join(first, ["subject", "canon"])
         .join(known, ["subject", "canon"], "left")
         .withColumn("is_new", F.col("known").isNull() & (F.col("seq") == F.col("first_seq")))
         .withColumn("new_seq", F.when(F.col("is_new"), F.col("seq")))
     )
     turn = running_before(turn, ["subject"], "seq", "new_seq", "base_seq", span=span)
 
-    fields = contract_fields(turn.select("subject", "seq", "base_seq", "schema"))
-    bases = contract_fields(candidates.select("subject", F.col("seq").alias("base_seq"), "schema"))
-    start = contract_fields(newest_contracts(contracts))
-    later = _issues(fields.where(F.col("base_seq").isNotNull()), bases, ["subject", "base_seq"])
-    has_start = contracts.select("subject").distinct()
-    early = _issues(fields.where(F.col("base_seq").isNull()).join(has_start, "subject", "left_semi"), start, ["subject"])
-    broken = later.select("subject", "seq").union(early.select("subject", "seq"))
-    stop = broken.groupBy("subject").agg(F.min("seq").alias("stop"))
+    bases = candidates.select("subject", F.col("seq").alias("base_seq"), parsed_fields(F.col("schema")).alias("base_fields"))
+    compared = turn.join(bases, ["subject", "base_seq"], "left").join(_newest_fields(contracts), "subject", "left")
+    old = F.coalesce("base_fields", "start_fields")
+    broken = F.when(old.isNotNull(), F.size(issue_list(parsed_fields(F.col("schema")), old)) > 0).otherwise(False)
+    # everything below looks at these rows several times: compute them once, into the shared folder
+    judged = written_once(compared.select(*turn.columns, broken.alias("broken")), "register")
+    stop = judged.where("broken").groupBy("subject").agg(F.min("seq").alias("stop"))
 
-    decided = turn.join(stop, "subject", "left").withColumn(
+    decided = judged.join(stop, "subject", "left").withColumn(
         "status",
         F.when(F.col("seq") > F.col("stop"), "not_reached")
         .when(F.col("seq") == F.col("stop"), "refused")
@@ -234,49 +286,43 @@ def compat_levels(subjects: DataFrame, levels: DataFrame, default: str = DEFAULT
     )
 
 
-def contract_changes(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
-    """Every field of every version with ``change``: ``added``, ``kept`` or ``removed``.
+def _changes(mine: Column, before: Column) -> tuple[Column, Column]:
+    """Fields of a version with an ``added`` flag, and the fields of the version before that are gone.
 
-    Fields of a first version, or after a version without fields, are ``kept``; a removed field is listed
-    under the version that dropped it, with its place in the version before.
+    Nothing counts as added in a first version or after a version without fields.
     """
-    paired = with_previous(contracts, span)
-    new = contract_fields(paired)
-    old = contract_fields(contracts)
-    before = old.select("subject", F.col("version").alias("previous"), "name", F.lit(True).alias("was"))
-    nonempty = before.select("subject", "previous").distinct().withColumn("had", F.lit(True))
-    listed = new.join(before, ["subject", "previous", "name"], "left").join(nonempty, ["subject", "previous"], "left")
-    added = F.col("was").isNull() & F.col("had").isNotNull()
-    present = listed.select(
-        "subject", "version", "pos", "name", "type", F.when(added, "added").otherwise("kept").alias("change")
-    )
-    pairs = paired.where(F.col("previous").isNotNull()).select("subject", "version", "previous")
-    gone = (
-        old.withColumnRenamed("version", "previous")
-        .join(pairs, ["subject", "previous"])
-        .join(new.select("subject", "version", "name"), ["subject", "version", "name"], "left_anti")
-        .select("subject", "version", "pos", "name", "type", F.lit("removed").alias("change"))
+    comparable = F.coalesce(F.size(before) > 0, F.lit(False))
+    listed = F.transform(
+        mine,
+        lambda f, i: F.struct(
+            i.alias("pos"), f["name"].alias("name"), f["type"].alias("type"),
+            (comparable & _named(before, f["name"]).isNull()).alias("added"),
+        ),
     )
-    return present.unionByName(gone)
+    placed = F.transform(before, lambda f, i: F.struct(i.alias("pos"), f["name"].alias("name"), f["type"].alias("type")))
+    gone = F.filter(placed, lambda f: _named(mine, f["name"]).isNull())
+    return listed, F.coalesce(gone, F.array().cast("array<struct<pos:int,name:string,type:string>>"))
 
 
-def contract_diff(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
-    """One row per version: id, doc, its fields in order with an ``added`` flag, and the removed names.
+def contract_changes(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
+    """Every field of every version with ``change``: ``added``, ``kept`` or ``removed``.
 
-    The collected lists hold the fields of one schema text.
+    A removed field is listed under the version that dropped it, with its place in the version before.
     """
-    changes = contract_changes(contracts, span)
-    is_gone = F.col("change") == "removed"
-    field = F.struct("pos", "name", "type", (F.col("change") == "added").alias("added"))
-    lists = changes.groupBy("subject", "version").agg(
-        F.array_sort(F.collect_list(F.when(~is_gone, field))).alias("f"),
-        F.array_sort(F.collect_list(F.when(is_gone, F.struct("pos", "name")))).alias("r"),
+    listed, gone = _changes(F.col("mine.fields"), F.col("before.fields"))
+    present = F.transform(
+        listed, lambda f: F.struct(f["pos"], f["name"], f["type"], F.when(f["added"], "added").otherwise("kept").alias("change"))
     )
-    head = contracts.select("subject", "version", "schema_id", schema_doc(F.col("schema")).alias("doc"))
-    shown = F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x["added"].alias("added")))
-    none = F.array().cast("array<struct<name:string,type:string,added:boolean>>")
-    return head.join(lists, ["subject", "version"], "left").select(
-        "subject", "version", "schema_id", "doc",
-        F.coalesce(shown, none).alias("fields"),
-        F.coalesce(F.transform("r", lambda x: x["name"]), F.array().cast("array<string>")).alias("removed"),
+    removed = F.transform(gone, lambda f: F.struct(f["pos"], f["name"], f["type"], F.lit("removed").alias("change")))
+    rows = paired_versions(contracts, span).select("subject", "version", F.explode(F.concat(present, removed)).alias("f"))
+    return rows.select("subject", "version", "f.*")
+
+
+def contract_diff(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
+    """One row per version: id, doc, its fields in order with an ``added`` flag, and the removed names."""
+    listed, gone = _changes(F.col("mine.fields"), F.col("before.fields"))
+    shown = F.transform(listed, lambda f: F.struct(f["name"], f["type"], f["added"]))
+    return paired_versions(contracts, span).select(
+        "subject", "version", "mine.schema_id", "mine.doc",
+        shown.alias("fields"), F.transform(gone, lambda f: f["name"]).alias("removed"),
     )

@@ -64,7 +64,7 @@ def _valid(spark, sf):
 
 QUERIES = {
     "contract_fields": lambda spark, sf: ops.contract_fields(contracts(spark, sf)),
-    "contract_previous": lambda spark, sf: ops.with_previous(contracts(spark, sf)).select("subject", "version", "previous"),
+    "contract_previous": lambda spark, sf: ops.previous_versions(contracts(spark, sf)),
     "contract_changes": lambda spark, sf: ops.contract_changes(contracts(spark, sf)),
     "contract_diff": _diff,
     "contract_validity": _valid,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, and still there when executors are lost."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def streaming_session(spark: SparkSession, shuffle_partitions: int | None = None) -> SparkSession:
     """A session for streaming queries: UTC, RocksDB state, and its own shuffle width.
 
