@@ -72,6 +72,11 @@ def test_job_raises_when_a_query_fails(spark):
         jobs.supervise(session, [q], every=1)
 
 
+def test_publishing_under_an_unregistered_schema_fails_first(spark):
+    with pytest.raises(ValueError):
+        jobs.start_publish(spark.range(1), {1: "{}"}, 2, None, None, "x")
+
+
 def test_source_kinds(spark):
     with pytest.raises(ValueError):
         event_source(spark, "queue", "x")

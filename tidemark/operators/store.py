@@ -100,6 +100,11 @@ def live_users(folded: DataFrame, now: Column, ttl_seconds: int = 86_400) -> Dat
     )
 
 
+def unexpired(vectors: DataFrame, now: Column, ttl_seconds: int = 86_400) -> DataFrame:
+    """Vectors of live users. Guards and fields of a user who expired and came back are not forgotten."""
+    return vectors.where(F.col("last_write") + F.make_interval(secs=F.lit(ttl_seconds)) > now)
+
+
 def store_size(folded: DataFrame) -> DataFrame:
     return folded.select("user_id").distinct().agg(F.count(F.lit(1)).alias("users"))
 

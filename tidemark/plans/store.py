@@ -80,6 +80,9 @@ QUERIES = {
     "live_users_ttl": lambda spark, sf: plain(
         ops.live_users(ops.fold_log(guarded_log(spark, sf)), at(TTL_NOW), TTL_SECONDS)
     ),
+    "unexpired_vectors": lambda spark, sf: ops.unexpired(
+        ops.feature_vectors({"profile": folds(spark, sf)["profile"]}), at(TTL_NOW), TTL_SECONDS
+    ).drop("last_write"),
     "store_size": lambda spark, sf: ops.store_size(ops.fold_log(_union_log(spark, sf))),
     "store_keys": _keys,
     "feature_log_counts": lambda spark, sf: ops.write_counts(ops.mark_accepted(_union_log(spark, sf))),
@@ -160,6 +163,8 @@ from marked group by grp""",
     "live_users_ttl": sql.with_(sql.EVENTS, GUARDED) + f"""
 select user_id, max(write_ts) as last_write from marked where accepted group by user_id
 having max(write_ts) + interval {TTL_SECONDS} second > timestamp '{TTL_NOW}'""",
+    "unexpired_vectors": sql.with_(sql.EVENTS, sql.PROFILE) + f"""
+select * from profile where make_timestamp(last_seen_ms * 1000) + interval {TTL_SECONDS} second > timestamp '{TTL_NOW}'""",
     "store_size": sql.with_(sql.EVENTS) + "select count(distinct user_id) as users from ev",
     "store_keys": sql.with_(sql.EVENTS) + f"""
 select distinct '{PREFIX}:user:' || user_id as key, user_id, cast(null as varchar) as not_a_user from ev""",

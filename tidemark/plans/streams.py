@@ -19,6 +19,7 @@ from tidemark.sources.contracts import packaged_schemas
 from tidemark.sources.events import MESSAGE_SCHEMA, event_source, written_events
 from tidemark.sources.feature_store import FeatureStore
 from tidemark.streaming import jobs
+from tidemark.streaming.sinks import to_files
 
 SLICE_ENDS = ["2024-01-11", "2024-01-21", "2025-01-01"]
 JOB_NOW = "2024-02-01 00:00:00"  # every window is closed by then
@@ -148,7 +149,7 @@ def _publish(spark, sf):
     _slices(record_texts(spark, sf), f"{root}/records", range(3), "timestamp")
     session = streaming_session(spark)
     records = _read(session, f"{root}/records", "value string, timestamp timestamp")
-    query = jobs.start_publish(records, packaged_schemas()[2], 2, f"{root}/messages", f"{root}/letters",
+    query = jobs.start_publish(records, packaged_schemas(), 2, to_files(f"{root}/messages"), to_files(f"{root}/letters"),
                                f"{root}/checkpoints", trigger=NOW_OR_NEVER)
     jobs.finish([query])
     sent = spark.read.parquet(f"{root}/messages").agg(F.count(F.lit(1)).alias("rows"))

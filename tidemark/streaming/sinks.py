@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +38,27 @@ def profile_sink(store: FeatureStore, now: Column | None = None) -> Sink:
     return write
 
 
-def contract_sink(schema: str, schema_id: int, messages: str, letters: str, codec: str = "avro_arrow") -> Sink:
-    """Valid JSON records become framed messages, the others dead letters."""
+def to_files(path: str) -> Sink:
+    """One directory per micro-batch."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+def to_topic(topic: str, options: Mapping[str, str]) -> Sink:
+    """Keyed messages; a replayed batch is sent again, which the guarded store absorbs."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        keyed = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+        keyed.write.format("kafka").options(**{**options, "topic": topic}).save()
+
+    return write
+
+
+def contract_sink(schema: str, schema_id: int, messages: Sink, letters: Sink, codec: str = "avro_arrow") -> Sink:
+    """Valid JSON records become framed messages, the others dead letters; the check runs once for both."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = check_records(batch, schema).persist()
@@ -48,8 +67,8 @@ def contract_sink(schema: str, schema_id: int, messages: str, letters: str, code
             framed = valid_events(checked, schema).select(
                 F.col("user_id").cast("binary").alias("key"), value.alias("value"), F.col("event_ts").alias("timestamp")
             )
-            framed.write.mode("overwrite").parquet(f"{messages}/batch_id={batch_id}")
-            dead_letters(checked).write.mode("overwrite").parquet(f"{letters}/batch_id={batch_id}")
+            messages(framed, batch_id)
+            letters(dead_letters(checked), batch_id)
         finally:
             checked.unpersist()
 
