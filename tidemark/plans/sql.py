@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-# Half-up on the printed value, which is how Spark rounds doubles.
+# Half-up on the printed value, which is how Spark rounds doubles. Doubles print up to 17 digits; a scale
+# of 12 would round such a value once before the rounding that is meant.
 def rounded(x: str, places: int) -> str:
-    return f"cast(round(cast(cast({x} as varchar) as decimal(30,12)), {places}) as double)"
+    return f"cast(round(cast(cast({x} as varchar) as decimal(38,18)), {places}) as double)"
 
 
 EVENTS = """
