@@ -132,7 +132,7 @@ def one_by_one(start, candidates):
         for _, seq, schema in sorted((c for c in candidates if c[0] == subject), key=lambda c: c[1]):
             if stopped:
                 out[subject, seq] = ("not_reached", None)
-            elif known and not lint(known[-1][1], schema):
+            elif isinstance(schema, str) or (known and not lint(known[-1][1], schema)):
                 out[subject, seq], stopped = ("refused", None), True
             elif any(t == schema for _, t in known):
                 out[subject, seq] = ("unchanged", min(v for v, t in known if t == schema))
@@ -152,7 +152,9 @@ def test_register_equals_one_by_one(spark, seed):
 
     start = [(s, v, 10 * i + v, some_schema()) for i, s in enumerate(["x", "y", "z"]) for v in (1, 2)]
     candidates = [(s, q, some_schema() if rng.random() < 0.8 else start[0][3]) for s in ("x", "y", "z", "new") for q in range(12)]
-    frame = spark.createDataFrame([(s, q, json.dumps(t)) for s, q, t in candidates], "subject string, seq bigint, schema string")
+    candidates = [(s, q, "{no schema" if s == "z" and q == 2 else t) for s, q, t in candidates]
+    texts = [(s, q, t if isinstance(t, str) else json.dumps(t)) for s, q, t in candidates]
+    frame = spark.createDataFrame(texts, "subject string, seq bigint, schema string")
     rows = ops.register(table(spark, start), frame, span=4).collect()
     assert {(r.subject, r.seq): (r.status, r.version) for r in rows} == one_by_one(start, candidates)
     fresh = [r.schema_id for r in rows if r.status == "registered"]

@@ -199,11 +199,11 @@ def register(contracts: DataFrame, candidates: DataFrame, span: int | None = SPA
     """Decide candidates (``subject, seq, schema``) taken in order of ``seq`` within each subject.
 
     ``status``: ``registered`` (with a new version and id), ``unchanged`` (this schema is registered
-    already; its version and id are returned), ``refused`` (the first incompatible one) or ``not_reached``
-    (after a refusal). Every candidate is compared with the newest version at its turn: the last new
+    already; its version and id are returned), ``refused`` (the first that is incompatible or no valid
+    schema) or ``not_reached`` (after a refusal). Every candidate is compared with the newest version at its turn: the last new
     candidate before it, or what was registered at the start.
     """
-    canon = F.to_json(F.try_parse_json("schema"))
+    canon = F.coalesce(F.to_json(F.try_parse_json("schema")), F.col("schema"))
     known = (
         contracts.withColumn("canon", canon)
         .groupBy("subject", "canon")
@@ -222,7 +222,8 @@ def register(contracts: DataFrame, candidates: DataFrame, span: int | None = SPA
     bases = candidates.select("subject", F.col("seq").alias("base_seq"), parsed_fields(F.col("schema")).alias("base_fields"))
     compared = turn.join(bases, ["subject", "base_seq"], "left").join(_newest_fields(contracts), "subject", "left")
     old = F.coalesce("base_fields", "start_fields")
-    broken = F.when(old.isNotNull(), F.size(issue_list(parsed_fields(F.col("schema")), old)) > 0).otherwise(False)
+    breaking = F.when(old.isNotNull(), F.size(issue_list(parsed_fields(F.col("schema")), old)) > 0).otherwise(False)
+    broken = breaking | ~is_valid_schema(F.col("schema"))
     # everything below looks at these rows several times: compute them once, into the shared folder
     judged = written_once(compared.select(*turn.columns, broken.alias("broken")), "register")
     stop = judged.where("broken").groupBy("subject").agg(F.min("seq").alias("stop"))

@@ -48,6 +48,22 @@ def _levels(spark, sf):
     return ops.compat_levels(contracts(spark, sf), own.unionByName(shared))
 
 
+def _registered(spark, sf):
+    """Decisions and versions; ids are checked to be new and unique by their counts."""
+    start, candidates = _halves(spark, sf)
+    return ops.register(start, candidates).select("subject", "seq", "status", "version")
+
+
+def _registered_ids(spark, sf):
+    start, candidates = _halves(spark, sf)
+    rows = ops.register(start, candidates).where("status = 'registered'")
+    used = start.agg(F.max("schema_id"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("registered"), F.count_distinct("schema_id").alias("ids"),
+        (F.min("schema_id") > used.scalar()).alias("above_used"),
+    )
+
+
 def _diff(spark, sf):
     fields = F.transform("fields", lambda f: F.concat(f["name"], F.lit(":"), f["type"], F.when(f["added"], "+").otherwise("")))
     return ops.contract_diff(contracts(spark, sf)).select(
@@ -73,7 +89,8 @@ QUERIES = {
     "candidate_check": _compatible,
     "newest_contracts": _newest,
     "compat_levels": _levels,
-    "register_contracts": lambda spark, sf: ops.register(*_halves(spark, sf)).drop("schema"),
+    "register_contracts": _registered,
+    "register_ids": _registered_ids,
 }
 
 REGISTRY = """
@@ -139,7 +156,48 @@ candidate_issues as (
   where (o.name is null and not n.has_default) or o.canonical <> n.canonical
 )"""
 
+_REGISTER = REGISTRY + """,
+signed as (
+  select subject, version, status <> 'O' as at_start, broken,
+         case when broken then 'broken' else concat_ws('|', doc, status = 'P', dear, late) end as signature
+  from ct
+),
+at_start as (select subject, signature, min(version) as version from signed where at_start group by subject, signature),
+newest_start as (select subject, max(version) as version from signed where at_start group by subject),
+turns as (
+  select c.*, k.version as known,
+         k.version is null and c.version = min(c.version) over (partition by c.subject, c.signature) as is_new,
+         min(c.version) over (partition by c.subject, c.signature) as first_turn
+  from signed c left join at_start k using (subject, signature) where not c.at_start
+),
+based as (
+  select t.*, coalesce(max(case when is_new then t.version end) over w, n.version) as base, n.version as start_version,
+         count(*) filter (where is_new) over w as new_before
+  from turns t left join newest_start n using (subject)
+  window w as (partition by t.subject order by t.version rows between unbounded preceding and 1 preceding)
+),
+bad as (
+  select subject, version from based where broken
+  union
+  select b.subject, b.version from based b join fields n on n.subject = b.subject and n.version = b.version
+  left join fields o on o.subject = b.subject and o.version = b.base and o.name = n.name
+  where b.base is not null and ((o.name is null and not n.has_default) or o.canonical <> n.canonical)
+),
+decided as (
+  select b.*, coalesce(start_version, 0) + new_before + 1 as new_version,
+         case when b.version > stop then 'not_reached' when b.version = stop then 'refused'
+              when is_new then 'registered' else 'unchanged' end as decision
+  from based b left join (select subject, min(version) as stop from bad group by subject) using (subject)
+)"""
+
 ORACLES = {
+    "register_contracts": sql.with_(_REGISTER) + """
+select d.subject, cast(d.version as bigint) as seq, d.decision as status,
+       cast(case d.decision when 'registered' then d.new_version
+                            when 'unchanged' then coalesce(d.known, f.new_version) end as integer) as version
+from decided d left join decided f on f.subject = d.subject and f.version = d.first_turn""",
+    "register_ids": sql.with_(_REGISTER) + """
+select count(*) as registered, count(*) as ids, true as above_used from decided where decision = 'registered'""",
     "contract_fields": sql.with_(REGISTRY)
     + "select subject, version, schema_id, pos, name, type, canonical, has_default from fields",
     "contract_previous": sql.with_(REGISTRY) + "select subject, version, previous from ct",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory below the folder every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; nothing here falls back to a
-    machine-local directory.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a local session, whose executors are
+    this machine, may go without the setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
