@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "mixing"]
+MODULES = ["token_counts", "exact_dedup", "mixing", "byte_bpe", "simhash"]
 
 
 def queries() -> dict:
