@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["language_id", "toxicity", "token_counts", "vector_dedup", "exact_dedup", "mixing", "byte_bpe", "simhash"]
+MODULES = ["language_id", "toxicity", "fixity", "token_counts", "vector_dedup", "exact_dedup", "mixing", "byte_bpe", "simhash"]
 
 
 def queries() -> dict:
