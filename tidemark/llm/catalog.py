@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["language_id", "toxicity", "fixity", "token_counts", "vector_dedup", "exact_dedup", "mixing", "byte_bpe", "simhash"]
+MODULES = [
+    "language_id", "toxicity", "fixity", "suffix_dedup", "token_counts",
+    "vector_dedup", "exact_dedup", "mixing", "byte_bpe", "simhash",
+]
 
 
 def queries() -> dict:
