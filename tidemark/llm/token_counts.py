@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, shared_dir, text_or_empty
+from tidemark.llm.common import read, shared_dir, text_or_empty, written_once
 
 TOKENIZER = "byte_bpe_50k.json"
 MOST_TOKENIZER_BYTES = 256 << 20
@@ -150,7 +150,8 @@ def token_counts(
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), cache.digest(text).alias("digest")
     )
-    return rows.join(cache.stored(), "digest").select(
+    known = written_once(cache.stored().join(rows.select("digest").distinct(), "digest"), "token-known")
+    return rows.join(known, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 
