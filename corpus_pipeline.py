@@ -1,25 +1,54 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.byte_bpe import token_digests
 from tidemark.llm.common import read, written_once
 from tidemark.llm.exact_dedup import drop_copies
+from tidemark.llm.language_id import drop_unknown
 from tidemark.llm.mixing import emit
+from tidemark.llm.simhash import drop_near_copies
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told go."""
+    return drop_unknown(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
     return drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays: four-word shingles, four differing bits."""
+    return drop_near_copies(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return emit(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing sources to target weights", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the bytes they decode to, one row per copy."""
+    return token_digests(docs)
+
+
+STAGES = [
+    ("language ID", identify),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
-#: A stage learns its model from the corpus, which SQL cannot express; tests hold the stages against brute force.
+#: Learned profiles and fingerprint groups are beyond SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -95,7 +95,7 @@ def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     per = written_once(targets(sizes(docs), weights, most), "mix-targets")
     rows = wrapped(docs, source=F.col("source"), draw=draw())
     found = rows.join(per.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    return found.select("row", F.explode(F.sequence(F.lit(1), copies())).alias("copy")).where("copy > 0").select("row.*")
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), copies().cast("int")))).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
