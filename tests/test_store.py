@@ -148,3 +148,46 @@ def test_store_files(spark):
     assert served() == expected
     plan = store.snapshot("5m", 2, ["u5"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") and "PushedFilters" in plan
+
+
+def _profiles(spark, store, batch_id, rows):
+    frame = spark.createDataFrame(rows, "user_id string, last_device string, last_seen_ms bigint")
+    store.append(frame, "profile", batch_id, F.lit(T).cast("timestamp"))
+
+
+def _devices(store, users=None):
+    return {r.user_id: r.last_device for r in store.fold("profile", users).collect()}
+
+
+def test_batch_in_flight_is_neither_read_nor_folded_nor_deleted(spark):
+    root = shared_dir(spark, "test-in-flight")
+    store = FeatureStore(spark, root, buckets=4)
+    for batch, user in enumerate("abcd"):
+        _profiles(spark, store, batch, [(user, f"d{batch}", 10 + batch)])
+    marker, fs = store._path(f"{root}/log/grp=profile/batch_id=2/_SUCCESS")
+    fs.delete(marker, False)  # batch 2 is still being written
+    assert _devices(store) == {"a": "d0", "b": "d1", "d": "d3"}
+    assert store.compact() == 1 and store.manifest()[1] == {"profile": 1}
+    assert store.vacuum() == 2
+    fs.create(marker, True).close()  # and now ends
+    assert _devices(store) == {"a": "d0", "b": "d1", "c": "d2", "d": "d3"}
+    assert store.compact() == 2 and store.manifest()[1] == {"profile": 3}
+    assert _devices(store) == {"a": "d0", "b": "d1", "c": "d2", "d": "d3"}
+
+
+def test_reopened_store_keeps_its_buckets_and_null_rule(spark):
+    root = shared_dir(spark, "test-reopen")
+    store = FeatureStore(spark, root, buckets=64, on_null="replace")
+    _profiles(spark, store, 0, [(f"u{i}", "web", 1) for i in range(20)])
+    store.compact()
+    again = FeatureStore(spark, root, buckets=7)
+    assert (again.buckets, again.on_null) == (64, "replace")
+    assert len(_devices(again, [f"u{i}" for i in range(20)])) == 20
+    _profiles(spark, again, 1, [("u3", None, 2)])
+    assert _devices(again, ["u3"]) == {"u3": None}
+
+
+def test_text_of_numbers_reads_like_the_shortest_form(spark):
+    values = [12345678.5, 1e-05, 1.5e-06, 0.0001, 0.00012, 100.0, 1e15, 1e16, 2.5e17, 1e100, -3.25, -1e-05, 0.0, 7.0, float("nan"), float("inf")]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").select("v", ops.number_text(F.col("v")).alias("t"))
+    assert [r.t for r in frame.collect()] == [repr(v) for v in values]

@@ -80,3 +80,39 @@ def test_publishing_under_an_unregistered_schema_fails_first(spark):
 def test_source_kinds(spark):
     with pytest.raises(ValueError):
         event_source(spark, "queue", "x")
+
+
+def test_progress_keeps_more_batches_than_a_query_remembers(spark, tmp_path):
+    session = streaming_session(spark, 1)
+    for i in range(112):
+        spark.range(1).selectExpr(f"{i} as n").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    progress = jobs.ProgressLog(session, str(tmp_path / "progress"))
+    stream = session.readStream.schema("n long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = (
+        stream.writeStream.queryName("many").format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    )
+    jobs.supervise(session, [query], progress, every=60)
+    progress.close()
+    rows = spark.read.parquet(str(tmp_path / "progress")).where("num_input_rows > 0")
+    assert sorted(r.batch_id for r in rows.collect()) == list(range(112))
+
+
+def test_supervise_watches_its_own_queries(spark, tmp_path):
+    session = streaming_session(spark, 1)
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+
+    def begin(name, sink):
+        stream = session.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        return jobs.start(stream, name, sink, str(tmp_path / "c"), {"availableNow": True})
+
+    jobs.finish([begin("earlier", lambda df, n: None)])
+    progress = jobs.ProgressLog(session, str(tmp_path / "progress"))
+
+    def broken(df, n):
+        raise RuntimeError("sink gave up")
+
+    query = begin("own", broken)
+    with pytest.raises(Exception, match="sink gave up"):
+        jobs.supervise(session, [query], progress, every=60)
+    assert not query.isActive
+    progress.close()

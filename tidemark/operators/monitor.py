@@ -39,10 +39,15 @@ def flatten_progress(reports: DataFrame) -> DataFrame:
         ),
         F.coalesce("p.durationMs.triggerExecution", F.lit(0)).alias("trigger_execution_ms"),
         F.coalesce(total, F.lit(0)).alias("state_rows"),
-        F.substring("json", 1, RAW_CHARS).alias("raw"),
+        F.col("json").alias("raw"),
     )
 
 
+def shown_progress(progress: DataFrame) -> DataFrame:
+    """Progress rows as reports show them: the stored report is whole, the shown one is cut."""
+    return progress.withColumn("raw", F.substring("raw", 1, RAW_CHARS))
+
+
 def latest_progress(progress: DataFrame) -> DataFrame:
     """The newest row of each query."""
     rest = [c for c in progress.columns if c != "query"]

@@ -129,6 +129,23 @@ def feature_vectors(folds: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def number_text(value: Column) -> Column:
+    """A double as text: plain digits from 0.0001 up to 1e16, else an exponent of at least two digits.
+
+    Every text has the fewest digits that read back as the same number.
+    """
+    java = value.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    wide = F.regexp_replace(F.regexp_replace(java, r"\.0E", "E"), r"E(-?)(\d)$", "E$10$2")
+    size = F.abs(value)
+    return (
+        F.when(value.isNull() | (value == 0), java)
+        .when(F.isnan(value) | (size == float("inf")), F.lower(F.replace(java, F.lit("Infinity"), F.lit("inf"))))
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(F.replace(F.regexp_replace(wide, r"E(\d)", "e+$1"), F.lit("E-"), F.lit("e-")))
+    )
+
+
 def to_long(rows: DataFrame, suffix: str = "", exclude: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """``user_id, field, value``: the text form of a feature row, nulls left out, doubles to 6 places."""
     pairs = []
@@ -137,7 +154,7 @@ def to_long(rows: DataFrame, suffix: str = "", exclude: tuple[str, ...] = ("user
             continue
         value = F.col(field.name)
         if field.dataType.typeName() in ("double", "float"):
-            value = F.round(value, 6)
+            value = number_text(F.round(value, 6))
         pairs.append(F.struct(F.lit(field.name + suffix).alias("field"), value.cast("string").alias("value")))
     return (
         rows.select("user_id", F.inline(F.array(*pairs))).where(F.col("value").isNotNull())

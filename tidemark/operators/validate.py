@@ -95,12 +95,21 @@ def recent_letters(letters: DataFrame, limit: int = 8, *tie_break: str) -> DataF
     return letters.orderBy(F.col("timestamp").desc_nulls_last(), *tie_break).limit(limit)
 
 
-def short_error(error: Column) -> Column:
-    """First clause of an error on one line, at most 160 characters."""
-    line = F.regexp_replace(error, r"\s+", " ")
-    clause = F.substring(F.split_part(line, F.lit(" ("), F.lit(1)), 1, 160)
+SHOWN_CHARS = 160  # fixed value: what a report shows of a reason
+
+
+def first_clause(error: Column) -> Column:
+    """First clause of an error on one line."""
+    clause = F.split_part(F.regexp_replace(error, r"\s+", " "), F.lit(" ("), F.lit(1))
     return F.when(error.isNull() | (error == ""), "Unknown error").otherwise(clause)
 
 
+def short_error(error: Column) -> Column:
+    """The first clause as reports show it."""
+    return F.substring(first_clause(error), 1, SHOWN_CHARS)
+
+
 def letter_reasons(letters: DataFrame) -> DataFrame:
-    return letters.groupBy(short_error(F.col("error")).alias("reason")).agg(F.count(F.lit(1)).alias("letters"))
+    """Letters per reason. Reasons are told apart whole and cut for display afterwards."""
+    counted = letters.groupBy(first_clause(F.col("error")).alias("whole")).agg(F.count(F.lit(1)).alias("letters"))
+    return counted.select(F.substring("whole", 1, SHOWN_CHARS).alias("reason"), "letters")

@@ -142,15 +142,12 @@ def guarded_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def daily_window_log(spark: SparkSession, sf_dir: str, grp: str, window: str, slide: str) -> DataFrame:
-    """One log row per user and day: the last window that ends on the day, written when it ends."""
+def window_log(spark: SparkSession, sf_dir: str, grp: str, window: str, slide: str, slide_s: int) -> DataFrame:
+    """Every window of every user as a log row, written when it ends; every eleventh one three slides late."""
     feats = windowed_features(events(spark, sf_dir), window, slide, exact=True)
-    day = F.floor(F.col("window_end_ms") / 86_400_000)
-    rest = [c for c in feats.columns if c not in ("user_id", "window_start")]
-    # every column on its own keeps the aggregate buffers fixed-width, so this is a hash aggregate
-    last = feats.groupBy("user_id", day.alias("day")).agg(*[F.max_by(c, "window_end_ms").alias(c) for c in rest])
-    return to_log(last.drop("day", "window_end"), grp, F.floor(F.col("window_end_ms") / 86_400_000),
-                  "window_end_ms", F.timestamp_millis("window_end_ms"))
+    number = F.expr(f"window_end_ms div {slide_s * 1000}")
+    seq = number * 2 + F.when(number % 11 == 0, 7).otherwise(0)
+    return to_log(feats.drop("window_start", "window_end"), grp, seq, "window_end_ms", F.timestamp_millis("window_end_ms"))
 
 
 def profile_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +156,11 @@ def profile_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The three feature groups folded. A user writes once a day at most, which bounds the plain window."""
+    """The three feature groups folded."""
     return {
-        "5m": fold_log(daily_window_log(spark, sf_dir, "5m", "5 minutes", "1 minute"), span=None),
-        "1h": fold_log(daily_window_log(spark, sf_dir, "1h", "1 hour", "10 minutes"), span=None),
-        "profile": fold_log(profile_log(spark, sf_dir), span=None),
+        "5m": fold_log(window_log(spark, sf_dir, "5m", "5 minutes", "1 minute", 60)),
+        "1h": fold_log(window_log(spark, sf_dir, "1h", "1 hour", "10 minutes", 600)),
+        "profile": fold_log(profile_log(spark, sf_dir)),
     }
 
 

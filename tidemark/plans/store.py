@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import store as ops
+from tidemark.operators.profiles import latest_profile
 from tidemark.operators.windows import windowed_features
 from tidemark.plans import sql
-from tidemark.plans.derived import at, daily_window_log, events, folds, guarded_log, plain, profile_log
+from tidemark.plans.derived import at, events, folds, guarded_log, plain, profile_log, window_log
+from tidemark.session import shared_dir
+from tidemark.sources.feature_store import FeatureStore
 
 TTL_NOW = "2024-01-30 18:00:00"
 TTL_SECONDS = 6 * 3600
@@ -27,8 +30,8 @@ def _compaction(spark, sf):
 
 def _union_log(spark, sf):
     parts = [
-        daily_window_log(spark, sf, "5m", "5 minutes", "1 minute"),
-        daily_window_log(spark, sf, "1h", "1 hour", "10 minutes"),
+        window_log(spark, sf, "5m", "5 minutes", "1 minute", 60),
+        window_log(spark, sf, "1h", "1 hour", "10 minutes", 600),
         profile_log(spark, sf),
     ]
     union = parts[0]
@@ -62,6 +65,37 @@ def _parsed(spark, sf):
     )
 
 
+def _text(spark, sf):
+    """The written text itself, with values outside the range of plain digits among them."""
+    feats = windowed_features(events(spark, sf), "1 hour", "10 minutes", exact=True)
+    rows = feats.select(
+        "user_id", "window_end_ms", "spend", "avg_order_value", "cart_conversion", "event_count",
+        (F.col("event_count") * 1e9 + 0.5).alias("large"), (F.col("event_count") * 1e16).alias("huge"), (F.col("spend") / 1e7).alias("small"),
+    )
+    keyed = rows.withColumn("user_id", F.concat_ws(":", "user_id", "window_end_ms")).drop("window_end_ms")
+    return ops.to_long(keyed).groupBy("field", "value").agg(F.count(F.lit(1)).alias("rows_written"))
+
+
+LOOKUP_CUT, LOOKUP_USERS = "2024-01-16 00:00:00", 500
+
+
+def _pruned_lookup(spark, sf):
+    """Two batches of profiles, the first compacted; the store is opened with another bucket count and asked for the
+    users seen last."""
+    root = shared_dir(spark, "lookup")
+    ev = events(spark, sf)
+    store = FeatureStore(spark, root, buckets=16)
+    early = F.coalesce(F.col("event_ts") < at(LOOKUP_CUT), F.lit(False))
+    for batch, part in enumerate((early, ~early)):
+        store.append(latest_profile(ev.where(part)), "profile", batch, at(LOOKUP_CUT))
+        if batch == 0:
+            store.compact()
+    last = latest_profile(ev).orderBy(F.desc("last_seen_ms"), "user_id").limit(LOOKUP_USERS)
+    users = [r.user_id for r in last.select("user_id").collect()]
+    found = FeatureStore(spark, root, buckets=7).fold("profile", users)
+    return found.select("user_id", *ops.feature_columns(found))
+
+
 def _profile_maps(spark, sf):
     long = ops.to_long(folds(spark, sf)["profile"], exclude=("user_id", *ops.LOG_COLUMNS))
     return ops.feature_maps(long).select(
@@ -88,6 +122,8 @@ QUERIES = {
     "feature_log_counts": lambda spark, sf: ops.write_counts(ops.mark_accepted(_union_log(spark, sf))),
     "feature_long": lambda spark, sf: _long(spark, sf).groupBy("field").agg(F.count("value").alias("values_written")),
     "feature_parsed": _parsed,
+    "feature_text": _text,
+    "store_lookup_pruned": _pruned_lookup,
     "feature_maps": _profile_maps,
     "feature_vector": lambda spark, sf: plain(ops.feature_vectors(folds(spark, sf))),
 }
@@ -117,23 +153,26 @@ _FIELDS = [
 ]
 
 
-def daily(name: str, length: int, slide: int) -> str:
-    """CTEs: the last window per user and day, and its fold with older values kept where newer are null."""
-    kept = ",\n".join(f"arg_max({f}, day) filter (where {f} is not null) as {f}" for f in [*_FIELDS, "window_end_ms"])
+def logged(name: str, length: int, slide: int) -> str:
+    """CTEs: the log of all windows with late ones among them, and its fold with older values kept where newer are null."""
+    kept = ",\n".join(f"arg_max({f}, seq) filter (where {f} is not null) as {f}" for f in [*_FIELDS, "window_end_ms"])
     return sql.windows(f"f_{name}", length, slide) + f""",
-day_{name} as (
-  select * exclude (rn) from (
-    select *, window_end_ms // 86400000 as day,
-           row_number() over (partition by user_id, window_end_ms // 86400000 order by window_end_ms desc) as rn
-    from f_{name}) where rn = 1
+seq_{name} as (
+  select *, window_end_ms // {slide * 1000} * 2 + case when window_end_ms // {slide * 1000} % 11 = 0 then 7 else 0 end as seq
+  from f_{name}
+),
+log_{name} as (
+  select *, coalesce(window_end_ms >= max(window_end_ms) over (
+    partition by user_id order by seq rows between unbounded preceding and 1 preceding), true) as accepted
+  from seq_{name}
 ),
 fold_{name} as (
-  select user_id, max(window_end) as write_ts, {kept} from day_{name} group by user_id
+  select user_id, max(window_end) as write_ts, {kept} from log_{name} where accepted group by user_id
 )"""
 
 
 VECTORS = (
-    daily("5m", 300, 60) + ",\n" + daily("1h", 3600, 600) + ",\n" + sql.PROFILE + """,
+    logged("5m", 300, 60) + ",\n" + logged("1h", 3600, 600) + ",\n" + sql.PROFILE + """,
 vectors as (
   select p.user_id, greatest(a.write_ts, b.write_ts, make_timestamp(last_seen_ms * 1000)) as last_write,
          """ + ", ".join(f"a.{f} as {f}_5m, b.{f} as {f}_1h" for f in [*_FIELDS, "window_end_ms"]) + """,
@@ -142,6 +181,7 @@ vectors as (
 )"""
 )
 
+_ROUND_LARGE = "event_count * 1e9::double + 0.5"
 _LONG = ", ".join(f"('{f}_1h', cast({f} as double))" for f in _FIELDS)
 _LONG_ROWS = sql.with_(sql.EVENTS, sql.windows("feats", 3600, 600)) + f""",
 long as (
@@ -169,8 +209,8 @@ select * from profile where make_timestamp(last_seen_ms * 1000) + interval {TTL_
     "store_keys": sql.with_(sql.EVENTS) + f"""
 select distinct '{PREFIX}:user:' || user_id as key, user_id, cast(null as varchar) as not_a_user from ev""",
     "feature_log_counts": sql.with_(sql.EVENTS, VECTORS) + """
-select '5m' as grp, count(*) as applied, cast(0 as bigint) as skipped from day_5m
-union all select '1h', count(*), 0 from day_1h
+select '5m' as grp, count(*) filter (where accepted) as applied, count(*) filter (where not accepted) as skipped from log_5m
+union all select '1h', count(*) filter (where accepted), count(*) filter (where not accepted) from log_1h
 union all select 'profile', count(*), 0 from profile""",
     "feature_long": _LONG_ROWS + "select field, count(*) as values_written from long group by field",
     "feature_parsed": _LONG_ROWS + f"""
@@ -178,6 +218,23 @@ select field, case when field in {_DOUBLES} then 'float' else 'int' end as kind,
        case when field not in {_DOUBLES} then cast(sum(cast(value as hugeint)) as bigint) end as int_total,
        case when field in {_DOUBLES} then cast(sum(cast(value as decimal(18,4))) as double) end as double_total
 from long group by field""",
+    "feature_text": sql.with_(sql.EVENTS, sql.windows("feats", 3600, 600)) + f"""
+select field, value, count(*) as rows_written from (
+  select unnest(['spend', 'avg_order_value', 'cart_conversion', 'event_count', 'large', 'huge', 'small']) as field,
+         unnest([cast({sql.rounded("spend", 6)} as varchar), cast({sql.rounded("avg_order_value", 6)} as varchar),
+                 cast({sql.rounded("cart_conversion", 6)} as varchar), cast(event_count as varchar),
+                 cast({_ROUND_LARGE} as varchar), cast(event_count * 1e16::double as varchar), cast({sql.rounded("spend / 1e7", 6)} as varchar)]) as value
+  from feats) where value is not null group by field, value""",
+    "store_lookup_pruned": sql.with_(sql.EVENTS, sql.PROFILE) + f""",
+parts as (
+  select *, coalesce(event_ts < timestamp '{LOOKUP_CUT}', false) as early from ev),
+newest as (select * from parts qualify row_number() over (partition by user_id, early order by event_ts desc, event_id desc) = 1),
+asked as (select user_id from profile order by last_seen_ms desc, user_id limit {LOOKUP_USERS})
+select user_id, arg_max(event_type, not early) as last_event_type, arg_max(category, not early) as last_category,
+       arg_max(product_id, not early) as last_product_id,
+       arg_max(device, not early) filter (where device is not null) as last_device,
+       max(epoch_us(event_ts) // 1000) as last_seen_ms
+from newest where user_id in (select user_id from asked) group by user_id""",
     "feature_maps": sql.with_(sql.EVENTS, sql.PROFILE) + """
 select user_id,
        array_to_string(list(f order by f), ',') as names, array_to_string(list(v order by f), ',') as texts

@@ -21,27 +21,34 @@ from tidemark.sources.feature_store import FeatureStore
 from tidemark.streaming import jobs
 from tidemark.streaming.sinks import to_files
 
-SLICE_ENDS = ["2024-01-11", "2024-01-21", "2025-01-01"]
+SLICE_ENDS = ["2024-01-11", "2024-01-21", None]  # the last slice is open and takes records without a time
 JOB_NOW = "2024-02-01 00:00:00"  # every window is closed by then
-FILES = 4  # files per slice, and per micro-batch
+ROWS_PER_FILE = 250_000
 NOW_OR_NEVER = {"availableNow": True}
 EVENT_SCHEMA = """event_id string, user_id string, event_type string, product_id string, category string,
 amount double, currency string, event_ts timestamp, session_id string, device string"""
 
 
-def _write_slice(rows: DataFrame, path: str, number: int) -> None:
-    rows.repartition(FILES).write.parquet(f"{path}/slice={number}")
+def _files(rows: DataFrame) -> int:
+    """Files per slice, and so per micro-batch, for the rows there are."""
+    return max(4, -(-rows.count() // (len(SLICE_ENDS) * ROWS_PER_FILE)))
 
 
-def _slices(rows: DataFrame, path: str, numbers, column: str = "event_ts") -> None:
+def _write_slice(rows: DataFrame, path: str, number: int, files: int) -> None:
+    rows.repartition(files).write.parquet(f"{path}/slice={number}")
+
+
+def _slices(rows: DataFrame, path: str, numbers, files: int, column: str = "event_ts") -> None:
     for i in numbers:
         begin = F.lit(True) if i == 0 else F.col(column) >= at(SLICE_ENDS[i - 1])
-        _write_slice(rows.where(begin & (F.col(column) < at(SLICE_ENDS[i]))), path, i)
+        end = F.col(column) < at(SLICE_ENDS[i]) if SLICE_ENDS[i] else F.lit(True)
+        inside = begin & end if SLICE_ENDS[i] else begin | F.col(column).isNull()
+        _write_slice(rows.where(inside), path, i, files)
 
 
-def _read(session: SparkSession, path: str, schema: str) -> DataFrame:
+def _read(session: SparkSession, path: str, schema: str, files: int) -> DataFrame:
     """The slices as a stream; files in order of writing, one slice per micro-batch."""
-    return event_source(session, "parquet", f"{path}/slice=*", {"maxFilesPerTrigger": str(FILES)}, schema)
+    return event_source(session, "parquet", f"{path}/slice=*", {"maxFilesPerTrigger": str(files)}, schema)
 
 
 def _all_windows(spark: SparkSession, stream: DataFrame, root: str, grp: str) -> DataFrame:
@@ -62,9 +69,11 @@ def _all_windows(spark: SparkSession, stream: DataFrame, root: str, grp: str) ->
 def _windows(grp: str):
     def query(spark, sf):
         root = shared_dir(spark, f"stream-{grp}")
-        _slices(events(spark, sf), f"{root}/events", range(3))
+        ev = events(spark, sf)
+        files = _files(ev)
+        _slices(ev, f"{root}/events", range(3), files)
         session = streaming_session(spark)
-        return _all_windows(spark, _read(session, f"{root}/events", EVENT_SCHEMA), root, grp)
+        return _all_windows(spark, _read(session, f"{root}/events", EVENT_SCHEMA, files), root, grp)
 
     return query
 
@@ -75,14 +84,15 @@ def _late(grp: str):
     def query(spark, sf):
         root = shared_dir(spark, f"late-{grp}")
         ev = events(spark, sf)
+        files = _files(ev)
         late = F.col("product_id") == "p00007"
-        _write_slice(ev.where(~late), f"{root}/events", 0)
+        _write_slice(ev.where(~late), f"{root}/events", 0, files)
         # records without a time: they join no window but let the watermark take effect
         _write_slice(ev.where(F.col("product_id") == "p00008").withColumn("event_ts", F.lit(None).cast("timestamp")),
-                     f"{root}/events", 1)
-        _write_slice(ev.where(late), f"{root}/events", 2)
+                     f"{root}/events", 1, files)
+        _write_slice(ev.where(late), f"{root}/events", 2, files)
         session = streaming_session(spark)
-        return _all_windows(spark, _read(session, f"{root}/events", EVENT_SCHEMA), root, grp)
+        return _all_windows(spark, _read(session, f"{root}/events", EVENT_SCHEMA, files), root, grp)
 
     return query
 
@@ -93,9 +103,10 @@ def _run_job(spark, sf, root):
     session = streaming_session(spark)
     store = FeatureStore(session, f"{root}/store")
     progress = jobs.ProgressLog(session, f"{root}/progress")
+    files = _files(ev)
     for part in ([0, 1], [2]):
-        _slices(ev, f"{root}/events", part)
-        stream = _read(session, f"{root}/events", EVENT_SCHEMA)
+        _slices(ev, f"{root}/events", part, files)
+        stream = _read(session, f"{root}/events", EVENT_SCHEMA, files)
         queries = jobs.start_features(stream, store, f"{root}/checkpoints", trigger=NOW_OR_NEVER, now=at(JOB_NOW))
         jobs.finish(queries)
         progress.append(queries)
@@ -127,10 +138,12 @@ def _job_progress(spark, sf):
 
 def _ingest(spark, sf):
     root = shared_dir(spark, "ingest")
-    _slices(messages(spark, sf), f"{root}/raw", range(3), "timestamp")
+    sent = messages(spark, sf)
+    files = _files(sent)
+    _slices(sent, f"{root}/raw", range(3), files, "timestamp")
     session = streaming_session(spark)
     schemas = packaged_schemas()
-    raw = _read(session, f"{root}/raw", MESSAGE_SCHEMA)
+    raw = _read(session, f"{root}/raw", MESSAGE_SCHEMA, files)
     query = jobs.start_ingest(raw, schemas, schemas[max(schemas)], f"{root}/decoded", f"{root}/checkpoints", trigger=NOW_OR_NEVER)
     jobs.finish([query])
     return root
@@ -147,9 +160,11 @@ def _ingested_rejects(spark, sf):
 
 def _publish(spark, sf):
     root = shared_dir(spark, "publish")
-    _slices(record_texts(spark, sf), f"{root}/records", range(3), "timestamp")
+    texts = record_texts(spark, sf)
+    files = _files(texts)
+    _slices(texts, f"{root}/records", range(3), files, "timestamp")
     session = streaming_session(spark)
-    records = _read(session, f"{root}/records", "value string, timestamp timestamp")
+    records = _read(session, f"{root}/records", "value string, timestamp timestamp", files)
     query = jobs.start_publish(records, packaged_schemas(), 2, to_files(f"{root}/messages"), to_files(f"{root}/letters"),
                                f"{root}/checkpoints", trigger=NOW_OR_NEVER)
     jobs.finish([query])
@@ -193,9 +208,10 @@ _FIELDS = [
 def _job_windows(grp: str) -> str:
     """Per slice the newest window it touched, as far as events had arrived; then the fold over slices."""
     _, _, length, slide = SPECS[grp]
-    parts, begin = [], "2000-01-01"
+    parts, begin = [], "0001-01-01"
     for i, end in enumerate(SLICE_ENDS):
-        parts.append(f"ev_{grp}_{i} as (select * from ev where event_ts < timestamp '{end}')")
+        until = f"event_ts < timestamp '{end}'" if end else "true"
+        parts.append(f"ev_{grp}_{i} as (select * from ev where {until})")
         parts.append(sql.windows(f"w_{grp}_{i}", length, slide, source=f"ev_{grp}_{i}"))
         parts.append(f"""
 last_{grp}_{i} as (

@@ -4,7 +4,11 @@ Layout below one root::
 
     log/grp=5m/batch_id=17/            rows written by micro-batch 17 (a replay overwrites its directory)
     snapshot/version=3/grp=5m/bucket=9 one row per user, everything folded up to the manifest's batch
-    manifest/version=3/                last folded batch per group; written last, so it publishes version 3
+    manifest/version=3/                last folded batch per group, bucket count and null rule of the store;
+                                       written last, so it publishes version 3
+
+A batch counts once its folder holds the marker that Spark writes last. Compaction stops before the first batch
+without one, so a batch in flight is folded by a later compaction, and vacuum deletes only what was folded.
 """
 
 from __future__ import annotations
@@ -14,7 +18,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import SPAN
 from tidemark.operators.store import GUARDS, compact, feature_vectors, fold_log, to_log
 
 
@@ -23,8 +26,9 @@ class FeatureStore:
                  rows_per_file: int = 2_000_000):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets
-        self.on_null = on_null  # must not change between compactions of one store
+        # a store that was published keeps the bucket count and null rule it was published with
+        stored = self._settings()
+        self.buckets, self.on_null = stored if stored else (buckets, on_null)
         self.rows_per_file = rows_per_file
 
     # -- files
@@ -41,6 +45,18 @@ class FeatureStore:
         jpath, fs = self._path(path)
         return [status.getPath().getName() for status in fs.listStatus(jpath)] if fs.exists(jpath) else []
 
+    def _manifests(self) -> DataFrame | None:
+        path = f"{self.root}/manifest"
+        if not self._exists(path):
+            return None
+        schema = "grp string, last_batch bigint, buckets int, on_null string, version int"
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _settings(self) -> tuple[int, str] | None:
+        rows = self._manifests()
+        newest = None if rows is None else rows.where("buckets is not null").orderBy(F.desc("version")).first()
+        return (newest["buckets"], newest["on_null"]) if newest else None
+
     def _bucket(self, user_id: Column) -> Column:
         return F.pmod(F.xxhash64(user_id), F.lit(self.buckets)).cast("int")
 
@@ -62,11 +78,21 @@ class FeatureStore:
         names = self._children(f"{self.root}/log")
         return sorted(n.removeprefix("grp=") for n in names if n.startswith("grp="))
 
+    def _batch_ids(self, grp: str, pattern: str) -> set[int]:
+        jpath, fs = self._path(f"{self.root}/log/grp={grp}/{pattern}")
+        paths = [str(status.getPath()) for status in fs.globStatus(jpath) or []]
+        return {int(p.split("/batch_id=")[1].split("/")[0]) for p in paths}
+
     def batches(self, grp: str, after: int = -1) -> list[int]:
-        """Ids of the batches written for a group, from directory names."""
-        names = self._children(f"{self.root}/log/grp={grp}")
-        ids = [int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")]
-        return sorted(i for i in ids if i > after)
+        """Ids of the batches that were written to their end."""
+        return sorted(i for i in self._batch_ids(grp, "batch_id=*/_SUCCESS") if i > after)
+
+    def foldable(self, grp: str, after: int = -1) -> list[int]:
+        """The batches before the first one that is still being written: only these may be published."""
+        done = self.batches(grp, after)
+        in_flight = self._batch_ids(grp, "batch_id=*") - set(done)
+        first = min((i for i in in_flight if i > after), default=None)
+        return done if first is None else [i for i in done if i < first]
 
     def log(self, grp: str, batches: Sequence[int]) -> DataFrame:
         """Log rows of the named batches; no other batch directory is listed or read."""
@@ -76,10 +102,9 @@ class FeatureStore:
 
     def manifest(self) -> tuple[int, dict[str, int]]:
         """Published snapshot version (0 if none) and the last folded batch per group."""
-        path = f"{self.root}/manifest"
-        if not self._exists(path):
+        rows = self._manifests()
+        if rows is None:
             return 0, {}
-        rows = self.spark.read.schema("grp string, last_batch bigint, version int").parquet(path)
         newest = rows.groupBy("grp").agg(F.max_by(F.struct("version", "last_batch"), "version").alias("m"))
         found = newest.select("grp", "m.*").collect()  # one row per feature group
         return max(r.version for r in found), {r.grp: r.last_batch for r in found}
@@ -104,11 +129,7 @@ class FeatureStore:
         later = self.log(grp, batches)
         if users is not None:
             later = later.where(F.col("user_id").isin(*users))
-        # a user has one row per batch, so few batches allow the plain window
-        span = None if len(batches) <= SPAN else SPAN
-        if snapshot is None:
-            return fold_log(later, self.on_null, span)
-        return compact(snapshot, later, self.on_null, span)
+        return fold_log(later, self.on_null) if snapshot is None else compact(snapshot, later, self.on_null)
 
     def vectors(self, users: Sequence[str] | None = None) -> DataFrame:
         return feature_vectors({g: self.fold(g, users) for g in self.groups()})
@@ -120,7 +141,7 @@ class FeatureStore:
         version, folded = self.manifest()
         marks = []
         for grp in self.groups():
-            batches = self.batches(grp, folded.get(grp, -1))
+            batches = self.foldable(grp, folded.get(grp, -1))
             snapshot = self.snapshot(grp, version) if grp in folded else None
             if not batches and snapshot is None:
                 continue
@@ -135,10 +156,10 @@ class FeatureStore:
                 .partitionBy("bucket")
                 .parquet(f"{self.root}/snapshot/version={version + 1}/grp={grp}")
             )
-            marks.append((grp, batches[-1] if batches else folded[grp]))
+            marks.append((grp, batches[-1] if batches else folded[grp], self.buckets, self.on_null))
         if not marks:
             return version
-        marked = self.spark.createDataFrame(marks, "grp string, last_batch bigint").coalesce(1)
+        marked = self.spark.createDataFrame(marks, "grp string, last_batch bigint, buckets int, on_null string").coalesce(1)
         marked.write.mode("overwrite").parquet(f"{self.root}/manifest/version={version + 1}")
         return version + 1
 
