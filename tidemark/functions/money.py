@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 GRID = "decimal(18,4)"
 
 
-def money_sums(matches: Column, amount: Column, name: str) -> list[Column]:
+def money_sums(matches: Column, amount: Column, name: str, counted: Column | None = None) -> list[Column]:
     """Two mergeable aggregates for ``amount`` over matching rows.
 
     A row that does not match adds zero; a matching row without amount adds nothing, so the total is
-    null only if no row added anything.
+    null only if no row added anything. Rows that are not ``counted`` do neither.
     """
+    counted = F.lit(True) if counted is None else counted
     on_grid = amount.try_cast(GRID)
     exact = on_grid.cast("double") == amount
     return [
-        F.sum(F.when(matches, F.when(exact, on_grid)).otherwise(F.lit(0).cast(GRID))).alias(f"{name}_grid"),
-        F.sum(F.when(matches & F.coalesce(~exact, amount.isNotNull()), amount)).alias(f"{name}_rest"),
+        F.sum(F.when(counted, F.when(matches, F.when(exact, on_grid)).otherwise(F.lit(0).cast(GRID)))).alias(f"{name}_grid"),
+        F.sum(F.when(counted & matches & F.coalesce(~exact, amount.isNotNull()), amount)).alias(f"{name}_rest"),
     ]
 
 
