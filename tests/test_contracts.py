@@ -42,11 +42,11 @@ def test_packaged_versions_are_compatible(spark):
 
 
 def test_breaking_changes(spark):
-    coupon = changed(V2, lambda f: f.append({"name": "coupon", "type": "string"}))
+    voucher = changed(V2, lambda f: f.append({"name": "voucher", "type": "string"}))
     amount = changed(V2, lambda f: next(x for x in f if x["name"] == "amount").update(type="string"))
     dropped = changed(V2, lambda f: f.pop())
     nullable = changed(V2, lambda f: f.append({"name": "note", "type": ["null", "string"], "default": None}))
-    assert issues(spark, V2, coupon) == ["new field 'coupon' has no default"]
+    assert issues(spark, V2, voucher) == ["new field 'voucher' has no default"]
     assert issues(spark, V2, amount) == ["field 'amount' changed type 'double' -> 'string'"]
     assert issues(spark, V2, dropped) == [] and issues(spark, V2, nullable) == []
 

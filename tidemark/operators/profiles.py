@@ -17,8 +17,8 @@ PROFILE = {
 def latest_profile(events: DataFrame) -> DataFrame:
     """The newest event of each user; equal times go to the greatest event id.
 
-    ``max_by`` combines map-side, so a hot user costs one row per map task instead of a sort of all
-    their events.
+    ``max_by`` over a struct with text is a sort aggregate: each map task sorts its own rows by user and
+    sends one row per user, so a hot user costs one row per map task and no task sees all their events.
     """
     tie_break = ["event_id"] if "event_id" in events.columns else list(PROFILE.values())
     newest = F.max_by(F.struct("event_ts", *PROFILE.values()), F.struct("event_ts", *tie_break))

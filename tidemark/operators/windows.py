@@ -162,12 +162,10 @@ def _paned(events: DataFrame, window: str, slide: str, exact: bool) -> DataFrame
 
 
 def select_current_windows(windows: DataFrame, now: Column | None = None) -> DataFrame:
-    """The one window per user to serve at ``now``.
+    """One window of each user, by a score of its end against ``now``.
 
-    An open window (end after ``now``) beats a closed one; among open windows the one closing soonest
-    spans the most past, among closed ones the latest end is freshest. Both rules are one number: closed
-    windows score minus their age, open ones score higher the sooner they close. ``max_by`` on that number
-    combines map-side and never sorts a user's windows.
+    Ends that lie ahead score above all that have passed, and more the nearer they are; passed ends score
+    their negative distance. ``max_by`` on the score combines map-side and sorts no user's windows.
     """
     now = F.current_timestamp() if now is None else now
     ahead = F.unix_micros("window_end") - F.unix_micros(now)

@@ -112,7 +112,7 @@ loose as (
   union all
   select subject, version, schema_id, previous, 4, 'device', 'null | string', '["null","string"]', true from ct where not broken and urgent
   union all
-  select subject, version, schema_id, previous, 5, 'coupon', 'string', 'string', false from ct where not broken and dear
+  select subject, version, schema_id, previous, 5, 'voucher', 'string', 'string', false from ct where not broken and dear
   union all
   select subject, version, schema_id, previous, 6, 'currency', 'string', 'string', true from ct where not broken and late
 ),

@@ -109,7 +109,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.concat(F.lit('{"name":"event_ts","type":'), stamp, F.lit("}")),
         F.when(urgent < "3", '{"name":"device","type":["null","string"],"default":null}'),
-        F.when(F.col("o_totalprice") > 250000, '{"name":"coupon","type":"string"}'),
+        F.when(F.col("o_totalprice") > 250000, '{"name":"voucher","type":"string"}'),
         F.when(F.dayofmonth("o_orderdate") > 15, '{"name":"currency","type":"string","default":"USD"}'),
     )
     schema = F.concat(

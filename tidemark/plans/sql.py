@@ -14,8 +14,7 @@ ev as (
          'u' || lpad(cast(user_id as varchar), 6, '0') as user_id,
          case event_type when 'click' then 'add_to_cart' when 'error' then 'refund' else event_type end as event_type,
          'p' || lpad(regexp_extract(props, '[0-9]+'), 5, '0') as product_id,
-         ['electronics','books','fashion','home','beauty','sports','toys','grocery']
-           [cast(regexp_extract(props, '[0-9]+') as integer) % 8 + 1] as category,
+         'category-' || cast(cast(regexp_extract(props, '[0-9]+') as integer) % 8 as varchar) as category,
          value as amount,
          'USD' as currency,
          ts as event_ts,
