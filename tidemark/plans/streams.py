@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.windows import windowed_features
 from tidemark.plans import sql
 from tidemark.plans.derived import at, events, messages, plain, record_texts
-from tidemark.plans.windows import SPECS
+from tidemark.plans.windows import DISTINCT, SPECS, distinct_checked
 from tidemark.plans.wire import ORACLES as WIRE
 from tidemark.session import shared_dir, streaming_session
 from tidemark.sources.contracts import packaged_schemas
@@ -63,7 +63,7 @@ def _all_windows(spark: SparkSession, stream: DataFrame, root: str, grp: str) ->
     emitted = spark.read.parquet(f"{root}/windows")
     rest = [c for c in emitted.columns if c not in ("user_id", "window_start", "batch_id")]
     last = emitted.groupBy("user_id", "window_start").agg(*[F.max_by(c, "batch_id").alias(c) for c in rest])
-    return plain(last.drop("distinct_products", "distinct_categories"))
+    return last
 
 
 def _windows(grp: str):
@@ -73,7 +73,9 @@ def _windows(grp: str):
         files = _files(ev)
         _slices(ev, f"{root}/events", range(3), files)
         session = streaming_session(spark)
-        return _all_windows(spark, _read(session, f"{root}/events", EVENT_SCHEMA, files), root, grp)
+        last = _all_windows(spark, _read(session, f"{root}/events", EVENT_SCHEMA, files), root, grp)
+        window, slide, *_ = SPECS[grp]
+        return plain(distinct_checked(last, windowed_features(ev, window, slide, exact=True), ["user_id", "window_start"]))
 
     return query
 
@@ -92,7 +94,8 @@ def _late(grp: str):
                      f"{root}/events", 1, files)
         _write_slice(ev.where(late), f"{root}/events", 2, files)
         session = streaming_session(spark)
-        return _all_windows(spark, _read(session, f"{root}/events", EVENT_SCHEMA, files), root, grp)
+        last = _all_windows(spark, _read(session, f"{root}/events", EVENT_SCHEMA, files), root, grp)
+        return plain(last.drop(*DISTINCT))  # late rows count in some windows only; their distincts have no exact side
 
     return query
 
@@ -189,8 +192,9 @@ QUERIES = {
 
 def _windows_sql(grp: str, **options) -> str:
     _, _, length, slide = SPECS[grp]
+    close = "" if options else ", true as distinct_close"
     return sql.with_(sql.EVENTS, sql.windows("feats", length, slide, **options)) + (
-        "select * exclude (distinct_products, distinct_categories) from feats"
+        f"select * exclude (distinct_products, distinct_categories){close} from feats"
     )
 
 
