@@ -57,7 +57,7 @@ def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             "device",
         )
     )
-    amount_text = F.regexp_replace(text, r'"category":"([a-z]+)"', r'"category":"$1","amount":"12.99 USD"')
+    amount_text = F.regexp_replace(text, r'"category":"([^"]+)"', r'"category":"$1","amount":"12.99 USD"')
     text = (
         F.when(product == "p00057", amount_text)
         .when(product == "p00091", F.regexp_replace(text, r'"event_ts":[0-9]+', '"event_ts":"yesterday"'))
