@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 from tidemark.session import shared_dir, written_once
 
-__all__ = ["keep_rows", "read", "shared_dir", "text_or_empty", "wrapped", "written_once"]
+#: Bytes of text that one batch takes to a Python worker; long texts come in batches of fewer rows.
+BATCH_BYTES = 8 << 20
+
+__all__ = ["keep_rows", "read", "small_batches", "shared_dir", "text_or_empty", "wrapped", "written_once"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches hold at most ``BATCH_BYTES``: a worker's memory then depends on
+    its longest text, not on how many rows make a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

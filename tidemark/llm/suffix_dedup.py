@@ -10,7 +10,8 @@ gram that occurs once in the corpus needs no further look. What remains is sorte
    by gram. A shard is sorted by induced sorting (``suffixes``); runs of suffixes whose permuted common prefixes
    reach ``SPAN`` are equal strings, and a string with two starts is repeated.
 3. A gram with more than ``CLASSES`` classes is spread over several shards. Each gives every string of its array
-   once, by digest, and strings that two shards gave are repeated as well.
+   once, by digest, dealt into buckets whose number grows with the shards; strings that two shards gave are repeated
+   as well.
 4. Classes give their repeated starts back to all their documents, where covered bytes are merged and removed.
 
 Defined results: null and empty texts are no bytes; a row repeated whole is another document, so its strings repeat;
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, text_or_empty, written_once
+from tidemark.llm.common import read, small_batches, text_or_empty, written_once
 from tidemark.llm.suffixes import joined, permuted_prefixes, suffix_array
 
 SPAN = 400
@@ -142,30 +143,44 @@ def _spans(repeated) -> list[int]:
     return np.column_stack((edge[::2], edge[1::2] - 1)).ravel().tolist()
 
 
+#: A string of a spread gram: its digest, and its class and place where it has no other in its shard (else -1).
+STRING = [("string", "<u8", 2), ("digest", "<u8", 2), ("start", "<i4")]
+#: String buckets for each shard of a spread gram.
+BUCKETS = 4
+
+
 def _sorted_shards(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``gram, digest, spans`` for classes, and such rows with ``string`` for strings of spread grams: each
-    string of the shard once, with its class and place only if it has no other in this shard."""
+    """Rows ``gram, digest, spans`` for classes; for spread grams rows ``gram, bucket, strings``, in which each
+    string of the shard is packed once."""
     import numpy as np
     import xxhash
 
-    names = ["gram", "digest", "spans", "string"]
-    types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
+    names = ["gram", "digest", "spans", "bucket", "strings"]
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
 
     def done(held):
         repeated, runs = repeated_starts([(r["bytes"], r["n"]) for r in held], span)
-        out, given = [], set()
+        out, given, packed = [], set(), {}
         for r, again, run in zip(held, repeated, runs):
             if r["n"] > 1:
                 again = np.ones(len(again), bool)
             if again.any():
-                out.append((r["gram"], r["digest"], _spans(again), None))
-            if r["spread"]:
+                out.append((r["gram"], r["digest"], _spans(again), None, None))
+            if r["shards"] > 1:
+                strings = packed.setdefault((r["gram"], r["shards"]), [])
                 for k, (a, at) in enumerate(zip(again.tolist(), run.tolist())):
                     if not a or at not in given:
                         given.add(at)
                         string = xxhash.xxh3_128_digest(r["bytes"][k : k + span])
-                        out.append((r["gram"], None if a else r["digest"], None if a else [k, k], string))
-        columns = zip(*out) if out else [[]] * 4
+                        strings.append(string + (bytes(16) if a else r["digest"]) + (-1 if a else k).to_bytes(4, "little", signed=True))
+        for (gram, shards), strings in packed.items():
+            table = np.frombuffer(b"".join(strings), STRING)
+            bucket = (table["string"][:, 0] % np.uint64(shards * BUCKETS)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            found, first = np.unique(bucket[order], return_index=True)
+            for k, part in zip(found.tolist(), np.split(table[order], first[1:])):
+                out.append((gram, None, None, k, part.tobytes()))
+        columns = zip(*out) if out else [[]] * 5
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     held, size, last = [], 0, None
@@ -184,20 +199,36 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.
         yield done(held)
 
 
+def _across(group):
+    """Starts whose strings several shards gave, of one bucket of a spread gram's strings."""
+    import numpy as np
+    import pandas as pd
+
+    table = np.frombuffer(b"".join(group["strings"]), STRING)
+    _, place, count = np.unique(table["string"], axis=0, return_inverse=True, return_counts=True)
+    table = table[(count[place.ravel()] > 1) & (table["start"] >= 0)]
+    digests, place = np.unique(table["digest"], axis=0, return_inverse=True)
+    order = np.lexsort((table["start"], place.ravel()))
+    starts = np.split(table["start"][order], np.cumsum(np.bincount(place.ravel()))[:-1])
+    spans = pd.Series([np.repeat(s, 2).tolist() for s in starts[: len(digests)]], dtype=object)
+    names = pd.Series([d.tobytes() for d in digests], dtype=object)
+    return pd.DataFrame({"gram": np.full(len(names), group["gram"].iloc[0]), "digest": names, "spans": spans})
+
+
 def repeated_classes(docs: DataFrame, twice: DataFrame, span: int) -> DataFrame:
     """``gram, digest, spans``: repeated starts of every class, relative to its first start."""
     classes = twice.groupBy("gram", "digest").agg(
         F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "own", "first", "last")]
     )
     classes = written_once(classes, "suffix-classes")
-    many = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    many = written_once(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "suffix-many")
     shards = F.ceil(F.col("classes") / CLASSES)
     wanted = classes.join(many, "gram").select(
         "doc_id",
         "own",
         F.struct(
             "gram", "digest", "n", "first", "last",
-            F.pmod(F.xxhash64("digest"), shards).cast("long").alias("salt"), (shards > 1).alias("spread"),
+            F.pmod(F.xxhash64("digest"), shards).cast("long").alias("salt"), shards.cast("long").alias("shards"),
         ).alias("piece"),
     )
     per_text = wanted.groupBy("doc_id", "own").agg(F.collect_list("piece").alias("pieces"))
@@ -209,22 +240,21 @@ def repeated_classes(docs: DataFrame, twice: DataFrame, span: int) -> DataFrame:
                 cut = [{**p, "bytes": raw[p["first"] : p["last"] + span]} for p in pieces]
                 yield pa.RecordBatch.from_pylist(cut, pa.schema([(n, t) for n, t in fields]))
 
-    fields = [("gram", pa.int64()), ("salt", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("spread", pa.bool_()), ("bytes", pa.binary())]
-    schema = "gram long, salt long, digest binary, n long, spread boolean, bytes binary"
+    fields = [("gram", pa.int64()), ("salt", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("shards", pa.int64()), ("bytes", pa.binary())]
+    schema = "gram long, salt long, digest binary, n long, shards long, bytes binary"
     p = per_text.select(F.col("doc_id").alias("p_id"), F.col("own").alias("p_own"), "pieces")
     on = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("own") == F.col("p_own"))
     fetched = docs.join(p, on).select("text", "pieces").mapInArrow(fetch, schema)
     dealt = fetched.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "digest")
-    out = dealt.mapInArrow(lambda b: _sorted_shards(b, span), "gram long, digest binary, spans array<int>, string binary")
+    out = dealt.mapInArrow(lambda b: _sorted_shards(b, span), "gram long, digest binary, spans array<int>, bucket int, strings binary")
     out = written_once(out, "suffix-shards")
 
-    strings = out.where("string is not null")
-    again = strings.groupBy("gram", "string").agg(F.count(F.lit(1)).alias("shards")).where("shards > 1")
-    across = strings.where("digest is not null").join(again, ["gram", "string"], "left_semi")
+    strings = out.where("strings is not null").select("gram", "bucket", "strings")
+    across = strings.groupBy("gram", "bucket").applyInPandas(_across, "gram long, digest binary, spans array<int>")
     single = classes.join(many, "gram", "left_anti").where("n > 1")
     return (
-        out.where("string is null").select("gram", "digest", "spans")
-        .unionByName(across.select("gram", "digest", "spans"))
+        out.where("strings is null").select("gram", "digest", "spans")
+        .unionByName(across)
         .unionByName(single.select("gram", "digest", F.expr("array(0, cast(last - first as int))").alias("spans")))
     )
 
@@ -243,9 +273,10 @@ def covered(spans, span: int):
 def without_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row; kept has the bytes that stay."""
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
     found = written_once(segments(rows, span), "suffix-segments")
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that both sides of the join are shuffled for it and a frequent gram can be split
+    grams = written_once(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-grams")
     twice = written_once(found.join(grams, "gram", "left_semi"), "suffix-twice")
     classes = written_once(repeated_classes(rows, twice, span), "suffix-repeated")
     per_text = twice.join(classes, ["gram", "digest"]).groupBy("doc_id", "own").agg(
