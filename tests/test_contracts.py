@@ -112,6 +112,22 @@ def test_levels(spark):
     assert {r.level for r in ops.compat_levels(c, levels.where("subject is not null")).collect()} == {"FULL", "BACKWARD"}
 
 
+def test_levels_are_obeyed(spark):
+    less = changed(V1, lambda f: f.pop())
+    more = changed(V1, lambda f: f.append({"name": "n", "type": "int"}))
+    names = ["BACKWARD", "FORWARD", "FULL", "NONE"]
+    c = table(spark, [(n, 1, k, V1) for k, n in enumerate(names, 1)])
+    levels = spark.createDataFrame([(n, n) for n in names[1:]], "subject string, level string")
+    removed = "default" in V1["fields"][-1]  # whether the old schema could fill the field it loses
+    for schema, want in ((more, {"BACKWARD": False, "FORWARD": True, "FULL": False, "NONE": True}),
+                         (less, {"BACKWARD": True, "FORWARD": removed, "FULL": removed, "NONE": True})):
+        cand = spark.createDataFrame([(n, 1, json.dumps(schema)) for n in names], "subject string, seq int, schema string")
+        got = {r.subject: r.compatible for r in ops.is_compatible(c, cand.drop("seq"), levels).collect()}
+        assert got == want
+        status = {r.subject: r.status for r in ops.register(c, cand, levels=levels).collect()}
+        assert status == {n: "registered" if ok else "refused" for n, ok in want.items()}
+
+
 def lint(old, new):
     was = {f["name"]: f for f in old["fields"]}
     for f in new["fields"]:

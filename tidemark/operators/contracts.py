@@ -147,6 +147,23 @@ def issue_list(new: Column, old: Column) -> Column:
     return F.filter(F.transform(F.transform(new, beside), judged), lambda x: x["issue"].isNotNull())
 
 
+def issues_at(level: Column, new: Column, old: Column) -> Column:
+    """Issues that ``level`` asks about: ``BACKWARD`` reads old data with the new schema, ``FORWARD`` new data with the
+    old one, ``FULL`` both, ``NONE`` neither. All compare with the newest version."""
+    back, ahead = issue_list(new, old), issue_list(old, new)
+    nothing = F.filter(back, lambda x: F.lit(False))
+    return (
+        F.when(level.startswith("BACKWARD"), back).when(level.startswith("FORWARD"), ahead)
+        .when(level.startswith("FULL"), F.concat(back, ahead)).otherwise(nothing)
+    )
+
+
+def _with_level(rows: DataFrame, subjects: DataFrame, levels: DataFrame | None) -> DataFrame:
+    if levels is None:
+        return rows.withColumn("_level", F.lit(DEFAULT_LEVEL))
+    return rows.join(compat_levels(subjects, levels).withColumnRenamed("level", "_level"), "subject", "left")
+
+
 def compat_issues(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
     """Issues between each version and the one before it, one row each; removed fields are allowed."""
     pairs = paired_versions(contracts, span).where(F.col("before").isNotNull())
@@ -184,10 +201,14 @@ def candidate_issues(contracts: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.select("subject", found.alias("x")).select("subject", "x.name", "x.issue")
 
 
-def is_compatible(contracts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``subject, compatible, messages`` per candidate; a subject nobody registered accepts anything."""
-    both = candidates.join(_newest_fields(contracts), "subject", "left")
-    found = issue_list(parsed_fields(F.col("schema")), F.col("start_fields"))
+def is_compatible(contracts: DataFrame, candidates: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """``subject, compatible, messages`` per candidate; a subject nobody registered accepts anything.
+
+    ``levels`` (``subject, level``; the row without a subject is the global one) are obeyed; without them every
+    subject has the default level.
+    """
+    both = _with_level(candidates, candidates, levels).join(_newest_fields(contracts), "subject", "left")
+    found = issues_at(F.col("_level"), parsed_fields(F.col("schema")), F.col("start_fields"))
     known = F.col("start_fields").isNotNull()
     issues = F.when(known, F.transform(found, lambda x: x["issue"])).otherwise(F.array().cast("array<string>"))
     return both.select("subject", F.array_sort(issues).alias("messages")).select(
@@ -195,8 +216,11 @@ def is_compatible(contracts: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def register(contracts: DataFrame, candidates: DataFrame, span: int | None = SPAN) -> DataFrame:
-    """Decide candidates (``subject, seq, schema``) taken in order of ``seq`` within each subject.
+def register(
+    contracts: DataFrame, candidates: DataFrame, span: int | None = SPAN, levels: DataFrame | None = None
+) -> DataFrame:
+    """Decide candidates (``subject, seq, schema``) taken in order of ``seq`` within each subject, at the level set
+    for it (see :func:`is_compatible`).
 
     ``status``: ``registered`` (with a new version and id), ``unchanged`` (this schema is registered
     already; its version and id are returned), ``refused`` (the first that is incompatible or no valid
@@ -221,8 +245,10 @@ def register(contracts: DataFrame, candidates: DataFrame, span: int | None = SPA
 
     bases = candidates.select("subject", F.col("seq").alias("base_seq"), parsed_fields(F.col("schema")).alias("base_fields"))
     compared = turn.join(bases, ["subject", "base_seq"], "left").join(_newest_fields(contracts), "subject", "left")
+    compared = _with_level(compared, candidates, levels)
     old = F.coalesce("base_fields", "start_fields")
-    breaking = F.when(old.isNotNull(), F.size(issue_list(parsed_fields(F.col("schema")), old)) > 0).otherwise(False)
+    found = issues_at(F.col("_level"), parsed_fields(F.col("schema")), old)
+    breaking = F.when(old.isNotNull(), F.size(found) > 0).otherwise(False)
     broken = breaking | ~is_valid_schema(F.col("schema"))
     # everything below looks at these rows several times: compute them once, into the shared folder
     judged = written_once(compared.select(*turn.columns, broken.alias("broken")), "register")
