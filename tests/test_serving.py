@@ -21,7 +21,7 @@ def test_percentile_rules(spark):
     assert tuple(serving.benchmark_latency(df).first()) == (20, 10.5, 19.0, 20.0)
 
 
-@pytest.mark.parametrize("cell", [0.5, 1000.0])
+@pytest.mark.parametrize("cell", [1, 7, 256])
 @pytest.mark.parametrize("values", [[3.25], [2.0, 1.0], [5.0] * 7 + [0.125, -3.5], [i * 0.37 % 5 for i in range(333)]])
 def test_percentiles_equal_sorted_list(spark, values, cell):
     got = serving.serving_latency(lookups(spark, values), cell).first()

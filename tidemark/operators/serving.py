@@ -83,24 +83,28 @@ def newest(rows: DataFrame, at: str, k: int, *tie_break: str) -> DataFrame:
     return rows.orderBy(F.col(at).desc_nulls_last(), *tie_break).limit(k)
 
 
-def _ranked(rows: DataFrame, value: str, cell: float) -> DataFrame:
+def _ranked(rows: DataFrame, value: str, cells: int) -> DataFrame:
     """``value, first, after, n``: the ranks [first, after) that each distinct value occupies among n rows.
 
-    Values are counted map-side, then positioned in two steps: totals of value cells, whose number is
-    bounded by the value range over the cell width, and positions inside a cell. No task holds all values.
+    Values are counted map-side, then positioned in two steps: totals of cells, and positions inside a cell.
+    Cells are cut at approximate quantiles of the distinct values, so each holds about as many of them wherever
+    the values lie, and their number is fixed. Quantiles only decide who is counted where; ranks are exact.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(
         F.count(F.lit(1)).alias("times")
     )
-    counts = counts.withColumn("cell", F.floor(F.col("value") / F.lit(cell)))
+    shares = [k / cells for k in range(1, cells)]
+    cuts = counts.agg(F.percentile_approx("value", shares or [0.5], 100 * cells).alias("cuts")).scalar()
+    counts = counts.withColumn("cuts", cuts)
+    counts = counts.withColumn("cell", F.size(F.filter("cuts", lambda cut: cut < F.col("value")))).drop("cuts")
     past = Window.rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.groupBy("cell").agg(F.sum("times").alias("rows")).select(
+    totals = counts.groupBy("cell").agg(F.sum("times").alias("rows")).select(
         "cell",
         F.coalesce(F.sum("rows").over(past.orderBy("cell")), F.lit(0)).alias("base"),
         F.sum("rows").over(Window.partitionBy()).alias("n"),
     )
     inside = Window.partitionBy("cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("times").over(inside)).join(cells, "cell")
+    placed = counts.withColumn("upto", F.sum("times").over(inside)).join(totals, "cell")
     after = F.col("base") + F.col("upto")
     return placed.select("value", (after - F.col("times")).alias("first"), after.alias("after"), "n")
 
@@ -114,24 +118,27 @@ def _median() -> Column:
     return (_at(F.floor((n - 1) / 2)) + _at(F.floor(n / 2))) / 2
 
 
-def serving_latency(lookups: DataFrame, cell: float = 1.0) -> DataFrame:
+CELLS = 256
+
+
+def serving_latency(lookups: DataFrame, cells: int = CELLS) -> DataFrame:
     """Samples, median and p95 (rank ``floor(0.95 n)``, 0-based, at most the last), to 3 places."""
     n = F.col("n")
-    return _ranked(lookups, "latency_ms", cell).agg(
+    return _ranked(lookups, "latency_ms", cells).agg(
         F.coalesce(F.max("n"), F.lit(0)).alias("samples"),
         F.round(_median(), 3).alias("p50_ms"),
         F.round(_at(F.least(n - 1, F.floor(F.lit(0.95) * n))), 3).alias("p95_ms"),
     )
 
 
-def benchmark_latency(lookups: DataFrame, cell: float = 1.0) -> DataFrame:
+def benchmark_latency(lookups: DataFrame, cells: int = CELLS) -> DataFrame:
     """Lookups, median, p95 and p99 by rank ``round((n - 1) p / 100)`` (half to even), to 2 places."""
     n = F.col("n")
 
     def rank(p: int) -> Column:
         return F.least(n - 1, F.bround((n - 1) * F.lit(float(p)) / 100).cast("bigint"))
 
-    return _ranked(lookups, "latency_ms", cell).agg(
+    return _ranked(lookups, "latency_ms", cells).agg(
         F.coalesce(F.max("n"), F.lit(0)).alias("lookups"),
         F.round(_median(), 2).alias("p50_ms"),
         F.round(_at(rank(95)), 2).alias("p95_ms"),
