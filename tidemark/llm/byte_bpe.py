@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, text_or_empty
+from tidemark.llm.common import read, small_batches, text_or_empty
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 1 << 16
@@ -94,7 +94,7 @@ class ByteBpe:
 
 def encoded(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids, decoded``."""
-    with_ids = docs.select(F.col(id_col).alias("doc_id"), bpe.ids(text_col).alias("ids"))
+    with_ids = small_batches(docs).select(F.col(id_col).alias("doc_id"), bpe.ids(text_col).alias("ids"))
     return with_ids.select(
         "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", bpe.raw("ids").alias("decoded")
     )

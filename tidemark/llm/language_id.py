@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, text_or_empty, wrapped, written_once
+from tidemark.llm.common import read, small_batches, text_or_empty, wrapped, written_once
 
 LENGTH = 400
 UNKNOWN = "und"
@@ -180,7 +180,7 @@ def fold(id_col: str | Column, parts: int) -> Column:
 
 def learned(docs: DataFrame, length: int = LENGTH) -> LanguageModel:
     """Profiles from the texts outside the held-out fold that have a language."""
-    train = docs.where(F.col("lang").isNotNull() & (fold("doc_id", 4) != 2) & F.col("text").isNotNull())
+    train = small_batches(docs).where(F.col("lang").isNotNull() & (fold("doc_id", 4) != 2) & F.col("text").isNotNull())
     return LanguageModel(written_once(profiles(train.select("lang", "text"), length), "language-profiles"), length)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_rows, read, text_or_empty, wrapped, written_once
+from tidemark.llm.common import keep_rows, read, small_batches, text_or_empty, wrapped, written_once
 from tidemark.llm.components import connected_components
 
 WORDS = 4
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             found = np.array([fingerprint_of(t, words) for t in texts.to_pylist()], np.uint64)
             yield pa.array(found.view(np.int64), pa.int64())
 
-    return docs.select(F.col(id_col).alias("doc_id"), fingerprint(text_or_empty(text_col)).alias("fp"))
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), fingerprint(text_or_empty(text_col)).alias("fp"))
 
 
 def variants(fps: DataFrame) -> DataFrame:

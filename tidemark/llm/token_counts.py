@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, shared_dir, text_or_empty, written_once
+from tidemark.llm.common import read, shared_dir, small_batches, text_or_empty, written_once
 
 TOKENIZER = "byte_bpe_50k.json"
 MOST_TOKENIZER_BYTES = 256 << 20
@@ -131,7 +131,7 @@ class TokenCache:
     def misses(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``digest, text``: one text for each digest without a stored count."""
         text = text_or_empty(text_col)
-        seen = docs.select(self.digest(text).alias("digest"), text.alias("text"))
+        seen = small_batches(docs).select(self.digest(text).alias("digest"), text.alias("text"))
         one = seen.groupBy("digest").agg(F.first("text").alias("text"))
         return one.join(self.stored().select("digest").hint("merge"), "digest", "left_anti")
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tidemark.llm.common import read, text_or_empty, written_once
+from tidemark.llm.common import read, small_batches, text_or_empty, written_once
 from tidemark.llm.language_id import fold
 
 BITS = 18
@@ -114,7 +114,7 @@ def samples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = own.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
-    learn = docs.select("doc_id", "text").where(fold("doc_id", 5) != 0)
+    learn = small_batches(docs).select("doc_id", "text").where(fold("doc_id", 5) != 0)
     ids = _share(own.where("toxic = 1").select("doc_id"), MOST_TOXIC, n_toxic, F.col("doc_id"))
     confirmed = learn.join(F.broadcast(ids), "doc_id").limit(MOST_TOXIC)
     unlabelled = _share(learn, MOST_UNLABELLED, learn.count(), F.col("doc_id"), F.xxhash64("text"))
