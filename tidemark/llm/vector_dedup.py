@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from tidemark.llm.common import read, written_once
+from tidemark.llm.common import read, small_batches, written_once
 from tidemark.llm.components import connected_components
 
 COSINE = 0.95
@@ -68,7 +68,7 @@ def vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         return pa.array(out, pa.binary())
 
     vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
-    return table.select(F.col(id_col).alias("vec_id"), raw(vector).alias("raw")), dtype
+    return small_batches(table).select(F.col(id_col).alias("vec_id"), raw(vector).alias("raw")), dtype
 
 
 def hashed(nodes: DataFrame, dtype: str, passes: int) -> DataFrame:
@@ -111,11 +111,28 @@ def _near(number, node, raw: list[bytes], dtype: str, cosine: float, window: int
             ok = (j > i) & (j <= i + window)
             i, j = i[ok] + begin, j[ok] + begin
             new = at[j] >= fresh
-            a.append(own[i[new]])
-            b.append(own[j[new]])
+            i, j = _fewer(i[new], j[new], len(at))
+            a.append(own[i])
+            b.append(own[j])
     return np.concatenate(a), np.concatenate(b)
 
 
+def _fewer(i, j, n: int):
+    """Of links between rows i < j those that connect the same rows: one link back from each row makes trees, and of
+    the others one for each two trees."""
+    import numpy as np
+
+    back = np.full(n, -1)
+    np.maximum.at(back, j, i)
+    root = np.where(back >= 0, back, np.arange(n))
+    while (root[root] != root).any():
+        root = root[root]
+    tree = np.flatnonzero(back >= 0)
+    apart = root[i] != root[j]
+    _, first = np.unique(np.sort(np.column_stack((root[i[apart]], root[j[apart]])), axis=1), axis=0, return_index=True)
+    return np.concatenate((back[tree], i[apart][first])), np.concatenate((tree, j[apart][first]))
+
+
 def _pass_links(batches: Iterator[pa.RecordBatch], dtype: str, cosine: float, window: int) -> Iterator[pa.RecordBatch]:
     """Links within a sorted partition, and its first and last rows for the neighbouring partitions."""
     import numpy as np
