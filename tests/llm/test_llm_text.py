@@ -189,6 +189,13 @@ def test_long_texts_are_cut_where_it_is_safe(encoding):
         assert [x for p in cut for x in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
 
 
+def test_ids_decode_on_their_own(spark, docs, rows):
+    bpe = byte_bpe.ByteBpe(spark)
+    coded = docs.select("doc_id", bpe.ids("text").alias("coded"))
+    back = coded.select(bpe.raw("coded").alias("raw")).collect()
+    assert sorted(bytes(r.raw) for r in back) == sorted((t or "").encode() for _, t, *_ in rows)
+
+
 def test_byte_bpe_empty(empty):
     assert byte_bpe.token_digests(empty).count() == 0
 

@@ -59,45 +59,52 @@ class ByteBpe:
             ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines.splitlines() if line)}
             return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+        def encode(own, text: str) -> bytes:
+            parts = (own.encode_to_numpy(p, disallowed_special=()) for p in pieces(text, long))
+            return b"".join(p.astype("<u4").tobytes() for p in parts)
+
+        def decode(own, ids: bytes) -> bytes:
+            import numpy as np
+
+            return own.decode_bytes(np.frombuffer(ids, "<u4").tolist())
+
         @F.arrow_udf("binary")
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = encoder()
             for texts in batches:
-                yield pa.array(
-                    [
-                        b"".join(
-                            own.encode_to_numpy(p, disallowed_special=()).astype("<u4").tobytes() for p in pieces(t, long)
-                        )
-                        for t in texts.to_pylist()
-                    ],
-                    pa.binary(),
-                )
+                yield pa.array([encode(own, t) for t in texts.to_pylist()], pa.binary())
 
         @F.arrow_udf("binary")
         def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            import numpy as np
-
             own = encoder()
             for rows in batches:
-                yield pa.array(
-                    [own.decode_bytes(np.frombuffer(r, "<u4").tolist()) for r in rows.to_pylist()], pa.binary()
-                )
+                yield pa.array([decode(own, r) for r in rows.to_pylist()], pa.binary())
 
-        self._ids, self._raw = ids, raw
+        @F.arrow_udf("struct<ids: binary, decoded: binary>")
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own = encoder()
+            for texts in batches:
+                coded = [encode(own, t) for t in texts.to_pylist()]
+                back = pa.array([decode(own, c) for c in coded], pa.binary())
+                yield pa.StructArray.from_arrays([pa.array(coded, pa.binary()), back], ["ids", "decoded"])
+
+        self._ids, self._raw, self._both = ids, raw, both
 
     def ids(self, text: str | Column) -> Column:
         return self._ids(text_or_empty(text))
 
+    def both(self, text: str | Column) -> Column:
+        """``ids`` and the bytes they decode to, from one worker with one encoder."""
+        return self._both(text_or_empty(text))
+
     def raw(self, ids: str | Column) -> Column:
         return self._raw(F.coalesce(F.col(ids) if isinstance(ids, str) else ids, F.lit(b"")))
 
 
 def encoded(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids, decoded``."""
-    with_ids = small_batches(docs).select(F.col(id_col).alias("doc_id"), bpe.ids(text_col).alias("ids"))
-    return with_ids.select(
-        "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", bpe.raw("ids").alias("decoded")
-    )
+    coded = small_batches(docs).select(F.col(id_col).alias("doc_id"), bpe.both(text_col).alias("both")).select("doc_id", "both.*")
+    return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", "decoded")
 
 
 def token_digests(docs: DataFrame, bpe: ByteBpe | None = None) -> DataFrame:
