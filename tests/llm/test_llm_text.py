@@ -304,6 +304,21 @@ def test_simhash_stage(docs, rows):
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted({c for _, _, c in truth if c is not None})
 
 
+def test_simhash_stage_with_null_and_shared_ids(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(30))
+    rows = [(None, text(), "en", "a") for _ in range(60)] + [(1, text(), "en", "a") for _ in range(20)]
+    rows += [(None, rows[0][1], "en", "a"), (1, rows[60][1], "en", "a"), (9, rows[1][1].upper(), "en", "a"), (3, rows[2][1], "en", "a")]
+    shared = text()
+    rows += [(20, shared, "en", "a"), (21, shared.upper(), "en", "a"), (21, text(), "en", "a"), (21, shared, "en", "a")]
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(t.lower(), []).append(i)
+    want = sorted(((min((i for i in ids if i is not None), default=None), t) for t, ids in groups.items()), key=repr)
+    out = simhash.drop_near_copies(table(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text.lower()) for r in out), key=repr) == want
+
+
 def test_simhash_empty(empty):
     assert simhash.simhash_groups(empty).count() == 0
     assert simhash.drop_near_copies(empty).count() == 0

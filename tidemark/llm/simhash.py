@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import keep_rows, read, small_batches, text_or_empty, wrapped, written_once
@@ -58,8 +58,10 @@ def fingerprint_of(text: str, words: int = WORDS, block: int = 1 << 16) -> int:
     return int.from_bytes(np.packbits(sums * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``; fp has the 64 bits as a signed long."""
+def fingerprints(
+    docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", **more: Column
+) -> DataFrame:
+    """``doc_id, fp`` and ``more``; fp has the 64 bits as a signed long."""
 
     @F.arrow_udf("bigint")
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -69,7 +71,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             found = np.array([fingerprint_of(t, words) for t in texts.to_pylist()], np.uint64)
             yield pa.array(found.view(np.int64), pa.int64())
 
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), fingerprint(text_or_empty(text_col)).alias("fp"))
+    return small_batches(docs).select(
+        F.col(id_col).alias("doc_id"), fingerprint(text_or_empty(text_col)).alias("fp"), *[c.alias(n) for n, c in more.items()]
+    )
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -203,11 +207,19 @@ def simhash_groups(
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -> DataFrame:
-    """The rows whose id names their group, with all their columns; one row where several have that id."""
-    groups = simhash_groups(docs, words, most)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id"))
-    kept = kept.agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    return keep_rows(wrapped(docs, id=F.col("doc_id")), kept, ["id"])
+    """One row of each group, with all its columns: the smallest id (null ids last), then the smallest text digest.
+
+    Rows are picked back by id and text, so other groups' rows of a shared or null id are neither taken nor lost.
+    """
+    digest = F.sha2(F.encode(text_or_empty("text"), "UTF-8"), 256)
+    rows = written_once(fingerprints(docs, words, digest=digest), "simhash-rows")
+    each = rows.groupBy("fp", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")
+    per = written_once(each.groupBy("fp").agg(F.min(order).alias("first")), "simhash-distinct")
+    labels = linked(per.select("fp"), most).withColumnRenamed("node", "fp")
+    placed = per.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
+    kept = placed.select(F.col("first.doc_id").alias("id"), "first.digest", (F.col("first.n") > 1).alias("repeated"))
+    return keep_rows(wrapped(docs, id=F.col("doc_id"), digest=digest), written_once(kept, "simhash-kept"), ["id", "digest"])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
