@@ -189,6 +189,25 @@ def test_long_texts_are_cut_where_it_is_safe(encoding):
         assert [x for p in cut for x in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
 
 
+def test_long_white_space_is_encoded_apart(encoding):
+    rnd = random.Random(2)
+    for _ in range(500):
+        text = "".join(rnd.choice(["a", "b's", "1", "!", "\x1c", *(c * rnd.randint(1, 40) for c in " \n\t\x85\u3000")]) for _ in range(30))
+        found = [encoding._encode_single_piece(p) if one else encoding.encode_ordinary(p) for p, one in byte_bpe.matches(text, 20)]
+        assert [x for ids in found for x in ids] == encoding.encode_ordinary(text)
+        assert "".join(p for p, _ in byte_bpe.matches(text, 20)) == text
+
+
+def test_a_million_blanks(spark, encoding):
+    n = 1_100_000
+    rows = [(k, t, "en", "a") for k, t in enumerate([" " * n, "a" + "\n" * n + "b", "a" + " " * n + "b c"])]
+    out = {r.doc_id: r for r in byte_bpe.encoded(table(spark, rows), byte_bpe.ByteBpe(spark)).collect()}
+    for k, text, *_ in rows:
+        assert bytes(out[k].decoded).decode() == text
+    tail = np.frombuffer(bytes(out[2].ids), "<u4").tolist()
+    assert tail[-2:] == encoding.encode_ordinary(" b c") and tail[0] == encoding.encode_ordinary("a")[0]
+
+
 def test_ids_decode_on_their_own(spark, docs, rows):
     bpe = byte_bpe.ByteBpe(spark)
     coded = docs.select("doc_id", bpe.ids("text").alias("coded"))

@@ -4,7 +4,8 @@ The driver reads the rank file once and broadcasts its bytes (checked against ``
 one encoder from them and streams Arrow batches through it. Texts longer than ``LONG`` characters are cut before a
 single space between two non-space characters. There the pattern always ends one match and starts the next, so the
 pieces give the ids of the whole text while the pattern never runs over more than a piece. A text without such a
-place stays whole. Ids travel as little-endian unsigned 32-bit integers.
+place stays whole, but white space of more than ``LONG`` characters on end is encoded apart, as the matches the pattern
+makes of it: all of it at the end of a text, else all but the last character. Ids travel as little-endian unsigned 32-bit integers.
 
 Defined results: null and empty texts have no ids and decode to no bytes; repeated rows are encoded each; an empty
 table gives an empty result. Decoding returns raw bytes, which need not be valid text when ids were cut.
@@ -27,6 +28,8 @@ LONG = 1 << 16
 MOST_RANK_BYTES = 64 << 20
 #: Python's white space includes all that the pattern's does, so this finds no unsafe place.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: White space on end, of the pattern's kind, which lacks four control characters of Python's.
+SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 
 
 def pieces(text: str, long: int = LONG) -> Iterator[str]:
@@ -40,6 +43,21 @@ def pieces(text: str, long: int = LONG) -> Iterator[str]:
     yield text[begin:]
 
 
+def matches(text: str, long: int = LONG) -> Iterator[tuple[str, bool]]:
+    """Parts of the text in order, and whether a part is one match of the pattern: the pattern itself would go back
+    through white space without end one character at a time."""
+    begin = 0
+    for run in SPACES.finditer(text) if len(text) > long else ():
+        last = run.end() if run.end() == len(text) else run.end() - 1
+        if last - run.start() > long:
+            if run.start() > begin:
+                yield from ((p, False) for p in pieces(text[begin : run.start()], long))
+            yield text[run.start() : last], True
+            begin = last
+    if begin < len(text) or not text:
+        yield from ((p, False) for p in pieces(text[begin:], long))
+
+
 class ByteBpe:
     """``ids`` and ``raw`` turn columns of text into ids and columns of ids into bytes."""
 
@@ -60,8 +78,13 @@ class ByteBpe:
             return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
         def encode(own, text: str) -> bytes:
-            parts = (own.encode_to_numpy(p, disallowed_special=()) for p in pieces(text, long))
-            return b"".join(p.astype("<u4").tobytes() for p in parts)
+            import numpy as np
+
+            found = (
+                np.array(own._encode_single_piece(p)) if one else own.encode_to_numpy(p, disallowed_special=())
+                for p, one in matches(text, long)
+            )
+            return b"".join(p.astype("<u4").tobytes() for p in found)
 
         def decode(own, ids: bytes) -> bytes:
             import numpy as np
