@@ -468,6 +468,12 @@ def test_language_stage(docs):
     assert out.count() == sum(bool(re.search(r"[^\W\d_]", r.text or "")) for r in docs.collect())
 
 
+def test_language_stage_with_nothing_to_learn(spark):
+    rows = [(1, "words here", None, None), (2, "and é there", None, "a"), (3, None, "en", None), (4, " 12 !", None, "a"), (None, "x", None, None)]
+    out = language_id.drop_unknown(table(spark, rows))
+    assert plain(out, "doc_id") == [(1,), (2,), (None,)]
+
+
 # --- toxicity
 
 

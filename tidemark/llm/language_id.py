@@ -127,7 +127,7 @@ def profiles(labelled: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 class LanguageModel:
-    """Profiles in the workers: ``predict`` turns a text column into struct<lang_pred, score>."""
+    """Profiles in the workers: ``predict`` turns a text column into struct<lang_pred, score, letters>."""
 
     def __init__(self, found: DataFrame, length: int = LENGTH):
         import numpy as np
@@ -144,14 +144,15 @@ class LanguageModel:
             ranks[place[r["lang"]], np.searchsorted(every, r["gram"])] = r["rank"]
         shared = spark.sparkContext.broadcast((names, every, ranks))
 
-        @F.arrow_udf("struct<lang_pred: string, score: double>")
+        @F.arrow_udf("struct<lang_pred: string, score: double, letters: boolean>")
         def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             names, every, ranks = shared.value
             letter, own = tables(), np.arange(length)
             for texts in batches:
-                langs, scores = [], []
+                langs, scores, letters = [], [], []
                 for text in texts.to_pylist():
                     best = top(*text_grams(text, letter), length)
+                    letters.append(len(best) > 0)
                     if not len(best) or not names:
                         langs.append(UNKNOWN)
                         scores.append(0.0)
@@ -164,7 +165,8 @@ class LanguageModel:
                     langs.append(names[k])
                     scores.append(1.0 - float(far[k]) / (length * len(best)))
                 yield pa.StructArray.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
+                    [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())],
+                    ["lang_pred", "score", "letters"],
                 )
 
         self._predict = predict
@@ -193,9 +195,9 @@ def languages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Rows with a language, with all their columns."""
+    """Rows whose text has a letter, with all their columns; also where there was nothing to learn a language from."""
     found = learned(docs, length).predict("text")
-    return wrapped(docs, found=found).where(F.col("found.lang_pred") != UNKNOWN).select("row.*")
+    return wrapped(docs, found=found).where("found.letters").select("row.*")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
