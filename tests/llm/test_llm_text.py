@@ -100,6 +100,12 @@ def test_exact_stage_keeps_rows_whole(docs, rows):
     assert out.count() == len({d for *_, d in exact_truth(rows)})
 
 
+def test_exact_stage_keeps_the_text_with_most_code_points(spark):
+    rows = [(i, "a b c" + " " * k, "en", "a") for i in (None, 5) for k in range(40)] + [(7, "x  y", "en", "a"), (7, " x y", "en", "a")]
+    out = plain(exact_dedup.drop_copies(table(spark, rows)), "doc_id", "text")
+    assert len(out) == 2 and out[0] == (5, "a b c" + " " * 39) and out[1][0] == 7
+
+
 def test_exact_empty(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert exact_dedup.drop_copies(empty).count() == 0

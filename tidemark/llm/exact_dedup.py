@@ -31,6 +31,15 @@ def digest(text: str | Column) -> Column:
     return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
 
 
+def points(text: str | Column) -> Column:
+    return F.length(text_or_empty(text)).cast("long")
+
+
+def spaced(text: str | Column) -> Column:
+    """A hash of the text with its white space, to tell texts of one digest apart."""
+    return F.xxhash64(text_or_empty(text))
+
+
 class DigestIndex:
     """A table of digests below ``path``: one row for each text seen, in ``buckets`` sorted buckets.
 
@@ -59,18 +68,20 @@ class DigestIndex:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, digest, length in code points and a number for each row; written once, so the numbers stay."""
+    """Id, digest, length in code points, hash with white space and a number for each row; written once, so the numbers
+    stay."""
     small = docs.select(
         F.col(id_col).alias("doc_id"),
         digest(text_col).alias("digest"),
-        F.length(text_or_empty(text_col)).cast("long").alias("points"),
+        points(text_col).alias("points"),
+        spaced(text_col).alias("spaced"),
     )
     return written_once(small.withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """For each digest the row to keep (most code points, then smallest id, then first) and the group's size."""
-    order = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    """For each digest the row to keep (most code points, then smallest id, then by content) and the group's size."""
+    order = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "spaced", "row")
     best = rows.groupBy("digest").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return best.select(
         "digest",
@@ -81,15 +92,10 @@ def candidates(rows: DataFrame) -> DataFrame:
     )
 
 
-def exact_dedup(
+def judged_rows(
     docs: DataFrame, index_path: str | None = None, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Judge new rows against the index at ``index_path`` and among themselves, and append what is new to it.
-
-    One row for each input row: ``doc_id, keep_id`` (the indexed row where the text was known before, else the
-    row of this batch that stays), ``group_size`` (rows of this batch with that text), ``kept``, ``text_sha256``.
-    Without ``index_path`` a new index is laid out in the shared folder.
-    """
+    """``exact_dedup`` with ``points`` and ``spaced`` of each row."""
     spark = docs.sparkSession
     rows = digests(docs, id_col, text_col)
     index = DigestIndex(
@@ -108,17 +114,31 @@ def exact_dedup(
         "group_size",
         ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
+        "points",
+        "spaced",
     )
 
 
+def exact_dedup(
+    docs: DataFrame, index_path: str | None = None, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Judge new rows against the index at ``index_path`` and among themselves, and append what is new to it.
+
+    One row for each input row: ``doc_id, keep_id`` (the indexed row where the text was known before, else the
+    row of this batch that stays), ``group_size`` (rows of this batch with that text), ``kept``, ``text_sha256``.
+    Without ``index_path`` a new index is laid out in the shared folder.
+    """
+    return judged_rows(docs, index_path, buckets, id_col, text_col).drop("points", "spaced")
+
+
 def drop_copies(docs: DataFrame, index_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, index_path, id_col=id_col, text_col=text_col)
-    ids = kept.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).agg(
+    """The rows of ``docs`` that stay, with all their columns; of rows with one id, they are told apart by their text."""
+    kept = judged_rows(docs, index_path, id_col=id_col, text_col=text_col)
+    ids = kept.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), "points", "spaced").agg(
         F.max("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("repeated")
     )
-    rows = wrapped(docs, id=F.col(id_col), digest=digest(text_col))
-    return keep_rows(rows, ids.where("kept"), ["id", "digest"])
+    rows = wrapped(docs, id=F.col(id_col), digest=digest(text_col), points=points(text_col), spaced=spaced(text_col))
+    return keep_rows(rows, ids.where("kept"), ["id", "digest", "points", "spaced"])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
