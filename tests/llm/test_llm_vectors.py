@@ -99,6 +99,28 @@ def test_near_vectors_recall_on_the_given_table(spark):
     assert sum(got.values()) >= 0.99 * sum(want.values())
 
 
+def test_near_vectors_finds_lone_pairs_near_the_cosine(spark):
+    """A third of the rows in one topic, at cosine 0.8 to each other; 300 lone pairs in it and 300 beside it."""
+    n, k = 12_000, 300
+    rng = np.random.default_rng(9)
+    length = lambda x: np.linalg.norm(x, axis=1, keepdims=True)
+    x = rng.standard_normal((n, 64))
+    x[:, 0] = 0.0
+    x /= length(x)
+    x[: n // 3] *= np.sqrt(0.2)
+    x[: n // 3, 0] = np.sqrt(0.8)
+    for first in (0, n // 2):
+        a = x[first : first + k]
+        off = rng.standard_normal((k, 64))
+        off -= (off * a).sum(axis=1, keepdims=True) * a
+        near = rng.uniform(0.9505, 0.96, (k, 1))
+        x[first + k : first + 2 * k] = near * a + np.sqrt(1 - near**2) * off / length(off)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    label = {r.vec_id: r.component_id for r in vector_dedup.near_vectors(df).collect()}
+    for first in (0, n // 2):
+        assert np.mean([label[i] == label[i + k] for i in range(first, first + k)]) >= 0.99
+
+
 def test_near_vectors_empty(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -1,8 +1,11 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass orders all vectors lexicographically by 64 concatenated random hashes (signs of random projections) and
-compares every vector with the ``WINDOW`` behind it; pairs at or above the cosine are verified in double precision.
-Verified pairs of all passes are united into components.
+Each pass orders all vectors lexicographically by nine concatenated random hashes (the nearest of 64 random directions
+and their opposites) and compares every vector with the ``WINDOW`` behind it; pairs at or above the cosine are verified
+in double precision. Verified pairs of all passes are united into components.
+
+- The first hash parts the vectors; the others are taken of the difference to the part's mean, so that what a hot topic
+  shares does not use up the key. The means come from a bounded sample and decide on nothing but the order.
 
 - Copies of a vector are one node with a count from the start.
 - A pass is one range shuffle by hash, streamed in sorted order with the window as the only state; the ends of
@@ -12,8 +15,8 @@ Verified pairs of all passes are united into components.
   add up), which takes a sum; only the members outside that core are compared with their component, in blocks of
   bounded rows. A component with many members outside its core costs their number times its size in block products.
 
-A pair's chance to meet in one pass falls with its angle; ``PASSES`` and ``WINDOW`` give recall above 0.99 on pairs
-near 0.98 and above 0.9 at the threshold itself for millions of vectors (README has measurements).
+A pair's chance to meet in one pass falls with its angle and with the number of vectors about as near to it as the
+cosine; no pass is exact, so a lone pair can be missed (README has measured recall).
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components link with nothing; vectors
 of different lengths do not link; null ids are not candidates for a component's id, a component without ids has a null
@@ -22,6 +25,7 @@ id; repeated rows link with each other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,9 +37,13 @@ from tidemark.llm.common import read, small_batches, written_once
 from tidemark.llm.components import connected_components
 
 COSINE = 0.95
-PASSES = 10
-WINDOW = 64
+PASSES = 32
+WINDOW = 256
 SEED = 6
+#: A key has ``LEVELS`` codes of 7 bits, each the nearest of 64 random directions and their opposites.
+DIRECTIONS, LEVELS = 64, 9
+#: Nodes, and bytes of them, from which the driver takes the centres that keys are relative to.
+SAMPLE, SAMPLE_BYTES = 1 << 14, 32 << 20
 #: Rows of one block of members outside the core, and of the members it is compared with.
 BLOCK, SLICE = 512, 4096
 
@@ -71,13 +79,73 @@ def vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return small_batches(table).select(F.col(id_col).alias("vec_id"), raw(vector).alias("raw")), dtype
 
 
+@functools.lru_cache(maxsize=4 * PASSES)
+def _planes(size: int, p: int):
+    """Directions of a pass, ``DIRECTIONS`` for each level; those of one level are orthogonal where the length allows it."""
+    import numpy as np
+
+    rng = np.random.default_rng([SEED, p, size])
+    levels = [rng.standard_normal((size, DIRECTIONS)) for _ in range(LEVELS)]
+    levels = [np.linalg.qr(a)[0] if size >= DIRECTIONS else a / np.sqrt((a * a).sum(axis=0)) for a in levels]
+    return np.concatenate(levels, axis=1).astype(np.float32)
+
+
+def _codes(x, planes):
+    """For each row and level the direction it is nearest to, of ``2 * DIRECTIONS`` with both signs."""
+    import numpy as np
+
+    y = (x @ planes).reshape(len(x), -1, DIRECTIONS)
+    best = np.abs(y).argmax(axis=2)
+    return 2 * best + (np.take_along_axis(y, best[:, :, None], 2)[:, :, 0] > 0)
+
+
+def keys_of(x, p: int, centres=None):
+    """Keys of unit rows of one length in pass ``p``. The first level parts the rows, the others see what a row has
+    beside the centre of its part: what a hot topic shares would give all its rows one key."""
+    import numpy as np
+
+    x, planes = x.astype(np.float32), _planes(x.shape[1], p)
+    key = _codes(x, planes[:, :DIRECTIONS])[:, 0]
+    rest = _codes(x if centres is None else x - centres[key], planes[:, DIRECTIONS:])
+    for level in range(LEVELS - 1):
+        key = key * (2 * DIRECTIONS) + rest[:, level]
+    return key.astype(np.int64)
+
+
+def centres_of(x, p: int):
+    """Means of the parts that the first level of pass ``p`` makes of unit rows; small parts count less."""
+    import numpy as np
+
+    x = x.astype(np.float32)
+    key = _codes(x, _planes(x.shape[1], p)[:, :DIRECTIONS])[:, 0]
+    sums = np.zeros((2 * DIRECTIONS, x.shape[1]), np.float32)
+    np.add.at(sums, key, x)
+    return sums / (np.bincount(key, minlength=2 * DIRECTIONS) + 16.0).astype(np.float32)[:, None]
+
+
+def _centres(nodes: DataFrame, dtype: str, passes: int) -> dict:
+    """Centres for each length and pass from nodes drawn by hash. They only order rows: no link depends on the draw
+    but by the windows it makes."""
+    import numpy as np
+
+    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("raw")).alias("bytes")).first()
+    every = max(1, -(-size["n"] // SAMPLE), -(-(size["bytes"] or 0) // SAMPLE_BYTES))
+    raw = sorted(bytes(r[0]) for r in nodes.where(F.pmod(F.xxhash64("raw"), F.lit(every)) == 0).select("raw").collect())
+    sizes, out = np.array([len(r) for r in raw], np.int64), {}
+    for width, n in zip(*np.unique(sizes, return_counts=True)):
+        if n >= 4 * DIRECTIONS:
+            x = units([raw[k] for k in np.flatnonzero(sizes == width)], dtype)
+            out |= {(int(width), p): centres_of(x, p) for p in range(passes)}
+    return out
+
+
 def hashed(nodes: DataFrame, dtype: str, passes: int) -> DataFrame:
     """``pass, key, node, raw``: a row per pass; the pass number also tells vectors of different lengths apart."""
+    shared = nodes.sparkSession.sparkContext.broadcast(_centres(nodes, dtype, passes))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        planes = {}
         for batch in batches:
             raw = batch.column(1).to_pylist()
             sizes = np.array([len(r) for r in raw])
@@ -86,13 +154,10 @@ def hashed(nodes: DataFrame, dtype: str, passes: int) -> DataFrame:
                 part = batch.take(pa.array(at))
                 x = units([raw[i] for i in at], dtype)
                 for p in range(passes):
-                    if (size, p) not in planes:
-                        planes[size, p] = np.random.default_rng([SEED, p, x.shape[1]]).standard_normal((x.shape[1], 64))
-                    signs = np.packbits(x @ planes[size, p] > 0, axis=1)
-                    key = signs.view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)  # same order as signed
+                    key = keys_of(x, p, shared.value.get((int(size), p)))
                     number = pa.array(np.full(len(at), int(size) * passes + p, np.int64))
                     yield pa.record_batch(
-                        {"pass": number, "key": pa.array(key.view(np.int64)), "node": part.column(0), "raw": part.column(1)}
+                        {"pass": number, "key": pa.array(key), "node": part.column(0), "raw": part.column(1)}
                     )
 
     return nodes.select("node", "raw").mapInArrow(keys, "pass long, key long, node long, raw binary")
