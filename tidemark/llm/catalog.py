@@ -7,7 +7,7 @@ from importlib import import_module
 MODULES = [
     "language_id", "toxicity", "fixity", "suffix_dedup", "token_counts",
     "vector_dedup", "exact_dedup", "mixing", "byte_bpe", "simhash",
-    "phrases", "pieces",
+    "phrases", "pieces", "negatives",
 ]
 
 
