@@ -171,7 +171,7 @@ def test_register_equals_one_by_one(spark, seed):
     candidates = [(s, q, "{no schema" if s == "z" and q == 2 else t) for s, q, t in candidates]
     texts = [(s, q, t if isinstance(t, str) else json.dumps(t)) for s, q, t in candidates]
     frame = spark.createDataFrame(texts, "subject string, seq bigint, schema string")
-    rows = ops.register(table(spark, start), frame, span=4).collect()
+    rows = ops.register(table(spark, start), frame, parts=4).collect()
     assert {(r.subject, r.seq): (r.status, r.version) for r in rows} == one_by_one(start, candidates)
     fresh = [r.schema_id for r in rows if r.status == "registered"]
     assert len(set(fresh)) == len(fresh) and min(fresh, default=99) > max(i for _, _, i, _ in start)

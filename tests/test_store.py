@@ -48,13 +48,14 @@ def random_log(seed, n=400):
 
 
 @pytest.mark.parametrize("on_null", ["keep", "replace"])
-@pytest.mark.parametrize("span", [None, 16, 65536])
-def test_fold_equals_one_write_at_a_time(spark, on_null, span):
+@pytest.mark.parametrize("parts", [None, 0, 1, 7])
+def test_fold_equals_one_write_at_a_time(spark, on_null, parts):
     for seed in (1, 2):
         rows = random_log(seed)
-        marked = ops.mark_accepted(log(spark, rows), span)
+        marked = ops.mark_accepted(log(spark, rows), parts)
         state, applied, skipped = sequential(rows, on_null)
         assert folded(ops.fold(marked, on_null)) == state
+        assert folded(ops.fold_log(log(spark, rows), on_null, parts)) == state
         counts = ops.write_counts(marked).agg(F.sum("applied"), F.sum("skipped")).first()
         assert (counts[0], counts[1]) == (applied, skipped)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.once import computed_once
-from tidemark.operators.ordered import SPAN, running_before
+from tidemark.operators.ordered import PARTS, running_before
 from tidemark.session import written_once
 
 DEFAULT_LEVEL = "BACKWARD"
@@ -87,20 +87,20 @@ def is_valid_schema(schema: Column) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def previous_versions(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
+def previous_versions(contracts: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """``subject, version, previous``: the version registered just before in the same subject."""
     numbers = contracts.select("subject", "version", F.col("version").alias("_v"))
-    return running_before(numbers, ["subject"], "version", "_v", "previous", span=span).drop("_v")
+    return running_before(numbers, ["subject"], "version", "_v", "previous", parts=parts).drop("_v")
 
 
-def paired_versions(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
+def paired_versions(contracts: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """Every version beside the one before it: ``subject, version, mine, before`` (null for the first).
 
     Each schema is parsed once and sent to two places, its own version and its successor's; one grouping
     brings the pairs together. Which version comes next is found on the numbers alone.
     """
     numbers = contracts.select("subject", "version", (-F.col("version")).alias("_back"))
-    later = running_before(numbers.withColumn("_v", F.col("_back")), ["subject"], "_back", "_v", "_next", span=span)
+    later = running_before(numbers.withColumn("_v", F.col("_back")), ["subject"], "_back", "_v", "_next", parts=parts)
     nexts = later.select("subject", "version", (-F.col("_next")).alias("next"))
     own = F.struct(
         "version", "schema_id", schema_doc(F.col("schema")).alias("doc"), parsed_fields(F.col("schema")).alias("fields")
@@ -164,22 +164,22 @@ def _with_level(rows: DataFrame, subjects: DataFrame, levels: DataFrame | None)
     return rows.join(compat_levels(subjects, levels).withColumnRenamed("level", "_level"), "subject", "left")
 
 
-def compat_issues(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
+def compat_issues(contracts: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """Issues between each version and the one before it, one row each; removed fields are allowed."""
-    pairs = paired_versions(contracts, span).where(F.col("before").isNotNull())
+    pairs = paired_versions(contracts, parts).where(F.col("before").isNotNull())
     found = F.explode(issue_list(F.col("mine.fields"), F.col("before.fields")))
     return pairs.select("subject", F.col("before.version").alias("previous"), "version", found.alias("x")).select(
         "subject", "previous", "version", "x.name", "x.issue"
     )
 
 
-def compat_gate(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
+def compat_gate(contracts: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """Per subject: versions, unparsable schemas, issues, and whether the subject passes."""
     valid = is_valid_schema(F.col("schema"))
     checked = contracts.groupBy("subject").agg(
         F.count(F.lit(1)).alias("versions"), F.count_if(~valid).alias("unparsable")
     )
-    issues = compat_issues(contracts, span).groupBy("subject").agg(F.count(F.lit(1)).alias("issues"))
+    issues = compat_issues(contracts, parts).groupBy("subject").agg(F.count(F.lit(1)).alias("issues"))
     counts = checked.join(issues, "subject", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
     return counts.withColumn("passed", (F.col("issues") == 0) & (F.col("unparsable") == 0))
 
@@ -217,7 +217,7 @@ def is_compatible(contracts: DataFrame, candidates: DataFrame, levels: DataFrame
 
 
 def register(
-    contracts: DataFrame, candidates: DataFrame, span: int | None = SPAN, levels: DataFrame | None = None
+    contracts: DataFrame, candidates: DataFrame, parts: int | None = PARTS, levels: DataFrame | None = None
 ) -> DataFrame:
     """Decide candidates (``subject, seq, schema``) taken in order of ``seq`` within each subject, at the level set
     for it (see :func:`is_compatible`).
@@ -241,7 +241,7 @@ def register(
         .withColumn("is_new", F.col("known").isNull() & (F.col("seq") == F.col("first_seq")))
         .withColumn("new_seq", F.when(F.col("is_new"), F.col("seq")))
     )
-    turn = running_before(turn, ["subject"], "seq", "new_seq", "base_seq", span=span)
+    turn = running_before(turn, ["subject"], "seq", "new_seq", "base_seq", parts=parts)
 
     bases = candidates.select("subject", F.col("seq").alias("base_seq"), parsed_fields(F.col("schema")).alias("base_fields"))
     compared = turn.join(bases, ["subject", "base_seq"], "left").join(_newest_fields(contracts), "subject", "left")
@@ -261,10 +261,10 @@ def register(
         .when(F.col("is_new"), "registered")
         .otherwise("unchanged"),
     )
-    return _with_ids(decided, contracts, span)
+    return _with_ids(decided, contracts, parts)
 
 
-def _with_ids(decided: DataFrame, contracts: DataFrame, span: int | None) -> DataFrame:
+def _with_ids(decided: DataFrame, contracts: DataFrame, parts: int | None) -> DataFrame:
     """Versions count up per subject; ids are unique over all subjects and above every id in use.
 
     New rows are spread over a fixed number of buckets by hash and numbered inside each, so neither a
@@ -273,7 +273,7 @@ def _with_ids(decided: DataFrame, contracts: DataFrame, span: int | None) -> Dat
     new = F.col("status") == "registered"
     latest = contracts.groupBy("subject").agg(F.max("version").alias("latest"))
     counted = running_before(
-        decided.withColumn("_one", new.cast("bigint")), ["subject"], "seq", "_one", "_before", "sum", span
+        decided.withColumn("_one", new.cast("bigint")), ["subject"], "seq", "_one", "_before", "sum", parts
     )
     versioned = counted.join(latest, "subject", "left").withColumn(
         "new_version", F.coalesce("latest", F.lit(0)) + F.coalesce("_before", F.lit(0)) + 1
@@ -331,7 +331,7 @@ def _changes(mine: Column, before: Column) -> tuple[Column, Column]:
     return listed, F.coalesce(gone, F.array().cast("array<struct<pos:int,name:string,type:string>>"))
 
 
-def contract_changes(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
+def contract_changes(contracts: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """Every field of every version with ``change``: ``added``, ``kept`` or ``removed``.
 
     A removed field is listed under the version that dropped it, with its place in the version before.
@@ -341,15 +341,15 @@ def contract_changes(contracts: DataFrame, span: int | None = SPAN) -> DataFrame
         listed, lambda f: F.struct(f["pos"], f["name"], f["type"], F.when(f["added"], "added").otherwise("kept").alias("change"))
     )
     removed = F.transform(gone, lambda f: F.struct(f["pos"], f["name"], f["type"], F.lit("removed").alias("change")))
-    rows = paired_versions(contracts, span).select("subject", "version", F.explode(F.concat(present, removed)).alias("f"))
+    rows = paired_versions(contracts, parts).select("subject", "version", F.explode(F.concat(present, removed)).alias("f"))
     return rows.select("subject", "version", "f.*")
 
 
-def contract_diff(contracts: DataFrame, span: int | None = SPAN) -> DataFrame:
+def contract_diff(contracts: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """One row per version: id, doc, its fields in order with an ``added`` flag, and the removed names."""
     listed, gone = _changes(F.col("mine.fields"), F.col("before.fields"))
     shown = F.transform(listed, lambda f: F.struct(f["name"], f["type"], f["added"]))
-    return paired_versions(contracts, span).select(
+    return paired_versions(contracts, parts).select(
         "subject", "version", "mine.schema_id", "mine.doc",
         shown.alias("fields"), F.transform(gone, lambda f: f["name"]).alias("removed"),
     )

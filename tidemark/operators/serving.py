@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,67 +83,97 @@ def newest(rows: DataFrame, at: str, k: int, *tie_break: str) -> DataFrame:
     return rows.orderBy(F.col(at).desc_nulls_last(), *tie_break).limit(k)
 
 
-def _ranked(rows: DataFrame, value: str, cells: int) -> DataFrame:
-    """``value, first, after, n``: the ranks [first, after) that each distinct value occupies among n rows.
+#: Cells of an octave in the first round, and of an opened cell in the second.
+OCTAVE, INNER = 64, 1 << 16
+#: Above the number of every cell of a finite value.
+_OUTSIDE = 1 << 18
 
-    Values are counted map-side, then positioned in two steps: totals of cells, and positions inside a cell.
-    Cells are cut at approximate quantiles of the distinct values, so each holds about as many of them wherever
-    the values lie, and their number is fixed. Quantiles only decide who is counted where; ranks are exact.
+
+def _outer_cell(value: Column) -> Column:
+    """A whole number that never falls as the value grows: by sign and logarithm, at most some 270 000 different ones."""
+    v = value.cast("double")
+    size = F.floor(F.log2(F.abs(v)) * OCTAVE) + _OUTSIDE // 2
+    finite = F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
+    edge = F.when(F.isnan(v), F.lit(_OUTSIDE + 1)).when(v == float("inf"), F.lit(_OUTSIDE)).when(v == -float("inf"), F.lit(-_OUTSIDE))
+    return F.coalesce(edge, finite).cast("bigint")
+
+
+def _inner_cell(value: Column, low: Column, high: Column) -> Column:
+    """The same within an opened cell: ``INNER`` steps between its least and greatest value."""
+    v, low, high = (c.cast("double") for c in (value, low, high))
+    step = F.floor((v - low) / (high - low) * INNER)
+    return F.when(high > low, F.least(step, F.lit(INNER - 1))).otherwise(F.lit(0)).cast("bigint")
+
+
+def _opened(cells: DataFrame, along: Window, ranks: Column) -> DataFrame:
+    """Cells that hold a wanted rank, each with the ranks it holds as places within it."""
+    first = F.coalesce(F.sum("rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cells.withColumn("first", first).withColumn("ranks", ranks)
+    inside = F.filter("ranks", lambda r: (r["at"] >= F.col("first")) & (r["at"] < F.col("first") + F.col("rows")))
+    held = F.transform(inside, lambda r: F.struct(r["name"].alias("name"), (r["at"] - F.col("first")).alias("at")))
+    return placed.withColumn("ranks", held).where(F.size("ranks") > 0).drop("first")
+
+
+def order_statistics(rows: DataFrame, value: str, ranks: Callable[[Column], Mapping[str, Column]]) -> DataFrame:
+    """One row: ``n`` and, by name, the values at ranks (from 0) that ``ranks`` gives for a row count; nulls do not count.
+
+    Exact selection by histograms of ever finer cells, of which only those that hold a wanted rank are opened: counts by
+    sign and logarithm over all rows, then steps between the extremes of an opened cell, then the distinct values of
+    an opened step. Three scans; each row is sent as a map-side count of its cell, and rows of unopened cells are not
+    sent again. The joined cells are as many as the ranks.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(
-        F.count(F.lit(1)).alias("times")
-    )
-    shares = [k / cells for k in range(1, cells)]
-    cuts = counts.agg(F.percentile_approx("value", shares or [0.5], 100 * cells).alias("cuts")).scalar()
-    counts = counts.withColumn("cuts", cuts)
-    counts = counts.withColumn("cell", F.size(F.filter("cuts", lambda cut: cut < F.col("value")))).drop("cuts")
-    past = Window.rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy("cell").agg(F.sum("times").alias("rows")).select(
-        "cell",
-        F.coalesce(F.sum("rows").over(past.orderBy("cell")), F.lit(0)).alias("base"),
-        F.sum("rows").over(Window.partitionBy()).alias("n"),
-    )
-    inside = Window.partitionBy("cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("times").over(inside)).join(totals, "cell")
-    after = F.col("base") + F.col("upto")
-    return placed.select("value", (after - F.col("times")).alias("first"), after.alias("after"), "n")
+    values = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), _outer_cell(F.col(value)).alias("cell"))
+    ends = [F.count(F.lit(1)).alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")]
+    whole = Window.partitionBy()  # one row per cell
+    outer = values.groupBy("cell").agg(*ends).withColumn("n", F.sum("rows").over(whole))
+    wanted = {name: r.cast("bigint") for name, r in ranks(F.col("n")).items()}
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), at.alias("at")) for name, at in wanted.items()])
+    outer = _opened(outer, whole.orderBy("cell"), asked).drop("rows")
 
+    step = _inner_cell(F.col("v"), F.col("low"), F.col("high"))
+    found = values.join(F.broadcast(outer), "cell").withColumn("step", step)
+    inner = found.groupBy("cell", "step").agg(F.count(F.lit(1)).alias("rows"))
+    inner = _opened(inner.join(F.broadcast(outer), "cell"), Window.partitionBy("cell").orderBy("step"), F.col("ranks"))
+    inner = inner.select("cell", "low", "high", F.col("step").alias("opened"), "ranks", "n")
 
-def _at(rank: Column) -> Column:
-    return F.max(F.when((F.col("first") <= rank) & (rank < F.col("after")), F.col("value")))
+    found = values.join(F.broadcast(inner), "cell").where(step == F.col("opened"))
+    each = found.groupBy("cell", "opened", "v").agg(F.count(F.lit(1)).alias("rows"))
+    last = each.join(F.broadcast(inner), ["cell", "opened"])
+    last = _opened(last, Window.partitionBy("cell", "opened").orderBy("v"), F.col("ranks"))
+    picks = [F.max(F.when(F.exists("ranks", lambda r: r["name"] == name), F.col("v"))).alias(name) for name in wanted]  # noqa: B023
+    return last.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *picks)
 
 
-def _median() -> Column:
-    n = F.col("n")
-    return (_at(F.floor((n - 1) / 2)) + _at(F.floor(n / 2))) / 2
+def _median_ranks(n: Column) -> dict[str, Column]:
+    return {"below": F.floor((n - 1) / 2), "above": F.floor(n / 2)}
 
 
-CELLS = 256
+_MEDIAN = "(below + above) / 2"
 
 
-def serving_latency(lookups: DataFrame, cells: int = CELLS) -> DataFrame:
+def serving_latency(lookups: DataFrame) -> DataFrame:
     """Samples, median and p95 (rank ``floor(0.95 n)``, 0-based, at most the last), to 3 places."""
-    n = F.col("n")
-    return _ranked(lookups, "latency_ms", cells).agg(
-        F.coalesce(F.max("n"), F.lit(0)).alias("samples"),
-        F.round(_median(), 3).alias("p50_ms"),
-        F.round(_at(F.least(n - 1, F.floor(F.lit(0.95) * n))), 3).alias("p95_ms"),
+    found = order_statistics(
+        lookups, "latency_ms", lambda n: {**_median_ranks(n), "p95": F.least(n - 1, F.floor(F.lit(0.95) * n))}
+    )
+    return found.select(
+        F.col("n").alias("samples"), F.round(F.expr(_MEDIAN), 3).alias("p50_ms"), F.round("p95", 3).alias("p95_ms")
     )
 
 
-def benchmark_latency(lookups: DataFrame, cells: int = CELLS) -> DataFrame:
+def benchmark_latency(lookups: DataFrame) -> DataFrame:
     """Lookups, median, p95 and p99 by rank ``round((n - 1) p / 100)`` (half to even), to 2 places."""
-    n = F.col("n")
 
-    def rank(p: int) -> Column:
+    def rank(n: Column, p: int) -> Column:
         return F.least(n - 1, F.bround((n - 1) * F.lit(float(p)) / 100).cast("bigint"))
 
-    return _ranked(lookups, "latency_ms", cells).agg(
-        F.coalesce(F.max("n"), F.lit(0)).alias("lookups"),
-        F.round(_median(), 2).alias("p50_ms"),
-        F.round(_at(rank(95)), 2).alias("p95_ms"),
-        F.round(_at(rank(99)), 2).alias("p99_ms"),
+    found = order_statistics(
+        lookups, "latency_ms", lambda n: {**_median_ranks(n), "p95": rank(n, 95), "p99": rank(n, 99)}
     )
+    return found.select(
+        F.col("n").alias("lookups"), F.round(F.expr(_MEDIAN), 2).alias("p50_ms"),
+        F.round("p95", 2).alias("p95_ms"), F.round("p99", 2).alias("p99_ms"),
+    )
 
 
 def hit_rate(answers: DataFrame) -> DataFrame:

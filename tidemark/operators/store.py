@@ -8,12 +8,12 @@ row of the same user and group carries a greater guard, then keep per field the
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import SPAN, running_before
+from tidemark.operators.ordered import PARTS, in_order, running_before, running_over
 
 KEYS = ["user_id", "grp"]
 LOG_COLUMNS = [*KEYS, "seq", "guard", "write_ts"]
@@ -40,11 +40,15 @@ def to_log(rows: DataFrame, grp: str, seq: Column | int, guard: str, write_ts: C
     )
 
 
-def mark_accepted(log: DataFrame, span: int | None = SPAN) -> DataFrame:
+def _unbeaten() -> Column:
+    return F.coalesce(F.col("guard") >= F.col("_seen"), F.lit(True))
+
+
+def mark_accepted(log: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """Add ``accepted``: no earlier write of this user and group had a greater guard (equal is fine)."""
     guarded = log.where(F.col("guard").isNotNull())
-    seen = running_before(guarded, KEYS, "seq", "guard", "_seen", span=span)
-    return seen.withColumn("accepted", F.coalesce(F.col("guard") >= F.col("_seen"), F.lit(True))).drop("_seen")
+    seen = running_before(guarded, KEYS, "seq", "guard", "_seen", parts=parts)
+    return seen.withColumn("accepted", _unbeaten()).drop("_seen")
 
 
 def write_counts(marked: DataFrame) -> DataFrame:
@@ -54,6 +58,59 @@ def write_counts(marked: DataFrame) -> DataFrame:
     )
 
 
+#: Fields whose presence one number tells.
+_BITS = 62
+
+
+def _presence(fields: Sequence[str]) -> list[Column]:
+    """Which fields of a row are not null, as bits of ``_has0``, ``_has1`` and so on."""
+    out = []
+    for k in range(0, max(1, len(fields)), _BITS):
+        bits = [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(fields[k : k + _BITS])]
+        out.append(sum(bits, F.lit(0)).cast("bigint").alias(f"_has{k // _BITS}"))
+    return out
+
+
+def _settled(accepted: DataFrame, rows: DataFrame, fields: Sequence[str], on_null: str) -> DataFrame:
+    """One row per user and group from ``accepted`` (keys, seq, guard, write_ts and ``_presence``) and the rows themselves.
+
+    The seq that settles each field is a maximum of fixed width, found in a hash aggregate without the fields. Only the
+    rows with such a seq, at most one per field, are fetched by an equi-join on (user, group, seq) and put together.
+    """
+    if on_null not in ("keep", "replace"):
+        raise ValueError("on_null must be 'keep' or 'replace'")
+    bit = [(f"_has{i // _BITS}", 1 << i % _BITS) for i in range(len(fields))]
+    keep = on_null == "keep"
+    held = [F.max(F.when(F.col(has).bitwiseAND(F.lit(b)) != 0, F.col("seq"))).alias(f"_at{i}") for i, (has, b) in enumerate(bit)]
+    newest = accepted.groupBy(*KEYS).agg(
+        F.max("seq").alias("_seq"), F.max("guard").alias("_guard"), F.max("write_ts").alias("_ts"), *(held if keep else [])
+    )
+    ats = F.array_distinct(F.array_compact(F.array("_seq", *[f"_at{i}" for i in range(len(fields) if keep else 0)])))
+
+    def settles(at: Column) -> Column:
+        masks = [F.lit(0).cast("bigint") for _ in range(0, max(1, len(fields)), _BITS)]
+        for i, (_, b) in enumerate(bit):
+            own = F.coalesce(F.col(f"_at{i}") == at, F.lit(False)) if keep else F.lit(True)
+            masks[i // _BITS] += F.when(own, F.lit(b)).otherwise(F.lit(0))
+        return F.struct(at.alias("at"), *[m.alias(f"for{k}") for k, m in enumerate(masks)])
+
+    wanted = newest.select(
+        *[F.col(k).alias(f"_{k}") for k in KEYS], "_seq", "_guard", "_ts", F.explode(F.transform(ats, settles)).alias("_w")
+    )
+    own = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS]
+    found = rows.join(wanted, [*own, F.col("seq") == F.col("_w.at")])
+    held = found.groupBy(*KEYS).agg(
+        F.max("_seq").alias("seq"), F.max("_guard").alias("guard"), F.max("_ts").alias("write_ts"),
+        F.collect_list(F.struct(F.col("_w").alias("w"), *fields)).alias("_rows"),
+    )
+
+    def settled(i: int, name: str) -> Column:
+        mine = F.filter("_rows", lambda r: r["w"][f"for{i // _BITS}"].bitwiseAND(F.lit(1 << i % _BITS)) != 0)
+        return F.array_max(F.transform(mine, lambda r: r[name])).alias(name)  # one row, or equal ones of a repeated write
+
+    return held.select(*KEYS, "seq", "guard", "write_ts", *[settled(i, c) for i, c in enumerate(fields)])
+
+
 def fold(marked: DataFrame, on_null: str = "keep") -> DataFrame:
     """One row per user and group: what the store holds after all writes.
 
@@ -61,34 +118,28 @@ def fold(marked: DataFrame, on_null: str = "keep") -> DataFrame:
     present fields does. ``replace``: the last accepted row wins whole. The result is itself a log frame,
     so a fold can be folded again with later rows.
     """
-    if on_null not in ("keep", "replace"):
-        raise ValueError("on_null must be 'keep' or 'replace'")
+    fields, accepted = feature_columns(marked), marked.where("accepted")
+    return _settled(accepted.select(*LOG_COLUMNS, *_presence(fields)), accepted, fields, on_null)
 
-    def last(name: str) -> Column:
-        if on_null == "replace":
-            return F.max_by(name, "seq").alias(name)
-        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
-
-    accepted = marked.where("accepted")
-    return accepted.groupBy(*KEYS).agg(
-        F.max("seq").alias("seq"),
-        F.max("guard").alias("guard"),
-        F.max("write_ts").alias("write_ts"),
-        *[last(name) for name in feature_columns(marked)],
-    )
 
+def fold_log(log: DataFrame, on_null: str = "keep", parts: int | None = PARTS) -> DataFrame:
+    """:func:`fold` of a log, which is read once: its rows are written in order, and the guards' running maximum and the
+    choice of rows see no feature columns. This runs jobs at once; ``parts=None`` does not, see ``running_before``."""
+    fields, guarded = feature_columns(log), log.where(F.col("guard").isNotNull())
+    if parts is None:
+        return fold(mark_accepted(log, parts), on_null)
+    rows = in_order(guarded, [*KEYS, "seq", "guard"], parts)
+    seen = running_over(rows.select(*LOG_COLUMNS, "_part", *_presence(fields)), KEYS, "seq", "guard", "_seen")
+    return _settled(seen.where(_unbeaten()), rows.drop("_part"), fields, on_null)
 
-def fold_log(log: DataFrame, on_null: str = "keep", span: int | None = SPAN) -> DataFrame:
-    return fold(mark_accepted(log, span), on_null)
 
-
-def compact(snapshot: DataFrame, later: DataFrame, on_null: str = "keep", span: int | None = SPAN) -> DataFrame:
+def compact(snapshot: DataFrame, later: DataFrame, on_null: str = "keep", parts: int | None = PARTS) -> DataFrame:
     """Fold later log rows into an existing fold; equals folding everything from the start.
 
     The snapshot row carries the greatest guard so far and sits before every later row, so it decides
     acceptance exactly as the rows it stands for.
     """
-    return fold_log(snapshot.unionByName(later, allowMissingColumns=True), on_null, span)
+    return fold_log(snapshot.unionByName(later, allowMissingColumns=True), on_null, parts)
 
 
 def live_users(folded: DataFrame, now: Column, ttl_seconds: int = 86_400) -> DataFrame:
@@ -129,6 +180,23 @@ def feature_vectors(folds: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def log_vectors(
+    log: DataFrame, groups: Mapping[str, Sequence[str]], on_null: str = "keep", parts: int | None = PARTS
+) -> DataFrame:
+    """:func:`feature_vectors` from the log of all groups, folded once. ``groups`` names each group's fields."""
+    folded = fold_log(log, on_null, parts)
+    fields = list(dict.fromkeys(c for names in groups.values() for c in names))
+    users = folded.groupBy("user_id").agg(
+        F.max("write_ts").alias("last_write"), F.collect_list(F.struct("grp", *fields)).alias("_rows")  # a row per group
+    )
+
+    def own(grp: str, name: str) -> Column:
+        row = F.get(F.filter("_rows", lambda r: r["grp"] == grp), F.lit(0))
+        return row[name].alias(f"{name}{GROUP_SUFFIX.get(grp, f'_{grp}')}")
+
+    return users.select("user_id", "last_write", *[own(grp, c) for grp, names in groups.items() for c in names])
+
+
 def number_text(value: Column) -> Column:
     """A double as text: plain digits from 0.0001 up to 1e16, else an exponent of at least two digits.
 

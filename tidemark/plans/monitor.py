@@ -27,7 +27,7 @@ def _samples(spark, sf):
 
 
 def _store_keys(spark, sf):
-    return store.store_size(store.fold_log(profile_log(spark, sf), span=None))
+    return store.store_size(store.fold_log(profile_log(spark, sf), parts=None))
 
 
 def _stats(spark, sf):
