@@ -93,7 +93,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def judged_rows(
-    docs: DataFrame, index_path: str | None = None, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, index_path: str | None = None, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None
 ) -> DataFrame:
     """``exact_dedup`` with ``points`` and ``spaced`` of each row."""
     spark = docs.sparkSession
@@ -101,7 +101,7 @@ def judged_rows(
     index = DigestIndex(
         spark, index_path or shared_dir(spark, "digest-index"), buckets, rows.schema["doc_id"].dataType.simpleString()
     )
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
     best = candidates(rows)
     fresh = written_once(index.absent(best), "digest-fresh")
     index.append(fresh, batch)
@@ -120,20 +120,24 @@ def judged_rows(
 
 
 def exact_dedup(
-    docs: DataFrame, index_path: str | None = None, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, index_path: str | None = None, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None
 ) -> DataFrame:
     """Judge new rows against the index at ``index_path`` and among themselves, and append what is new to it.
 
     One row for each input row: ``doc_id, keep_id`` (the indexed row where the text was known before, else the
     row of this batch that stays), ``group_size`` (rows of this batch with that text), ``kept``, ``text_sha256``.
-    Without ``index_path`` a new index is laid out in the shared folder.
+    Without ``index_path`` a new index is laid out in the shared folder. ``batch`` names these rows in the index: run
+    again under the same name, after a driver was lost, they are judged as the first time. Without a name a second
+    call finds its own texts as known before.
     """
-    return judged_rows(docs, index_path, buckets, id_col, text_col).drop("points", "spaced")
+    return judged_rows(docs, index_path, buckets, id_col, text_col, batch).drop("points", "spaced")
 
 
-def drop_copies(docs: DataFrame, index_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(
+    docs: DataFrame, index_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None
+) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows with one id, they are told apart by their text."""
-    kept = judged_rows(docs, index_path, id_col=id_col, text_col=text_col)
+    kept = judged_rows(docs, index_path, id_col=id_col, text_col=text_col, batch=batch)
     ids = kept.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), "points", "spaced").agg(
         F.max("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("repeated")
     )

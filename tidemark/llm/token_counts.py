@@ -129,11 +129,16 @@ class TokenCache:
         return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def misses(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``digest, text``: one text for each digest without a stored count."""
+        """``digest, text``: one text for each digest without a stored count.
+
+        The anti-join asks for an aggregate, so it stays behind the grouping: below it every copy of a text would be
+        shuffled, and a text of many copies would arrive whole in one task.
+        """
         text = text_or_empty(text_col)
         seen = small_batches(docs).select(self.digest(text).alias("digest"), text.alias("text"))
-        one = seen.groupBy("digest").agg(F.first("text").alias("text"))
-        return one.join(self.stored().select("digest").hint("merge"), "digest", "left_anti")
+        one = seen.groupBy("digest").agg(F.first("text").alias("text"), F.max("digest").alias("key"))
+        known = self.stored().select("digest").hint("merge")
+        return one.join(known, one["key"] == known["digest"], "left_anti").select("digest", "text")
 
     def fill(self, docs: DataFrame, text_col: str = "text") -> None:
         new = self.misses(docs, text_col).select("digest", F.lit(self.version).alias("version"), self._tokens("text").alias("n_tokens"))

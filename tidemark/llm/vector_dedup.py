@@ -25,7 +25,6 @@ id; repeated rows link with each other; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,15 +78,18 @@ def vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return small_batches(table).select(F.col(id_col).alias("vec_id"), raw(vector).alias("raw")), dtype
 
 
-@functools.lru_cache(maxsize=4 * PASSES)
-def _planes(size: int, p: int):
-    """Directions of a pass, ``DIRECTIONS`` for each level; those of one level are orthogonal where the length allows it."""
+def _planes(size: int, p: int, known: dict):
+    """Directions of a pass, ``DIRECTIONS`` for each level; those of one level are orthogonal where the length allows it.
+    ``known`` is the caller's own: a cache around this function would travel by name, not by value."""
     import numpy as np
 
+    if (size, p) in known:
+        return known[size, p]
     rng = np.random.default_rng([SEED, p, size])
     levels = [rng.standard_normal((size, DIRECTIONS)) for _ in range(LEVELS)]
     levels = [np.linalg.qr(a)[0] if size >= DIRECTIONS else a / np.sqrt((a * a).sum(axis=0)) for a in levels]
-    return np.concatenate(levels, axis=1).astype(np.float32)
+    known[size, p] = np.concatenate(levels, axis=1).astype(np.float32)
+    return known[size, p]
 
 
 def _codes(x, planes):
@@ -99,12 +101,12 @@ def _codes(x, planes):
     return 2 * best + (np.take_along_axis(y, best[:, :, None], 2)[:, :, 0] > 0)
 
 
-def keys_of(x, p: int, centres=None):
+def keys_of(x, p: int, centres=None, known: dict | None = None):
     """Keys of unit rows of one length in pass ``p``. The first level parts the rows, the others see what a row has
     beside the centre of its part: what a hot topic shares would give all its rows one key."""
     import numpy as np
 
-    x, planes = x.astype(np.float32), _planes(x.shape[1], p)
+    x, planes = x.astype(np.float32), _planes(x.shape[1], p, {} if known is None else known)
     key = _codes(x, planes[:, :DIRECTIONS])[:, 0]
     rest = _codes(x if centres is None else x - centres[key], planes[:, DIRECTIONS:])
     for level in range(LEVELS - 1):
@@ -117,7 +119,7 @@ def centres_of(x, p: int):
     import numpy as np
 
     x = x.astype(np.float32)
-    key = _codes(x, _planes(x.shape[1], p)[:, :DIRECTIONS])[:, 0]
+    key = _codes(x, _planes(x.shape[1], p, {})[:, :DIRECTIONS])[:, 0]
     sums = np.zeros((2 * DIRECTIONS, x.shape[1]), np.float32)
     np.add.at(sums, key, x)
     return sums / (np.bincount(key, minlength=2 * DIRECTIONS) + 16.0).astype(np.float32)[:, None]
@@ -146,6 +148,7 @@ def hashed(nodes: DataFrame, dtype: str, passes: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        known: dict = {}
         for batch in batches:
             raw = batch.column(1).to_pylist()
             sizes = np.array([len(r) for r in raw])
@@ -154,7 +157,7 @@ def hashed(nodes: DataFrame, dtype: str, passes: int) -> DataFrame:
                 part = batch.take(pa.array(at))
                 x = units([raw[i] for i in at], dtype)
                 for p in range(passes):
-                    key = keys_of(x, p, shared.value.get((int(size), p)))
+                    key = keys_of(x, p, shared.value.get((int(size), p)), known)
                     number = pa.array(np.full(len(at), int(size) * passes + p, np.int64))
                     yield pa.record_batch(
                         {"pass": number, "key": pa.array(key), "node": part.column(0), "raw": part.column(1)}
