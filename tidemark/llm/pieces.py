@@ -7,8 +7,8 @@ The tokens that end at a place come from an automaton over the vocabulary; compa
 tokens along the border, in order of their scores, and asks whether one across the border would have come first. The
 table is filled from left to right in linear time and the ids are read off backwards.
 
-A word's mark stands at its beginning only (checked when the model is loaded), so texts are cut before marks and a
-task remembers the ids of the words it has seen. Normalising and decoding are the library's own.
+A word's mark stands at its beginning only (checked when the model is loaded), so texts are cut before marks and a task
+remembers the ids of the words it has seen. Normalising and decoding are the library's own.
 
 The driver reads the model once and broadcasts its bytes with the merges of its tokens (bounded by
 ``MOST_MODEL_BYTES``). Models that are not of the merging kind, lack byte fallback or hold pieces defined by users or
@@ -21,6 +21,7 @@ are one word of any length.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import re
 from collections.abc import Iterator
@@ -34,6 +35,7 @@ from tidemark.llm.common import read, small_batches, text_or_empty
 MODEL = "piece_bpe_32k.model"
 MOST_MODEL_BYTES = 64 << 20
 MARK = "▁"
+WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words a task remembers, and the longest of them; it starts anew beyond that. Pairs of tokens likewise.
 REMEMBERED, LONG_WORD, PAIRS = 400_000, 64, 1_000_000
 NEVER = float("inf")
@@ -70,17 +72,16 @@ class PrefixTable:
     def __init__(self, ranks: dict[str, float], events: dict[str, tuple[list, list]]):
         import ahocorasick
 
-        self.ranks, self.events, self.pairs = ranks, events, {}
+        self.ranks, self.events = ranks, events
+        self.after: dict[str, dict[str, bool]] = {}
+        self.tested = 0
         self.automaton = ahocorasick.Automaton()
         for token in events:
-            self.automaton.add_word(token, token)
+            self.automaton.add_word(token, (token, len(token)))
         self.automaton.make_automaton()
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether the encoding of both together is the two of them."""
-        known = self.pairs.get((left, right))
-        if known is not None:
-            return known
         ahead = self.events[left][1] if left in self.events else []
         behind = self.events[right][0] if right in self.events else []
         a, b, i, j = left[-1], right[0], 0, 0
@@ -89,40 +90,44 @@ class PrefixTable:
             one = ahead[i][0] if i < len(ahead) else NEVER
             two = behind[j][0] if j < len(behind) else NEVER
             if across < one and across <= two:
-                known = False
-                break
+                return False
             if one == two == NEVER:
-                known = True
-                break
+                return True
             if one <= two:
                 a, i = ahead[i][1], i + 1
             else:
                 b, j = behind[j][1], j + 1
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        self.pairs[left, right] = known
+
+    def tested_pair(self, left: str, right: str) -> bool:
+        if self.tested >= PAIRS:
+            self.after.clear()
+            self.tested = 0
+        self.tested += 1
+        known = self.after.setdefault(left, {})[right] = self.compatible(left, right)
         return known
 
     def tokens(self, word: str) -> list[str]:
         """The tokens of a word; a character outside the vocabulary is a token of its own."""
-        ends: list[list[str]] = [[] for _ in word]
-        for at, token in self.automaton.iter(word):
-            ends[at].append(token)
-        last: list[str] = [""]
-        for at, found in enumerate(ends, 1):
-            if word[at - 1] not in self.events:
-                found.append(word[at - 1])
-            for token in found:
-                before = at - len(token)
-                if before == 0 or self.compatible(last[before], token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no last token at {at}")
+        last: list[str] = [""] * (len(word) + 1)
+        after, nothing = self.after, {}
+        for at, (token, size) in self.automaton.iter(word):
+            if last[at + 1]:
+                continue
+            before = at + 1 - size
+            if before:
+                # a place without a token lies behind a character that no token ends with
+                left = last[before] or word[before - 1]
+                fits = after.get(left, nothing).get(token)
+                if fits is None:
+                    fits = self.tested_pair(left, token)
+                if not fits:
+                    continue
+            last[at + 1] = token
         out, at = [], len(word)
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            token = last[at] or word[at - 1]
+            out.append(token)
+            at -= len(token)
         return out[::-1]
 
 
@@ -154,44 +159,54 @@ class Pieces:
 
         class Coder:
             def __init__(self):
+                gc.disable()  # words and their ids are many small objects without cycles
                 content, ranks, events, self.ids, self.octets = shared.value
                 self.library = SentencePieceProcessor(model_proto=content)
                 self.table, self.seen = PrefixTable(ranks, events), {}
-                self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+                self.end = packed(end)
 
-            def word(self, word: str) -> list[int]:
+            def word(self, word: str) -> bytes:
                 out = []
                 for token in self.table.tokens(word):
                     own = self.ids.get(token)
                     out += [own] if own is not None else [self.octets[b] for b in token.encode()]
+                out = packed(out)
+                if len(word) <= LONG_WORD:
+                    if len(self.seen) >= REMEMBERED:
+                        self.seen.clear()
+                    self.seen[word] = out
                 return out
 
-            def __call__(self, text: str) -> list[int]:
-                out = []
-                for word in self.cut.findall(self.library.normalize(text)):
-                    own = self.seen.get(word)
-                    if own is None:
-                        own = self.word(word)
-                        if len(word) <= LONG_WORD:
-                            if len(self.seen) >= REMEMBERED:
-                                self.seen.clear()
-                            self.seen[word] = own
-                    out += own
-                return out + end
+            def __call__(self, text: str):
+                import numpy as np
+
+                seen, own = self.seen, self.word
+                parts = [seen.get(w) or own(w) for w in WORD.findall(self.library.normalize(text))]
+                return np.frombuffer(b"".join(parts) + self.end, "<i4")
+
+        def packed(ids: list[int]) -> bytes:
+            return b"".join(k.to_bytes(4, "little") for k in ids)
+
+        def lists(rows: list) -> pa.Array:
+            import numpy as np
+
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
 
         @F.arrow_udf("struct<ids: array<int>, decoded: string>")
         def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = Coder()
             for texts in batches:
                 coded = [own(t) for t in texts.to_pylist()]
-                back = [own.library.decode(c) for c in coded]
-                yield pa.StructArray.from_arrays([pa.array(coded, pa.list_(pa.int32())), pa.array(back, pa.string())], ["ids", "decoded"])
+                back = [own.library.decode(c.tolist()) for c in coded]
+                yield pa.StructArray.from_arrays([lists(coded), pa.array(back, pa.string())], ["ids", "decoded"])
 
         @F.arrow_udf("array<int>")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = Coder()
             for texts in batches:
-                yield pa.array([own(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+                yield lists([own(t) for t in texts.to_pylist()])
 
         @F.arrow_udf("string")
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
