@@ -1,15 +1,15 @@
 """Phrase collocation mining with Rabin-Karp fingerprints.
 
-1. Texts are cut into words once and written as blocks of one language: the block's words and, per place, the number
-   of its word (0 between pieces). Words are told apart by prefix polynomials over the bytes and then by the bytes.
+1. Texts are cut into words once and written as blocks of one language, in buckets: the block's words and, per place,
+   the number of its word (0 between pieces). Words are told apart by prefix polynomials over the bytes and then by the
+   bytes.
 2. Prefix polynomials over the words of a block give the fingerprint of every phrase by one subtraction. A block sends
-   each of its phrases once: fingerprint, occurrences and a pointer (block, place) to one of them. The shuffle adds up
-   by fingerprint; those below the least count are gone.
-3. A phrase is only looked at where all its words (then: all its pairs of words) have frequent fingerprints, which
-   are sent back to the blocks that have them. A fingerprint that two phrases share only counts too much, so nothing
-   frequent is lost on the way.
-4. Frequent fingerprints go back to their pointers, where the words are read; the counts of equal words are added up.
-   Only here phrases become text, and two phrases under one fingerprint part.
+   each of its words and pairs of words once: fingerprint, occurrences and a pointer (block and place) to one of them.
+   The shuffle adds up by fingerprint; those below the least count are gone.
+3. Longer phrases are only looked at where all their pairs of words have frequent fingerprints, which are sent back to
+   the blocks that have them. A fingerprint that two phrases share only counts too much, so nothing frequent is lost.
+4. Each frequent fingerprint is read at one pointer; only here phrases become text. All other pointers go back to their
+   blocks with a digest of that text, and what has other words there is counted by itself.
 
 Within a block occurrences of one fingerprint are compared word by word, so a pointer stands for equal words only.
 
@@ -20,6 +20,7 @@ blanks and breaks. A piece without a break is held in memory whole; longer texts
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import read, small_batches, text_or_empty, written_once
+from tidemark.llm.common import read, shared_dir, small_batches, text_or_empty, written_once
 
 LONGEST, LEAST, TOP, COVERS = 5, 100, 2000, 100
 #: Bytes of text in a block.
 BLOCK = 6 << 20
 BREAKS = b".,;:!?\n\x0b\x0c\r"
+#: Bits of a pointer that hold the place in a block, and bits of a fingerprint that hold the number of words.
+PLACE_BITS, SIZE_BITS = 27, 3
 #: Odd factors of the polynomials over bytes and over words.
 BYTE_FACTOR, WORD_FACTOR = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -155,6 +158,8 @@ class Block:
         import numpy as np
         import xxhash
 
+        if n_places >> PLACE_BITS:
+            raise ValueError("a piece of text is too long for a pointer")
         self.raw = pa.decompress(words, word_bytes, "zstd", asbytes=True)
         planes = np.frombuffer(pa.decompress(places, 4 * n_places, "zstd", asbytes=True), np.uint8).reshape(4, -1)
         self.places = np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64)
@@ -164,12 +169,12 @@ class Block:
         self.hashes = np.concatenate(([0], word_hashes(np.frombuffer(self.raw, np.uint8), begins, ends))).astype(np.uint64)
 
     def finished(self, x, n: int):
-        """Fingerprints as signed numbers; equal words of another language or length have others."""
+        """Fingerprints, of which the lowest bits tell the number of words; another language has others."""
         import numpy as np
 
         with np.errstate(over="ignore"):
             x = _mixed(x + np.uint64(self.lang) * np.uint64(2 * n + 1))
-        return (x >> np.uint64(64 - self.bits)).view(np.int64)
+        return ((x >> np.uint64(64 - self.bits)) << np.uint64(SIZE_BITS) | np.uint64(n)).view(np.int64)
 
     def fingerprints(self, at, n: int):
         return self.finished(prefix_hashes(self.hashes[self.places], WORD_FACTOR, at, at + n), n)
@@ -194,17 +199,15 @@ class Block:
 
 #: What a task needs of a block.
 COLUMNS = ["block", "lang", "words", "word_bytes", "places", "n_places"]
-PRINTS = "fingerprint long, block long, n int, place long, count long"
+PRINTS = "fingerprint long, pointer long, count long"
 
 
-def _out(block: int, n: int, prints, places, counts):
+def _out(block: int, prints, places, counts):
     import numpy as np
 
-    size = len(prints)
     return pa.record_batch(
-        [pa.array(prints), pa.array(np.full(size, block)), pa.array(np.full(size, n, np.int32)), pa.array(places.astype(np.int64)), pa.array(counts.astype(np.int64))],
-        names=["fingerprint", "block", "n", "place", "count"],
-    )
+        [pa.array(prints), pa.array(places.astype(np.int64) + block), pa.array(counts.astype(np.int64))], names=["fingerprint", "pointer", "count"]
+    )
 
 
 def _each(batches: Iterator[pa.RecordBatch], bits: int):
@@ -213,106 +216,140 @@ def _each(batches: Iterator[pa.RecordBatch], bits: int):
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
             block, lang, words, word_bytes, places, n_places = (c[0].as_py() for c in row.columns[: len(COLUMNS)])
-            yield block, Block(lang, words, word_bytes, places, n_places, bits), row.columns[len(COLUMNS) :]
+            yield block, lang, Block(lang, words, word_bytes, places, n_places, bits), row.columns[len(COLUMNS) :]
 
 
-def _words(batches, bits: int):
-    """Words of blocks by fingerprint; their place is the word's number."""
+def _short(batches, bits: int, longest: int):
+    """Words, whose place is the word's number, and pairs of words."""
     import numpy as np
 
-    for block, own, (counts,) in _each(batches, bits):
+    for block, _, own, (counts,) in _each(batches, bits):
         n = np.frombuffer(counts[0].as_py(), "<i8")
-        yield _out(block, 1, own.finished(own.hashes[1:], 1), np.arange(1, len(n) + 1), n)
-
-
-def _pairs(batches, bits: int):
-    """Pairs of words that are both frequent."""
-    import numpy as np
-
-    for block, own, (frequent,) in _each(batches, bits):
-        known = np.zeros(len(own.hashes), bool)
-        known[frequent.flatten().to_numpy()] = True
-        known = known[own.places]
-        yield _out(block, 2, *own.phrases(np.flatnonzero(known[:-1] & known[1:]), 2))
+        yield _out(block, own.finished(own.hashes[1:], 1), np.arange(1, len(n) + 1), n)
+        if longest > 1:
+            yield _out(block, *own.phrases(np.flatnonzero((own.places[:-1] > 0) & (own.places[1:] > 0)), 2))
 
 
 def _longer(batches, bits: int, longest: int):
     """Phrases of three words and more of which all pairs are frequent."""
     import numpy as np
 
-    for block, own, (frequent,) in _each(batches, bits):
+    for block, _, own, (frequent,) in _each(batches, bits):
         at = np.flatnonzero((own.places[:-1] > 0) & (own.places[1:] > 0))
         known = np.zeros(len(own.places), bool)
         known[at] = np.isin(own.fingerprints(at, 2), frequent.flatten().to_numpy())
         whole = known
         for n in range(3, longest + 1):
             whole = whole[:-1] & known[n - 2 :]
-            yield _out(block, n, *own.phrases(np.flatnonzero(whole), n))
+            yield _out(block, *own.phrases(np.flatnonzero(whole), n))
 
 
-def _texts(batches, bits: int):
-    """``phrase, count`` for pointers ``n, place, count``."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1)
-            _, lang, words, word_bytes, places, n_places = (c[0].as_py() for c in row.columns[: len(COLUMNS)])
-            own = Block(lang, words, word_bytes, places, n_places, bits)
-            names, numbers, out = own.raw.split(b"\n"), own.places, []
-            at = row.columns[-1].flatten()
-            for n, place in zip(at.field("n").to_pylist(), at.field("place").to_pylist()):
-                out.append(names[place - 1] if n == 1 else b" ".join([names[w - 1] for w in numbers[place : place + n].tolist()]))
-            yield pa.record_batch(
-                [pa.array([lang] * len(out)), at.field("n"), pa.array([p.decode() for p in out], pa.string()), at.field("count")],
-                names=["lang", "n", "phrase", "count"],
-            )
+def _read_at(own: Block, prints: list[int], pointers: list[int], block: int) -> list[bytes]:
+    """The words that the pointers of a block point at."""
+    names, numbers, out = own.raw.split(b"\n"), own.places, []
+    for n, place in zip((p & ((1 << SIZE_BITS) - 1) for p in prints), (p - block for p in pointers)):
+        out.append(names[place - 1] if n == 1 else b" ".join([names[w - 1] for w in numbers[place : place + n].tolist()]))
+    return out
+
+
+def _check(text: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _named(batches, bits: int):
+    """``fingerprint, lang, phrase, total, digest`` for lists of pointers, one for each fingerprint."""
+    for block, lang, own, (at,) in _each(batches, bits):
+        at = at.flatten()
+        prints = at.field("fingerprint")
+        texts = _read_at(own, prints.to_pylist(), at.field("pointer").to_pylist(), block)
+        yield pa.record_batch(
+            [prints, pa.array([lang] * len(texts)), pa.array([t.decode() for t in texts], pa.string()), at.field("total"), pa.array([_check(t) for t in texts], pa.int64())],
+            names=["fingerprint", "lang", "phrase", "total", "digest"],
+        )
+
+
+def _others(batches, bits: int):
+    """``fingerprint, lang, phrase, count`` of pointers at other words than those their fingerprint was read as."""
+    for block, lang, own, (at,) in _each(batches, bits):
+        at = at.flatten()
+        prints, counts = at.field("fingerprint").to_pylist(), at.field("count").to_pylist()
+        texts = _read_at(own, prints, at.field("pointer").to_pylist(), block)
+        rows = [(p, lang, t.decode(), n) for p, t, n, d in zip(prints, texts, counts, at.field("digest").to_pylist()) if _check(t) != d]
+        columns = zip(*rows) if rows else [[]] * 4
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["fingerprint", "lang", "phrase", "count"])
 
 
 def _frequent(prints: DataFrame, least: int, name: str) -> DataFrame:
-    """Pointers whose fingerprint occurs often enough over all blocks: one shuffle, one row per block and phrase."""
-    total = F.sum("count").over(Window.partitionBy("fingerprint"))
-    return written_once(prints.withColumn("total", total).where(F.col("total") >= least).drop("total"), name)
+    """``fingerprint, pointer, count, total, first``: pointers whose fingerprint occurs often enough over all blocks, and
+    the least pointer of each. One shuffle; a fingerprint has one row per block and phrase."""
+    same = Window.partitionBy("fingerprint")
+    rows = prints.withColumns({"total": F.sum("count").over(same), "first": F.min("pointer").over(same)})
+    return written_once(rows.where(F.col("total") >= least), name)
+
+
+def _blocks_table(rows: DataFrame, block: int) -> DataFrame:
+    """The blocks, written in buckets by their number: lists for blocks then meet them without moving them again."""
+    spark = rows.sparkSession
+    schema = "lang string, words binary, word_bytes long, counts binary, places binary, n_places long"
+    # number of the task and of the block within it, above the bits of a place
+    number = F.monotonically_increasing_id()
+    number = F.shiftleft(F.shiftright(number, 33), 43) + F.shiftleft(number.bitwiseAND(F.lit((1 << 33) - 1)), PLACE_BITS)
+    cut = rows.mapInArrow(lambda b: _blocks(b, block), schema).withColumn("block", number)
+    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"phrase_blocks_{uuid.uuid4().hex}"
+    path = shared_dir(spark, "phrase-blocks")
+    cut.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 def frequent_phrases(
-    docs: DataFrame, longest: int = LONGEST, least: int = LEAST, lang_col: str = "lang", text_col: str = "text", block: int = BLOCK, bits: int = 64
+    docs: DataFrame, longest: int = LONGEST, least: int = LEAST, lang_col: str = "lang", text_col: str = "text", block: int = BLOCK, bits: int = 64 - SIZE_BITS
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, n, phrase, count`` of phrases of 1 to ``longest`` words, and ``lang, words`` with all words counted.
 
     ``bits`` cuts fingerprints short, which costs time but changes no result.
     """
+    if not 1 <= longest < 1 << SIZE_BITS:
+        raise ValueError(f"phrases have 1 to {(1 << SIZE_BITS) - 1} words")
     rows = small_batches(docs).select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
-    schema = "lang string, words binary, word_bytes long, counts binary, places binary, n_places long"
-    cut = rows.mapInArrow(lambda b: _blocks(b, block), schema)
-    blocks = written_once(cut.withColumn("block", F.monotonically_increasing_id()), "phrase-blocks")
+    blocks = _blocks_table(rows, block)
     own = blocks.select(*COLUMNS)
 
-    def sent_back(rows: DataFrame, column) -> DataFrame:
-        lists = rows.groupBy(F.col("block").alias("to")).agg(F.collect_list(column).alias("list"))
-        return own.join(lists, F.col("block") == F.col("to")).select(*COLUMNS, "list")
+    def sent_back(rows: DataFrame, *columns: str) -> DataFrame:
+        to = F.shiftleft(F.shiftright("pointer", PLACE_BITS), PLACE_BITS)
+        lists = rows.groupBy(to.alias("block")).agg(F.collect_list(F.struct(*columns) if len(columns) > 1 else F.col(columns[0])).alias("list"))
+        return own.join(lists.hint("merge"), "block").select(*COLUMNS, "list")
 
-    words = blocks.select(*COLUMNS, "counts").mapInArrow(lambda b: _words(b, bits), PRINTS)
-    words = _frequent(words, least, "phrase-words")
-    found = words
-    if longest > 1:
-        pairs = _frequent(sent_back(words, F.col("place")).mapInArrow(lambda b: _pairs(b, bits), PRINTS), least, "phrase-pairs")
-        found = found.unionByName(pairs)
+    short = blocks.select(*COLUMNS, "counts").mapInArrow(lambda b: _short(b, bits, longest), PRINTS)
+    found = short = _frequent(short, least, "phrase-short")
+    size = F.col("fingerprint").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
     if longest > 2:
-        more = sent_back(pairs, F.col("fingerprint")).mapInArrow(lambda b: _longer(b, bits, longest), PRINTS)
-        found = found.unionByName(_frequent(more, least, "phrase-longer"))
-    texts = sent_back(found, F.struct("n", "place", "count")).mapInArrow(lambda b: _texts(b, bits), "lang string, n int, phrase string, count long")
-    known = texts.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
-    counted = F.aggregate(F.col("sizes"), F.lit(0).cast("long"), lambda a, x: a + x)
-    total = blocks.mapInArrow(_totals, "lang string, sizes array<long>").select("lang", counted.alias("words"))
-    return written_once(known, "phrase-known"), total.groupBy("lang").agg(F.sum("words").alias("words"))
+        longer = sent_back(short.where(size == 2), "fingerprint").mapInArrow(lambda b: _longer(b, bits, longest), PRINTS)
+        found = short.unionByName(_frequent(longer, least, "phrase-longer"))
+    first = sent_back(found.where("pointer = first"), "fingerprint", "pointer", "total")
+    schema = "fingerprint long, lang string, phrase string, total long, digest long"
+    named = written_once(first.mapInArrow(lambda b: _named(b, bits), schema), "phrase-named")
+    rest = found.where("pointer <> first").join(named.select("fingerprint", "digest"), "fingerprint")
+    rest = sent_back(rest, "fingerprint", "pointer", "count", "digest")
+    others = rest.mapInArrow(lambda b: _others(b, bits), "fingerprint long, lang string, phrase string, count long")
+    others = written_once(others, "phrase-others")
+    wrong = others.groupBy("fingerprint").agg(F.sum("count").alias("wrong"))
+    counted = named.join(wrong, "fingerprint", "left").select("lang", "phrase", (F.col("total") - F.coalesce("wrong", F.lit(0))).alias("count"))
+    apart = others.groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
+    known = counted.unionByName(apart).where(F.col("count") >= least).withColumn("n", F.size(F.split("phrase", " ", -1)))
+
+    sizes = blocks.select("lang", "counts").mapInArrow(_totals, "lang string, words long")
+    return written_once(known.select("lang", "n", "phrase", "count"), "phrase-known"), sizes.groupBy("lang").agg(F.sum("words").alias("words"))
 
 
 def _totals(batches):
     import numpy as np
 
     for batch in batches:
-        names = batch.schema.names
-        sizes = [[int(np.frombuffer(c, "<i8").sum())] for c in batch.column(names.index("counts")).to_pylist()]
-        yield pa.record_batch([batch.column(names.index("lang")), pa.array(sizes, pa.list_(pa.int64()))], names=["lang", "sizes"])
+        sizes = [int(np.frombuffer(c, "<i8").sum()) for c in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64())], names=["lang", "words"])
 
 
 def collocations(
