@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import expiry
 from tidemark.operators import store as ops
 from tidemark.operators.profiles import latest_profile
 from tidemark.operators.windows import windowed_features
 from tidemark.plans import sql
-from tidemark.plans.derived import at, events, folds, guarded_log, plain, profile_log, window_log
+from tidemark.plans.derived import at, events, expiring_log, folds, guarded_log, plain, profile_log, window_log
 from tidemark.session import shared_dir
 from tidemark.sources.feature_store import FeatureStore
 
 TTL_NOW = "2024-01-30 18:00:00"
 TTL_SECONDS = 6 * 3600
+FORGET_SECONDS = 24 * 3600
 PREFIX = "features"
 
 
@@ -105,7 +107,20 @@ def _profile_maps(spark, sf):
     )
 
 
+def _expiry_refolded(spark, sf):
+    """Writes before mid-month folded first: with the later ones the same state as from all writes."""
+    log = expiring_log(spark, sf)
+    cut = F.col("write_ts") < at("2024-01-15 00:00:00")
+    early = expiry.fold_with_expiry(log.where(cut), FORGET_SECONDS)
+    return plain(expiry.fold_with_expiry(early.unionByName(log.where(~cut)), FORGET_SECONDS))
+
+
 QUERIES = {
+    "lives_marked": lambda spark, sf: plain(
+        expiry.mark_lives(expiring_log(spark, sf), FORGET_SECONDS).select("user_id", "grp", "seq", "life", "accepted")
+    ),
+    "fold_with_expiry": lambda spark, sf: plain(expiry.fold_with_expiry(expiring_log(spark, sf), FORGET_SECONDS)),
+    "expiry_refolded": _expiry_refolded,
     "guarded_fold": _guarded_fold("keep"),
     "guarded_fold_replace": _guarded_fold("replace"),
     "guarded_accepted": lambda spark, sf: ops.mark_accepted(guarded_log(spark, sf)).select("user_id", "seq", "accepted"),
@@ -140,6 +155,36 @@ marked as (
   from glog
 )"""
 
+# One write after the other: the life, its last applied write, and the guards of both groups.
+LIVES = f"""
+turns as (
+  select *, row_number() over (partition by user_id order by write_ts, seq) as turn from (
+    select * replace (if(seq % 2 = 0, 'profile', '5m') as grp) from glog)
+),
+lives as (
+  select user_id, turn, write_ts as life, write_ts as last, if(grp = '5m', guard, null) as g5, if(grp = '5m', null, guard) as gp, true as accepted
+  from turns where turn = 1
+  union all
+  select user_id, turn, if(gone, write_ts, life), if(fits, write_ts, last),
+         if(grp = '5m' and fits, guard, if(gone, null, g5)), if(grp <> '5m' and fits, guard, if(gone, null, gp)), fits
+  from (
+    select t.*, l.life, l.last, l.g5, l.gp, l.last + interval {FORGET_SECONDS} second <= t.write_ts as gone,
+           gone or t.guard >= coalesce(if(t.grp = '5m', l.g5, l.gp), t.guard) as fits
+    from lives l join turns t on t.user_id = l.user_id and t.turn = l.turn + 1)
+),
+lived as (select t.*, l.life, l.accepted from turns t join lives l using (user_id, turn))"""
+
+LIVES_MARKED = "with recursive " + sql.with_(sql.EVENTS, GUARDED, LIVES).strip().removeprefix("with ") + "select user_id, grp, seq, life, accepted from lived"
+
+_LAST_LIVES = "with recursive " + sql.with_(sql.EVENTS, GUARDED, LIVES).strip().removeprefix("with ") + """
+select user_id, grp, max(seq) as seq, max(guard) as guard, any_value(ended) as write_ts,
+       arg_max(last_device, seq) filter (where last_device is not null) as last_device,
+       arg_max(last_category, seq) filter (where last_category is not null) as last_category,
+       arg_max(spend, seq) filter (where spend is not null) as spend
+from (select *, max(life) over (partition by user_id) as newest, max(write_ts) over (partition by user_id) as ended
+      from lived where accepted)
+where life = newest group by user_id, grp"""
+
 _GUARDED_FOLD = sql.with_(sql.EVENTS, GUARDED) + """
 select user_id, grp, max(seq) as seq, max(guard) as guard, max(write_ts) as write_ts,
        arg_max(last_device, seq) filter (where last_device is not null) as last_device,
@@ -190,6 +235,9 @@ long as (
 _DOUBLES = "('spend_1h', 'refund_amount_1h', 'avg_order_value_1h', 'cart_conversion_1h')"
 
 ORACLES = {
+    "lives_marked": LIVES_MARKED,
+    "fold_with_expiry": _LAST_LIVES,
+    "expiry_refolded": _LAST_LIVES,
     "guarded_fold": _GUARDED_FOLD,
     "guarded_fold_replace": sql.with_(sql.EVENTS, GUARDED) + """
 select user_id, grp, seq, guard, write_ts, last_device, last_category, spend from (

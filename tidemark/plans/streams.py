@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.windows import windowed_features
 from tidemark.plans import sql
-from tidemark.plans.derived import at, events, messages, plain, record_texts
+from tidemark.plans.derived import at, events, expiring_log, messages, plain, record_texts
 from tidemark.plans.windows import DISTINCT, SPECS, distinct_checked
+from tidemark.plans.store import FORGET_SECONDS, LIVES_MARKED
 from tidemark.plans.wire import ORACLES as WIRE
 from tidemark.session import shared_dir, streaming_session
 from tidemark.sources.contracts import packaged_schemas
 from tidemark.sources.events import MESSAGE_SCHEMA, event_source, written_events
 from tidemark.sources.feature_store import FeatureStore
 from tidemark.streaming import jobs
+from tidemark.streaming.expiry import mark_lives_stream
 from tidemark.streaming.sinks import to_files
 
 SLICE_ENDS = ["2024-01-11", "2024-01-21", None]  # the last slice is open and takes records without a time
@@ -176,7 +178,20 @@ def _publish(spark, sf):
     return sent.withColumn("written", F.lit("messages")).unionByName(letters.withColumn("written", F.lit("letters")))
 
 
+def _lives(spark, sf):
+    """Guards judged by a keyed state per user that expires, in three micro-batches."""
+    root = shared_dir(spark, "lives")
+    log = expiring_log(spark, sf).where("guard is not null")
+    files = _files(log)
+    _slices(log, f"{root}/log", range(3), files, "write_ts")
+    stream = _read(streaming_session(spark), f"{root}/log", log.schema, files)
+    marked = mark_lives_stream(stream, FORGET_SECONDS)
+    jobs.finish([jobs.start(marked, "lives", to_files(f"{root}/marked"), f"{root}/checkpoints", NOW_OR_NEVER, "append")])
+    return plain(spark.read.parquet(f"{root}/marked").select("user_id", "grp", "seq", "life", "accepted"))
+
+
 QUERIES = {
+    "stream_lives": _lives,
     "stream_windows_5m": _windows("5m"),
     "stream_windows_1h": _windows("1h"),
     "stream_late_5m": _late("5m"),
@@ -247,6 +262,7 @@ _JOB = sql.with_(sql.EVENTS, _job_windows("5m"), _job_windows("1h"), _JOB_PROFIL
 )
 
 ORACLES = {
+    "stream_lives": LIVES_MARKED,
     "stream_windows_5m": _windows_sql("5m"),
     "stream_windows_1h": _windows_sql("1h"),
     "stream_late_5m": _windows_sql("5m", keep=_WATERMARK),
