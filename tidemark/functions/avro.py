@@ -98,6 +98,24 @@ def _read_field(cur: _Cursor, field: Field) -> pa.Array:
     return values if rows.all() else pc.if_else(pa.array(rows), values, pa.scalar(None, values.type))
 
 
+def _promoted(values: pa.Array, kind: pa.DataType, ok: np.ndarray) -> pa.Array:
+    """Written values as the reader's type; a value that does not fit makes its record unreadable, not the batch."""
+    if values.type == kind:
+        return values
+    if pa.types.is_integer(kind) and pa.types.is_integer(values.type):
+        ends = np.iinfo(kind.to_pandas_dtype())
+        fits = pc.and_(pc.greater_equal(values, pa.scalar(ends.min, pa.int64())), pc.less_equal(values, pa.scalar(ends.max, pa.int64())))
+        ok &= fits.fill_null(True).to_numpy(zero_copy_only=False)
+        return pc.if_else(fits, values, pa.scalar(None, values.type)).cast(kind)
+    if pa.types.is_floating(kind) and (pa.types.is_integer(values.type) or pa.types.is_floating(values.type)):
+        return values.cast(kind, safe=False)
+    try:
+        return values.cast(kind)
+    except pa.ArrowInvalid:
+        ok &= values.is_null().to_numpy(zero_copy_only=False)
+        return pa.nulls(len(values), kind)
+
+
 def _read_records(data: np.ndarray, start: np.ndarray, end: np.ndarray, writer: list[Field],
                   reader: list[Field]) -> pa.StructArray:
     """Written records as reader fields; a record that does not parse becomes null."""
@@ -107,7 +125,7 @@ def _read_records(data: np.ndarray, start: np.ndarray, end: np.ndarray, writer:
     for f in reader:
         kind = _ARROW[f.physical]
         if f.name in read:
-            columns.append(read[f.name].cast(kind))
+            columns.append(_promoted(read[f.name], kind, cur.ok))
         elif f.has_default:
             columns.append(pa.array([f.default] * len(start), kind))
         else:

@@ -116,6 +116,18 @@ def decode_rejects(raw: DataFrame, writers: Mapping[int, str], reader: str, code
     return rejects_of(decode_messages(raw, writers, reader, codec))
 
 
+def replayed(
+    rejects: DataFrame, writers: Mapping[int, str], reader: str, codec: str = "avro_arrow", required: str = "user_id"
+) -> DataFrame:
+    """Kept rejects (``value, timestamp`` and any other columns) decoded again under newer contracts, as
+    :func:`decode_messages` does it; ``rejected_for`` keeps what they were rejected for.
+
+    ``events_of`` the result are the messages that were only ahead of their contract; ``rejects_of`` it stay rejects.
+    """
+    again = rejects.withColumnRenamed("reason", "rejected_for").drop("schema_id")
+    return decode_messages(again, writers, reader, codec, required)
+
+
 def encode_payload(schema: str, codec: str = "avro_arrow") -> Column:
     """Payload of the event columns under one schema."""
     fields = record_fields(schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.once import computed_once
@@ -113,3 +113,13 @@ def letter_reasons(letters: DataFrame) -> DataFrame:
     """Letters per reason. Reasons are told apart whole and cut for display afterwards."""
     counted = letters.groupBy(first_clause(F.col("error")).alias("whole")).agg(F.count(F.lit(1)).alias("letters"))
     return counted.select(F.substring("whole", 1, SHOWN_CHARS).alias("reason"), "letters")
+
+
+def dead_letter_report(letters: DataFrame, limit: int = 8, *tie_break: str) -> DataFrame:
+    """One row for published letters: how many there are (``total``) and the newest ones (``recent``, newest first)."""
+    shown = F.struct("error", "event", F.unix_millis("timestamp").alias("timestamp_ms"))
+    order = [F.desc_nulls_last("timestamp"), *map(F.col, tie_break)]
+    placed = recent_letters(letters, limit, *tie_break).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # limit rows
+    newest = F.transform(F.array_sort(F.collect_list(F.struct("place", shown.alias("letter")))), lambda x: x["letter"])
+    total = letters.agg(F.count(F.lit(1)).alias("total"))
+    return placed.agg(newest.alias("recent")).select(total.scalar().alias("total"), "recent")

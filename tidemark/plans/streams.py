@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.decode import events_of, replayed
 from tidemark.operators.windows import windowed_features
 from tidemark.plans import sql
 from tidemark.plans.derived import at, events, expiring_log, messages, plain, record_texts
@@ -16,13 +17,14 @@ from tidemark.plans.windows import DISTINCT, SPECS, distinct_checked
 from tidemark.plans.store import FORGET_SECONDS, LIVES_MARKED
 from tidemark.plans.wire import ORACLES as WIRE
 from tidemark.session import shared_dir, streaming_session
-from tidemark.sources.contracts import packaged_schemas
+from tidemark.sources.contracts import contracts_table, packaged_schemas, writer_schemas
 from tidemark.sources.events import MESSAGE_SCHEMA, event_source, written_events
 from tidemark.sources.feature_store import FeatureStore
 from tidemark.streaming import jobs
 from tidemark.streaming.expiry import mark_lives_stream
 from tidemark.streaming.sinks import to_files
 
+SUBJECT = "user-events-value"
 SLICE_ENDS = ["2024-01-11", "2024-01-21", None]  # the last slice is open and takes records without a time
 JOB_NOW = "2024-02-01 00:00:00"  # every window is closed by then
 ROWS_PER_FILE = 250_000
@@ -163,6 +165,51 @@ def _ingested_rejects(spark, sf):
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("messages"))
 
 
+def _registered(spark, path: str, versions) -> None:
+    """Versions of the events' subject written to a contracts table."""
+    schemas = packaged_schemas()
+    rows = [(SUBJECT, v, v, schemas[v]) for v in versions]
+    spark.createDataFrame(rows, "subject string, version int, schema_id int, schema string").coalesce(1).write.mode("append").parquet(path)
+
+
+def _asked(spark, path: str):
+    """The contracts as the table has them at the time of the call."""
+    return lambda: writer_schemas(contracts_table(spark, path), SUBJECT)
+
+
+def _replayed(spark, sf):
+    """The second version is registered after the first of two micro-batches: what was sent under it before then is
+    decoded from the kept rejects."""
+    root = shared_dir(spark, "replayed")
+    sent = messages(spark, sf, "json")
+    files = _files(sent)
+    session = streaming_session(spark)
+    contracts = _asked(session, f"{root}/contracts")
+    for part, version in ((0, 1), (1, 2)):
+        _registered(spark, f"{root}/contracts", [version])
+        _slices(sent, f"{root}/raw", [0] if part == 0 else [1, 2], files, "timestamp")
+        raw = _read(session, f"{root}/raw", MESSAGE_SCHEMA, 2 * files)
+        jobs.finish([jobs.start_refreshing_ingest(raw, contracts, f"{root}/decoded", f"{root}/checkpoints", "json", NOW_OR_NEVER)])
+    first = written_events(spark, f"{root}/decoded", EVENT_SCHEMA, streaming=False)
+    rejects = spark.read.schema("value binary, kafka_ts timestamp, schema_id int, reason string, status string").parquet(f"{root}/decoded")
+    rejects = rejects.where("status = 'reject'").select("value", F.col("kafka_ts").alias("timestamp"), "schema_id", "reason")
+    later = events_of(replayed(rejects, *contracts(), "json"))
+    return plain(first.withColumn("replayed", F.lit(False)).unionByName(later.withColumn("replayed", F.lit(True))))
+
+
+def _pipeline_vectors(spark, sf):
+    """The whole job from framed messages to vectors by its one entry point."""
+    root = shared_dir(spark, "whole")
+    sent = messages(spark, sf, "json")
+    files = _files(sent)
+    _write_slice(sent, f"{root}/raw", 0, files)
+    _registered(spark, f"{root}/contracts", [1, 2])
+    session = streaming_session(spark)
+    raw = _read(session, f"{root}/raw", MESSAGE_SCHEMA, files)
+    jobs.run_pipeline(session, raw, _asked(session, f"{root}/contracts"), f"{root}/out", trigger=NOW_OR_NEVER, codec="json", now=at(JOB_NOW))
+    return FeatureStore(spark, f"{root}/out/store").vectors().drop(*_VECTOR_DROPS)
+
+
 def _publish(spark, sf):
     root = shared_dir(spark, "publish")
     texts = record_texts(spark, sf)
@@ -192,6 +239,8 @@ def _lives(spark, sf):
 
 QUERIES = {
     "stream_lives": _lives,
+    "rejects_replayed": _replayed,
+    "pipeline_vectors": _pipeline_vectors,
     "stream_windows_5m": _windows("5m"),
     "stream_windows_1h": _windows("1h"),
     "stream_late_5m": _late("5m"),
@@ -261,7 +310,29 @@ _JOB = sql.with_(sql.EVENTS, _job_windows("5m"), _job_windows("1h"), _JOB_PROFIL
     "select * from state_profile join state_5m using (user_id) join state_1h using (user_id)"
 )
 
+def _last_window(grp: str) -> str:
+    _, _, length, slide = SPECS[grp]
+    shown = ", ".join(f"{f} as {f}_{grp}" for f in _FIELDS)
+    return sql.windows(f"w_{grp}", length, slide) + f""",
+last_{grp} as (
+  select user_id, {shown} from w_{grp} qualify row_number() over (partition by user_id order by window_end desc) = 1
+)"""
+
+
+_DECODABLE = sql.EVENTS.replace("ev as (", "sent as (", 1) + """,
+ev as (
+  select * replace (make_timestamp((epoch_us(event_ts) // 1000) * 1000) as event_ts) from sent
+  where product_id not in ('p00013', 'p00029', 'p00041', 'p00057', 'p00091')
+)"""
+_PIPELINE = sql.with_(_DECODABLE, sql.PROFILE, _last_window("5m"), _last_window("1h")) + (
+    "select * from profile join last_5m using (user_id) join last_1h using (user_id)"
+)
+_REPLAYED = f"""
+select d.*, d.device is not null and d.kafka_ts < timestamp '{SLICE_ENDS[0]}' as replayed from ({WIRE["decode_events_json"]}) d"""
+
 ORACLES = {
+    "rejects_replayed": _REPLAYED,
+    "pipeline_vectors": _PIPELINE,
     "stream_lives": LIVES_MARKED,
     "stream_windows_5m": _windows_sql("5m"),
     "stream_windows_1h": _windows_sql("1h"),

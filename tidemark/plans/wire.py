@@ -57,6 +57,12 @@ def _letters(spark, sf):
     return validate.read_letters(validate.dead_letters(_checked(spark, sf)))
 
 
+def _letter_report(spark, sf):
+    report = validate.dead_letter_report(_letters(spark, sf), 8, "error")
+    shown = F.transform("recent", lambda x: F.concat_ws(" @", x["error"], x["timestamp_ms"]))
+    return report.select("total", F.array_join(shown, "; ").alias("newest"))
+
+
 def _letter_rows(letters):
     event = F.when(F.col("event").startswith("{"), F.get_json_object("event", "$.event_id"))
     return plain(letters.select("key", "error", event.alias("event_id"), "timestamp"))
@@ -90,6 +96,7 @@ QUERIES = {
     "dead_letters": lambda spark, sf: _letter_rows(_letters(spark, sf)),
     "dead_letters_recent": lambda spark, sf: _letter_rows(validate.recent_letters(_letters(spark, sf), 8, "error")),
     "dead_letter_total": lambda spark, sf: _letters(spark, sf).agg(F.count(F.lit(1)).alias("total")),
+    "dead_letter_report": _letter_report,
     "dead_letter_reasons": lambda spark, sf: validate.letter_reasons(_letters(spark, sf)),
     "delivery_counters": lambda spark, sf: delivery_counters(_outcomes(spark, sf)),
     "delivery_rates": lambda spark, sf: plain(delivery_rates(_outcomes(spark, sf), "1 hour", 3600)),
@@ -159,6 +166,10 @@ from ev where product_id not in ('p00013', 'p00029', 'p00057', 'p00091')""",
     "dead_letters": _LETTERS,
     "dead_letters_recent": _LETTERS + " order by timestamp desc, error limit 8",
     "dead_letter_total": sql.with_(sql.EVENTS, _ERRORS) + "select count(error) as total from letters",
+    "dead_letter_report": sql.with_(sql.EVENTS, _ERRORS) + """
+select (select count(error) from letters) as total,
+       string_agg(error || ' @' || epoch_us(timestamp) // 1000, '; ' order by timestamp desc, error) as newest
+from (select * from letters where error is not null order by timestamp desc, error limit 8)""",
     "dead_letter_reasons": sql.with_(sql.EVENTS, _ERRORS) + """
 select split_part(error, ' (', 1) as reason, count(*) as letters from letters where error is not null group by 1""",
     "delivery_counters": sql.with_(sql.EVENTS, _OUTCOME) + """

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import wire
-from tidemark.operators.decode import encode_payload
+from tidemark.operators.decode import decode_messages, encode_payload
 from tidemark.operators.profiles import latest_profile
 from tidemark.operators.validate import check_records, dead_letters, valid_events
 from tidemark.operators.windows import select_current_windows
 from tidemark.sources.feature_store import FeatureStore
 
 Sink = Callable[[DataFrame, int], None]
+#: Writer schemas by id, and the reader schema, as they are when it is called.
+Contracts = Callable[[], tuple[Mapping[int, str], str]]
 
 
 def window_sink(store: FeatureStore, grp: str, now: Column | None = None) -> Sink:
@@ -73,3 +75,39 @@ def contract_sink(schema: str, schema_id: int, messages: Sink, letters: Sink, co
             checked.unpersist()
 
     return write
+
+
+def ingest_rows(decoded: DataFrame) -> DataFrame:
+    """Both outcomes of decoding as rows of one table, by ``status``: events, and rejects with their bytes and reason."""
+    rejected = F.col("reason").isNotNull()
+    return decoded.select(
+        "e.*",
+        F.col("timestamp").alias("kafka_ts"),
+        F.when(rejected, F.col("value")).alias("value"),
+        "schema_id",
+        "reason",
+        F.when(rejected, "reject").otherwise("event").alias("status"),
+    )
+
+
+def ingest_sink(contracts: Contracts, path: str, codec: str = "avro_arrow") -> Sink:
+    """Decode each batch under the contracts that stand when it begins, into a directory of its own.
+
+    The directory is written aside and renamed, so its files appear together; a replayed batch whose directory is there
+    already is left alone, and what streams from the table sees every file once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
+        aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_aside/{batch_id}")
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(target):
+            return
+        writers, reader = contracts()
+        rows = ingest_rows(decode_messages(batch, writers, reader, codec))
+        rows.write.mode("overwrite").partitionBy("status").parquet(str(aside))
+        if not fs.rename(aside, target):
+            raise OSError(f"could not rename {aside}")
+
+    return write
