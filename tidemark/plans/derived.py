@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tidemark.operators.contracts import subject_name
 from tidemark.operators.monitor import QUERY_NAMES
 from tidemark.operators.profiles import latest_profile
 from tidemark.operators.serving import lookup_batch
-from tidemark.operators.store import fold_log, to_log
+from tidemark.operators.store import feature_columns, fold_log, log_vectors, to_log
 from tidemark.operators.windows import windowed_features
 from tidemark.session import use_utc
 from tidemark.sources.contracts import packaged_schemas
@@ -169,6 +171,17 @@ def folds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors from one fold over the log of all groups."""
+    logs = {
+        "5m": window_log(spark, sf_dir, "5m", "5 minutes", "1 minute", 60),
+        "1h": window_log(spark, sf_dir, "1h", "1 hour", "10 minutes", 600),
+        "profile": profile_log(spark, sf_dir),
+    }
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs.values())
+    return log_vectors(union, {g: feature_columns(log) for g, log in logs.items()})
+
+
 # -- lookups
 
 

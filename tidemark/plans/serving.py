@@ -6,20 +6,15 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import serving as ops
 from tidemark.operators.profiles import latest_profile
-from tidemark.operators.store import feature_vectors
 from tidemark.plans import sql
-from tidemark.plans.derived import AFTER_ALL, NOW, answered_lookups, at, events, folds, plain
+from tidemark.plans.derived import AFTER_ALL, NOW, answered_lookups, at, events, plain, vectors
 from tidemark.plans.store import VECTORS
 
 REQUEST = ["u000003", "u999999", "u000001", "u000003", "u000014"]
 
 
-def _vectors(spark, sf):
-    return feature_vectors(folds(spark, sf))
-
-
 def _lookup(spark, sf):
-    return plain(ops.lookup(_vectors(spark, sf), "u000007", at(AFTER_ALL)).drop("last_write"))
+    return plain(ops.lookup(vectors(spark, sf), "u000007", at(AFTER_ALL)).drop("last_write"))
 
 
 def _batch(spark, sf):
@@ -50,10 +45,10 @@ QUERIES = {
     "latency_round": lambda spark, sf: ops.benchmark_latency(answered_lookups(spark, sf)),
     "hit_rate": lambda spark, sf: ops.hit_rate(answered_lookups(spark, sf)),
     "sample_users": lambda spark, sf: ops.sample_users(latest_profile(events(spark, sf)), 8),
-    "window_age": lambda spark, sf: ops.with_window_age(_vectors(spark, sf), at(NOW)).select(
+    "window_age": lambda spark, sf: ops.with_window_age(vectors(spark, sf), at(NOW)).select(
         "user_id", "window_age_ms_5m", "window_age_ms_1h"
     ),
-    "vectors_as_of": lambda spark, sf: ops.as_of(_vectors(spark, sf), at("2024-01-30 23:30:00")).select(
+    "vectors_as_of": lambda spark, sf: ops.as_of(vectors(spark, sf), at("2024-01-30 23:30:00")).select(
         "user_id", "event_count_5m", "event_count_1h", "spend_1h", "last_seen_ms"
     ),
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import expiry
@@ -9,7 +12,7 @@ from tidemark.operators import store as ops
 from tidemark.operators.profiles import latest_profile
 from tidemark.operators.windows import windowed_features
 from tidemark.plans import sql
-from tidemark.plans.derived import at, events, expiring_log, folds, guarded_log, plain, profile_log, window_log
+from tidemark.plans.derived import at, events, expiring_log, folds, guarded_log, plain, profile_log, vectors, window_log
 from tidemark.session import shared_dir
 from tidemark.sources.feature_store import FeatureStore
 
@@ -78,24 +81,23 @@ def _text(spark, sf):
     return ops.to_long(keyed).groupBy("field", "value").agg(F.count(F.lit(1)).alias("rows_written"))
 
 
-LOOKUP_CUT, LOOKUP_USERS = "2024-01-16 00:00:00", 500
+LOOKUP_CUT, LOOKUP_BUCKETS = "2024-01-16 00:00:00", 4
 
 
 def _pruned_lookup(spark, sf):
-    """Two batches of profiles, the first compacted; the store is opened with another bucket count and asked for the
-    users seen last."""
+    """Two batches of profiles, the first compacted; the store is opened with another bucket count and asked for all
+    users, bucket by bucket."""
     root = shared_dir(spark, "lookup")
     ev = events(spark, sf)
-    store = FeatureStore(spark, root, buckets=16)
+    store = FeatureStore(spark, root, buckets=LOOKUP_BUCKETS)
     early = F.coalesce(F.col("event_ts") < at(LOOKUP_CUT), F.lit(False))
     for batch, part in enumerate((early, ~early)):
         store.append(latest_profile(ev.where(part)), "profile", batch, at(LOOKUP_CUT))
         if batch == 0:
             store.compact()
-    last = latest_profile(ev).orderBy(F.desc("last_seen_ms"), "user_id").limit(LOOKUP_USERS)
-    users = [r.user_id for r in last.select("user_id").collect()]
-    found = FeatureStore(spark, root, buckets=7).fold("profile", users)
-    return found.select("user_id", *ops.feature_columns(found))
+    opened = FeatureStore(spark, root, buckets=7)
+    found = [opened.fold("profile", bucket=b) for b in range(LOOKUP_BUCKETS)]
+    return reduce(DataFrame.unionByName, found).select("user_id", *ops.feature_columns(found[0]))
 
 
 def _profile_maps(spark, sf):
@@ -140,7 +142,7 @@ QUERIES = {
     "feature_text": _text,
     "store_lookup_pruned": _pruned_lookup,
     "feature_maps": _profile_maps,
-    "feature_vector": lambda spark, sf: plain(ops.feature_vectors(folds(spark, sf))),
+    "feature_vector": lambda spark, sf: plain(vectors(spark, sf)),
 }
 
 GUARDED = """
@@ -273,16 +275,15 @@ select field, value, count(*) as rows_written from (
                  cast({sql.rounded("cart_conversion", 6)} as varchar), cast(event_count as varchar),
                  cast({_ROUND_LARGE} as varchar), cast(event_count * 1e16::double as varchar), cast({sql.rounded("spend / 1e7", 6)} as varchar)]) as value
   from feats) where value is not null group by field, value""",
-    "store_lookup_pruned": sql.with_(sql.EVENTS, sql.PROFILE) + f""",
+    "store_lookup_pruned": sql.with_(sql.EVENTS) + f""",
 parts as (
   select *, coalesce(event_ts < timestamp '{LOOKUP_CUT}', false) as early from ev),
-newest as (select * from parts qualify row_number() over (partition by user_id, early order by event_ts desc, event_id desc) = 1),
-asked as (select user_id from profile order by last_seen_ms desc, user_id limit {LOOKUP_USERS})
+newest as (select * from parts qualify row_number() over (partition by user_id, early order by event_ts desc, event_id desc) = 1)
 select user_id, arg_max(event_type, not early) as last_event_type, arg_max(category, not early) as last_category,
        arg_max(product_id, not early) as last_product_id,
        arg_max(device, not early) filter (where device is not null) as last_device,
        max(epoch_us(event_ts) // 1000) as last_seen_ms
-from newest where user_id in (select user_id from asked) group by user_id""",
+from newest group by user_id""",
     "feature_maps": sql.with_(sql.EVENTS, sql.PROFILE) + """
 select user_id,
        array_to_string(list(f order by f), ',') as names, array_to_string(list(v order by f), ',') as texts

@@ -2,23 +2,29 @@
 
 Layout below one root::
 
-    log/grp=5m/batch_id=17/            rows written by micro-batch 17 (a replay overwrites its directory)
+    log/grp=5m/batch_id=17/bucket=9    rows written by micro-batch 17 (a replay overwrites its directory)
     snapshot/version=3/grp=5m/bucket=9 one row per user, everything folded up to the manifest's batch
     manifest/version=3/                last folded batch per group, bucket count and null rule of the store;
                                        written last, so it publishes version 3
 
 A batch counts once its folder holds the marker that Spark writes last. Compaction stops before the first batch
 without one, so a batch in flight is folded by a later compaction, and vacuum deletes only what was folded.
+
+A batch is rebalanced by bucket before it is written, so its files are as many as its buckets and its size ask for,
+whatever the number of tasks before. A lookup prunes to its users' buckets, in snapshots and in the log, and Parquet's
+bloom filters on ``user_id`` skip the row groups of the files that are left. A user has one row per batch, which
+bounds what a fold holds of one user.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.store import GUARDS, compact, feature_vectors, fold_log, to_log
+from tidemark.operators.store import GUARDS, feature_columns, fold_log, log_vectors, to_log
 
 
 class FeatureStore:
@@ -66,9 +72,13 @@ class FeatureStore:
         """Write one micro-batch (one row per user) of a group. Writing the same batch again changes nothing."""
         log = to_log(rows, grp, batch_id, guard or GUARDS.get(grp, "window_end_ms"), now).drop("grp")
         (
-            log.sortWithinPartitions("user_id")
+            log.withColumn("bucket", self._bucket(F.col("user_id")))
+            .hint("rebalance", "bucket")
+            .sortWithinPartitions("bucket", "user_id")
             .write.mode("overwrite")
             .option("maxRecordsPerFile", self.rows_per_file)
+            .option("parquet.bloom.filter.enabled#user_id", "true")
+            .partitionBy("bucket")
             .parquet(f"{self.root}/log/grp={grp}/batch_id={batch_id}")
         )
 
@@ -94,11 +104,20 @@ class FeatureStore:
         first = min((i for i in in_flight if i > after), default=None)
         return done if first is None else [i for i in done if i < first]
 
-    def log(self, grp: str, batches: Sequence[int]) -> DataFrame:
+    def _wanted(self, rows: DataFrame, users: Sequence[str] | None, bucket: int | None) -> DataFrame:
+        """Rows of the named users or of one bucket; both are conditions on the partitioning ``bucket``."""
+        if bucket is not None:
+            rows = rows.where(F.col("bucket") == bucket)
+        if users is not None:
+            named = [self._bucket(F.lit(u)) for u in users]  # folded to constants: prunes bucket directories
+            rows = rows.where(F.col("bucket").isin(*named) & F.col("user_id").isin(*users))
+        return rows.drop("bucket")
+
+    def log(self, grp: str, batches: Sequence[int], users: Sequence[str] | None = None, bucket: int | None = None) -> DataFrame:
         """Log rows of the named batches; no other batch directory is listed or read."""
         base = f"{self.root}/log/grp={grp}"
         rows = self.spark.read.option("basePath", base).parquet(*[f"{base}/batch_id={i}" for i in batches])
-        return rows.drop("batch_id").withColumn("grp", F.lit(grp))
+        return self._wanted(rows, users, bucket).drop("batch_id").withColumn("grp", F.lit(grp))
 
     def manifest(self) -> tuple[int, dict[str, int]]:
         """Published snapshot version (0 if none) and the last folded batch per group."""
@@ -109,30 +128,28 @@ class FeatureStore:
         found = newest.select("grp", "m.*").collect()  # one row per feature group
         return max(r.version for r in found), {r.grp: r.last_batch for r in found}
 
-    def snapshot(self, grp: str, version: int, users: Sequence[str] | None = None) -> DataFrame:
+    def snapshot(self, grp: str, version: int, users: Sequence[str] | None = None, bucket: int | None = None) -> DataFrame:
         table = self.spark.read.parquet(f"{self.root}/snapshot/version={version}/grp={grp}")
-        if users is not None:
-            wanted = [self._bucket(F.lit(u)) for u in users]  # folded to constants: prunes bucket directories
-            table = table.where(F.col("bucket").isin(*wanted) & F.col("user_id").isin(*users))
-        return table.drop("bucket").withColumn("grp", F.lit(grp))
+        return self._wanted(table, users, bucket).withColumn("grp", F.lit(grp))
 
-    def fold(self, grp: str, users: Sequence[str] | None = None) -> DataFrame:
-        """Current state of a group: the published snapshot with later batches folded in."""
+    def rows(self, grp: str, users: Sequence[str] | None = None, bucket: int | None = None) -> DataFrame | None:
+        """What a group's state is folded from: the published snapshot and the later batches."""
         version, folded = self.manifest()
-        snapshot = self.snapshot(grp, version, users) if grp in folded else None
-        return self._fold(grp, snapshot, self.batches(grp, folded.get(grp, -1)), users)
-
-    def _fold(self, grp: str, snapshot: DataFrame | None, batches: Sequence[int],
-              users: Sequence[str] | None = None) -> DataFrame:
-        if not batches:
-            return snapshot
-        later = self.log(grp, batches)
-        if users is not None:
-            later = later.where(F.col("user_id").isin(*users))
-        return fold_log(later, self.on_null) if snapshot is None else compact(snapshot, later, self.on_null)
+        parts = [self.snapshot(grp, version, users, bucket)] if grp in folded else []
+        if batches := self.batches(grp, folded.get(grp, -1)):
+            parts.append(self.log(grp, batches, users, bucket))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    def fold(self, grp: str, users: Sequence[str] | None = None, bucket: int | None = None) -> DataFrame | None:
+        """Current state of a group: the published snapshot with later batches folded in."""
+        rows = self.rows(grp, users, bucket)
+        return None if rows is None else fold_log(rows, self.on_null, parts=None)
 
     def vectors(self, users: Sequence[str] | None = None) -> DataFrame:
-        return feature_vectors({g: self.fold(g, users) for g in self.groups()})
+        """One row per user with the fields of all groups, from one fold over the rows of all of them."""
+        found = {g: r for g in self.groups() if (r := self.rows(g, users)) is not None}
+        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found.values())
+        return log_vectors(union, {g: feature_columns(r) for g, r in found.items()}, self.on_null, parts=None)
 
     # -- compaction
 
@@ -142,10 +159,12 @@ class FeatureStore:
         marks = []
         for grp in self.groups():
             batches = self.foldable(grp, folded.get(grp, -1))
-            snapshot = self.snapshot(grp, version) if grp in folded else None
-            if not batches and snapshot is None:
+            parts = [self.snapshot(grp, version)] if grp in folded else []
+            parts += [self.log(grp, batches)] if batches else []
+            if not parts:
                 continue
-            state = self._fold(grp, snapshot, batches)
+            union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+            state = fold_log(union, self.on_null, parts=None)
             (
                 state.drop("grp")
                 .withColumn("bucket", self._bucket(F.col("user_id")))
@@ -153,6 +172,7 @@ class FeatureStore:
                 .sortWithinPartitions("bucket", "user_id")
                 .write.mode("overwrite")
                 .option("maxRecordsPerFile", self.rows_per_file)
+                .option("parquet.bloom.filter.enabled#user_id", "true")
                 .partitionBy("bucket")
                 .parquet(f"{self.root}/snapshot/version={version + 1}/grp={grp}")
             )
