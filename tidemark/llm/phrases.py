@@ -6,10 +6,11 @@
 2. Prefix polynomials over the words of a block give the fingerprint of every phrase by one subtraction. A block sends
    each of its words and pairs of words once: fingerprint, occurrences and a pointer (block and place) to one of them.
    The shuffle adds up by fingerprint; those below the least count are gone.
-3. Longer phrases are only looked at where all their pairs of words have frequent fingerprints, which are sent back to
-   the blocks that have them. A fingerprint that two phrases share only counts too much, so nothing frequent is lost.
-4. Each frequent fingerprint is read at one pointer; only here phrases become text. All other pointers go back to their
-   blocks with a digest of that text, and what has other words there is counted by itself.
+3. Phrases of one word more are only looked at where both their parts have frequent fingerprints, which are sent back
+   to the blocks that have them. A fingerprint that two phrases share only counts too much, so nothing frequent is lost.
+4. Rows also carry a check, a digest of the words themselves. Where all checks of a frequent fingerprint agree, it is
+   read at one pointer; only here phrases become text. Where they differ, phrases collided: every pointer of that
+   fingerprint is read, and the counts of equal texts are added up.
 
 Within a block occurrences of one fingerprint are compared word by word, so a pointer stands for equal words only.
 
@@ -167,6 +168,7 @@ class Block:
         cuts = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10)
         begins, ends = np.append(0, cuts + 1), np.append(cuts, len(self.raw))
         self.hashes = np.concatenate(([0], word_hashes(np.frombuffer(self.raw, np.uint8), begins, ends))).astype(np.uint64)
+        self.digests = np.array([0, *map(xxhash.xxh3_64_intdigest, self.raw.split(b"\n"))], np.uint64)
 
     def finished(self, x, n: int):
         """Fingerprints, of which the lowest bits tell the number of words; another language has others."""
@@ -179,12 +181,21 @@ class Block:
     def fingerprints(self, at, n: int):
         return self.finished(prefix_hashes(self.hashes[self.places], WORD_FACTOR, at, at + n), n)
 
+    def checks(self, numbers):
+        """32 bits of the digests of words, given by their numbers: one row per word of the phrases."""
+        import numpy as np
+
+        out = np.zeros(len(numbers[0]), np.uint64)
+        for w in numbers:
+            out = _mixed(out + self.digests[w])
+        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def phrases(self, at, n: int):
-        """``fingerprint, place, count`` of the distinct phrases of ``n`` words at ``at``."""
+        """``fingerprint, place, count, check`` of the distinct phrases of ``n`` words at ``at``."""
         import numpy as np
 
         if not len(at):
-            return at, at, at
+            return at, at, at, at.astype(np.int32)
         prints = self.fingerprints(at, n)
         order = np.argsort(prints, kind="stable")
         words = [self.places[at + j] for j in range(n)]
@@ -194,20 +205,20 @@ class Block:
             order = np.lexsort((*words, prints))
             new = other(prints) | np.logical_or.reduce([other(w) for w in words])
         first = np.append(0, np.flatnonzero(new) + 1)
-        return prints[order][first], at[order][first], np.diff(np.append(first, len(at)))
+        counts, first = np.diff(np.append(first, len(at))), order[first]
+        return prints[first], at[first], counts, self.checks([w[first] for w in words])
 
 
 #: What a task needs of a block.
 COLUMNS = ["block", "lang", "words", "word_bytes", "places", "n_places"]
-PRINTS = "fingerprint long, pointer long, count long"
+PRINTS = "fingerprint long, pointer long, count long, check int"
 
 
-def _out(block: int, prints, places, counts):
+def _out(block: int, prints, places, counts, checks):
     import numpy as np
 
-    return pa.record_batch(
-        [pa.array(prints), pa.array(places.astype(np.int64) + block), pa.array(counts.astype(np.int64))], names=["fingerprint", "pointer", "count"]
-    )
+    columns = prints, places.astype(np.int64) + block, counts.astype(np.int64), checks
+    return pa.record_batch([pa.array(c) for c in columns], names=["fingerprint", "pointer", "count", "check"])
 
 
 def _each(batches: Iterator[pa.RecordBatch], bits: int):
@@ -225,69 +236,45 @@ def _short(batches, bits: int, longest: int):
 
     for block, _, own, (counts,) in _each(batches, bits):
         n = np.frombuffer(counts[0].as_py(), "<i8")
-        yield _out(block, own.finished(own.hashes[1:], 1), np.arange(1, len(n) + 1), n)
+        numbers = np.arange(1, len(n) + 1)
+        yield _out(block, own.finished(own.hashes[1:], 1), numbers, n, own.checks([numbers]))
         if longest > 1:
             yield _out(block, *own.phrases(np.flatnonzero((own.places[:-1] > 0) & (own.places[1:] > 0)), 2))
 
 
-def _longer(batches, bits: int, longest: int):
-    """Phrases of three words and more of which all pairs are frequent."""
+def _longer(batches, bits: int, n: int):
+    """Phrases of ``n`` words of which both parts of one word less are frequent."""
     import numpy as np
 
     for block, _, own, (frequent,) in _each(batches, bits):
-        at = np.flatnonzero((own.places[:-1] > 0) & (own.places[1:] > 0))
+        gaps = np.cumsum(np.append(0, own.places == 0))
+        at = np.flatnonzero(gaps[n - 1 :] == gaps[: len(gaps) - n + 1])
         known = np.zeros(len(own.places), bool)
-        known[at] = np.isin(own.fingerprints(at, 2), frequent.flatten().to_numpy())
-        whole = known
-        for n in range(3, longest + 1):
-            whole = whole[:-1] & known[n - 2 :]
-            yield _out(block, *own.phrases(np.flatnonzero(whole), n))
-
-
-def _read_at(own: Block, prints: list[int], pointers: list[int], block: int) -> list[bytes]:
-    """The words that the pointers of a block point at."""
-    names, numbers, out = own.raw.split(b"\n"), own.places, []
-    for n, place in zip((p & ((1 << SIZE_BITS) - 1) for p in prints), (p - block for p in pointers)):
-        out.append(names[place - 1] if n == 1 else b" ".join([names[w - 1] for w in numbers[place : place + n].tolist()]))
-    return out
-
+        known[at] = np.isin(own.fingerprints(at, n - 1), frequent.flatten().to_numpy())
+        yield _out(block, *own.phrases(np.flatnonzero(known[:-1] & known[1:]), n))
 
-def _check(text: bytes) -> int:
-    import xxhash
 
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
-
-
-def _named(batches, bits: int):
-    """``fingerprint, lang, phrase, total, digest`` for lists of pointers, one for each fingerprint."""
+def _texts(batches, bits: int):
+    """``lang, phrase, count`` for lists of pointers."""
     for block, lang, own, (at,) in _each(batches, bits):
-        at = at.flatten()
-        prints = at.field("fingerprint")
-        texts = _read_at(own, prints.to_pylist(), at.field("pointer").to_pylist(), block)
+        at, names, numbers, out = at.flatten(), own.raw.split(b"\n"), own.places, []
+        sizes = (p & ((1 << SIZE_BITS) - 1) for p in at.field("fingerprint").to_pylist())
+        for n, place in zip(sizes, (p - block for p in at.field("pointer").to_pylist())):
+            out.append(names[place - 1] if n == 1 else b" ".join([names[w - 1] for w in numbers[place : place + n].tolist()]))
         yield pa.record_batch(
-            [prints, pa.array([lang] * len(texts)), pa.array([t.decode() for t in texts], pa.string()), at.field("total"), pa.array([_check(t) for t in texts], pa.int64())],
-            names=["fingerprint", "lang", "phrase", "total", "digest"],
-        )
-
-
-def _others(batches, bits: int):
-    """``fingerprint, lang, phrase, count`` of pointers at other words than those their fingerprint was read as."""
-    for block, lang, own, (at,) in _each(batches, bits):
-        at = at.flatten()
-        prints, counts = at.field("fingerprint").to_pylist(), at.field("count").to_pylist()
-        texts = _read_at(own, prints, at.field("pointer").to_pylist(), block)
-        rows = [(p, lang, t.decode(), n) for p, t, n, d in zip(prints, texts, counts, at.field("digest").to_pylist()) if _check(t) != d]
-        columns = zip(*rows) if rows else [[]] * 4
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["fingerprint", "lang", "phrase", "count"])
+            [pa.array([lang] * len(out)), pa.array([t.decode() for t in out], pa.string()), at.field("count")], names=["lang", "phrase", "count"]
+        )
 
 
 def _frequent(prints: DataFrame, least: int, name: str) -> DataFrame:
-    """``fingerprint, pointer, count, total, first``: pointers whose fingerprint occurs often enough over all blocks, and
-    the least pointer of each. One shuffle; a fingerprint has one row per block and phrase."""
-    same = Window.partitionBy("fingerprint")
-    rows = prints.withColumns({"total": F.sum("count").over(same), "first": F.min("pointer").over(same)})
-    return written_once(rows.where(F.col("total") >= least), name)
+    """``fingerprint, pointer, count, total, first, agree``: pointers whose fingerprint occurs often enough over all blocks,
+    the least pointer of each, and whether all checks are equal. One shuffle; a fingerprint has one row per block and
+    phrase."""
+    own = Window.partitionBy("fingerprint")
+    rows = prints.withColumns({
+        "total": F.sum("count").over(own), "first": F.min("pointer").over(own), "agree": F.min("check").over(own) == F.max("check").over(own),
+    })
+    return written_once(rows.where(F.col("total") >= least).drop("check"), name)
 
 
 def _blocks_table(rows: DataFrame, block: int) -> DataFrame:
@@ -323,22 +310,19 @@ def frequent_phrases(
         return own.join(lists.hint("merge"), "block").select(*COLUMNS, "list")
 
     short = blocks.select(*COLUMNS, "counts").mapInArrow(lambda b: _short(b, bits, longest), PRINTS)
-    found = short = _frequent(short, least, "phrase-short")
-    size = F.col("fingerprint").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
-    if longest > 2:
-        longer = sent_back(short.where(size == 2), "fingerprint").mapInArrow(lambda b: _longer(b, bits, longest), PRINTS)
-        found = short.unionByName(_frequent(longer, least, "phrase-longer"))
-    first = sent_back(found.where("pointer = first"), "fingerprint", "pointer", "total")
-    schema = "fingerprint long, lang string, phrase string, total long, digest long"
-    named = written_once(first.mapInArrow(lambda b: _named(b, bits), schema), "phrase-named")
-    rest = found.where("pointer <> first").join(named.select("fingerprint", "digest"), "fingerprint")
-    rest = sent_back(rest, "fingerprint", "pointer", "count", "digest")
-    others = rest.mapInArrow(lambda b: _others(b, bits), "fingerprint long, lang string, phrase string, count long")
-    others = written_once(others, "phrase-others")
-    wrong = others.groupBy("fingerprint").agg(F.sum("count").alias("wrong"))
-    counted = named.join(wrong, "fingerprint", "left").select("lang", "phrase", (F.col("total") - F.coalesce("wrong", F.lit(0))).alias("count"))
-    apart = others.groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
-    known = counted.unionByName(apart).where(F.col("count") >= least).withColumn("n", F.size(F.split("phrase", " ", -1)))
+    found = last = _frequent(short, least, "phrase-short")
+    for n in range(3, longest + 1):
+        size = F.col("fingerprint").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+        longer = sent_back(last.where(size == n - 1), "fingerprint").mapInArrow(lambda b, n=n: _longer(b, bits, n), PRINTS)
+        last = _frequent(longer, least, f"phrase-{n}")
+        found = found.unionByName(last)
+    one = found.where("agree and pointer = first").select("fingerprint", "pointer", F.col("total").alias("count"))
+    every = found.where("not agree").select("fingerprint", "pointer", "count")
+    texts = sent_back(one.unionByName(every), "fingerprint", "pointer", "count").mapInArrow(
+        lambda b: _texts(b, bits), "lang string, phrase string, count long"
+    )
+    known = texts.groupBy("lang", "phrase").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    known = known.withColumn("n", F.size(F.split("phrase", " ", -1)))
 
     sizes = blocks.select("lang", "counts").mapInArrow(_totals, "lang string, words long")
     return written_once(known.select("lang", "n", "phrase", "count"), "phrase-known"), sizes.groupBy("lang").agg(F.sum("words").alias("words"))
