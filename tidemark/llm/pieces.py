@@ -7,8 +7,9 @@ The tokens that end at a place come from an automaton over the vocabulary; compa
 tokens along the border, in order of their scores, and asks whether one across the border would have come first. The
 table is filled from left to right in linear time and the ids are read off backwards.
 
-A word's mark stands at its beginning only (checked when the model is loaded), so texts are cut before marks and a task
-remembers the ids of the words it has seen. Normalising and decoding are the library's own.
+A word's mark stands at its beginning only (checked when the model is loaded), so texts are cut before marks, and words
+before a last character that no piece holds behind the one before it; a task remembers the ids of the words it has
+seen. Normalising and decoding are the library's own.
 
 The driver reads the model once and broadcasts its bytes with the merges of its tokens (bounded by
 ``MOST_MODEL_BYTES``). Models that are not of the merging kind, lack byte fallback or hold pieces defined by users or
@@ -36,8 +37,10 @@ MODEL = "piece_bpe_32k.model"
 MOST_MODEL_BYTES = 64 << 20
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: The same where no piece holds a line feed.
+LINE_WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 #: Words a task remembers, and the longest of them; it starts anew beyond that. Pairs of tokens likewise.
-REMEMBERED, LONG_WORD, PAIRS = 400_000, 64, 1_000_000
+REMEMBERED, LONG_WORD, PAIRS = 600_000, 64, 1_000_000
 NEVER = float("inf")
 
 
@@ -155,6 +158,8 @@ class Pieces:
         ranks = {p: -model.pieces[k].score for p, k in ids.items()}
         octets = {int(p.piece[3:-1], 16): k for k, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         end = [SentencePieceProcessor(model_proto=content).eos_id()] if end_id else []
+        beside = {a + b for p in ids for a, b in itertools.pairwise(p)}
+        words = WORD if any("\n" in p for p in ids) else LINE_WORD
         shared = spark.sparkContext.broadcast((content, ranks, border_events(ranks), ids, octets))
 
         class Coder:
@@ -166,22 +171,28 @@ class Pieces:
                 self.end = packed(end)
 
             def word(self, word: str) -> bytes:
-                out = []
-                for token in self.table.tokens(word):
-                    own = self.ids.get(token)
-                    out += [own] if own is not None else [self.octets[b] for b in token.encode()]
-                out = packed(out)
+                if len(word) > 1 and word[-2:] not in beside:
+                    out = b"".join([self.seen.get(w) or self.tokens(w) for w in (word[:-1], word[-1])])
+                else:
+                    out = self.tokens(word)
                 if len(word) <= LONG_WORD:
                     if len(self.seen) >= REMEMBERED:
                         self.seen.clear()
                     self.seen[word] = out
                 return out
 
+            def tokens(self, word: str) -> bytes:
+                out = []
+                for token in self.table.tokens(word):
+                    own = self.ids.get(token)
+                    out += [own] if own is not None else [self.octets[b] for b in token.encode()]
+                return packed(out)
+
             def __call__(self, text: str):
                 import numpy as np
 
                 seen, own = self.seen, self.word
-                parts = [seen.get(w) or own(w) for w in WORD.findall(self.library.normalize(text))]
+                parts = [seen.get(w) or own(w) for w in words.findall(self.library.normalize(text))]
                 return np.frombuffer(b"".join(parts) + self.end, "<i4")
 
         def packed(ids: list[int]) -> bytes:
