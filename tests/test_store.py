@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import expiry
 from tidemark.operators import store as ops
 from tidemark.session import shared_dir
 from tidemark.sources.feature_store import FeatureStore
@@ -192,3 +193,91 @@ def test_text_of_numbers_reads_like_the_shortest_form(spark):
     values = [12345678.5, 1e-05, 1.5e-06, 0.0001, 0.00012, 100.0, 1e15, 1e16, 2.5e17, 1e100, -3.25, -1e-05, 0.0, 7.0, float("nan"), float("inf")]
     frame = spark.createDataFrame([(v,) for v in values], "v double").select("v", ops.number_text(F.col("v")).alias("t"))
     assert [r.t for r in frame.collect()] == [repr(v) for v in values]
+
+
+def lives_one_by_one(rows, ttl):
+    """The store one write at a time, with users that expire whole."""
+    held, out = {}, []
+    for user, grp, seq, guard, ts in sorted((r for r in rows if r[3] is not None), key=lambda r: (r[4], r[2])):
+        life, last, guards = held.get(user, (None, None, {}))
+        if last is None or last + ttl <= ts:
+            life, guards = ts, {}
+        accepted = guards.get(grp, guard) <= guard
+        if accepted:
+            guards[grp], last = guard, ts
+        held[user] = (life, last, guards)
+        out.append((user, grp, seq, guard, ts, life, accepted))
+    return out
+
+
+def writes(seed, n=500):
+    """Guards that often stand far ahead for longer than the time to live, so that lives end behind refused writes."""
+    rng = random.Random(seed)
+    rows, ts = [], {}
+    for s in range(n):
+        user = rng.choice(["a", "b", "hot", "hot", None])
+        ts[user] = ts.get(user, T) + dt.timedelta(minutes=rng.choice([5, 20, 59, 60, 61, 200]))
+        guard = rng.choice([None, s, s, s + rng.choice([0, 100, 400])])
+        rows.append((user, rng.choice(["5m", "1h"]), s, guard, ts[user]))
+    return rows
+
+
+def expiring(spark, rows):
+    return spark.createDataFrame([(u, g, s, guard, ts, s, s if s % 3 else None) for u, g, s, guard, ts in rows], LOG)
+
+
+HOUR = dt.timedelta(hours=1)
+
+
+@pytest.mark.parametrize("parts", [None, 0, 6])
+def test_expiry_forgets_guards(spark, parts):
+    rows = writes(5)
+    marked = expiry.mark_lives(expiring(spark, rows), 3600, parts)
+    got = sorted(((r.user_id, r.grp, r.seq, r.guard, r.write_ts, r.life, r.accepted) for r in marked.collect()), key=lambda r: r[2])
+    assert got == sorted(lives_one_by_one(rows, HOUR), key=lambda r: r[2])
+
+
+def test_a_lower_guard_after_expiry_is_accepted(spark):
+    rows = [("u", "5m", 0, 100, T), ("u", "5m", 1, 50, T + HOUR / 2), ("u", "5m", 2, 60, T + HOUR), ("u", "5m", 3, 55, T + 1.5 * HOUR)]
+    marked = {r.seq: r.accepted for r in expiry.mark_lives(expiring(spark, rows), 3600).collect()}
+    assert marked == {0: True, 1: False, 2: True, 3: False}  # the refused write did not keep the user alive
+    state = expiry.fold_with_expiry(expiring(spark, rows), 3600).collect()
+    assert [(r.guard, r.f, r.write_ts) for r in state] == [(60, 2, T + HOUR)]
+
+
+def test_groups_of_an_expired_user_go(spark):
+    rows = [("u", "5m", 0, 1, T), ("u", "1h", 1, 1, T + 2 * HOUR), ("v", "5m", 2, 1, T), ("v", "1h", 3, 1, T + HOUR / 2)]
+    state = expiry.fold_with_expiry(expiring(spark, rows), 3600).collect()
+    assert sorted((r.user_id, r.grp, r.write_ts) for r in state) == [("u", "1h", T + 2 * HOUR), ("v", "1h", T + HOUR / 2), ("v", "5m", T + HOUR / 2)]
+
+
+def test_folding_an_expiring_store_in_steps(spark):
+    rows = writes(6, 200)
+    whole = sorted(map(repr, expiry.fold_with_expiry(expiring(spark, rows), 3600).collect()))
+    cut = sorted({r[4] for r in rows})[len(rows) // 2]
+    early, late = [r for r in rows if r[4] < cut], [r for r in rows if r[4] >= cut]
+    state = expiry.fold_with_expiry(expiring(spark, early), 3600)
+    assert sorted(map(repr, expiry.fold_with_expiry(state.unionByName(expiring(spark, late)), 3600).collect())) == whole
+
+
+def test_files_of_a_batch_are_bounded_by_buckets(spark):
+    store = FeatureStore(spark, shared_dir(spark, "files"), buckets=3)
+    rows = spark.range(400).select(F.concat(F.lit("u"), "id").alias("user_id"), F.lit(5).cast("bigint").alias("last_seen_ms"), F.col("id").alias("f"))
+    for batch in range(2):
+        store.append(rows.repartition(40), "profile", batch, F.lit(T).cast("timestamp"))
+        files = {r[0] for r in store.log("profile", [batch]).select("_metadata.file_path").distinct().collect()}
+        assert len(files) == 3
+    one = store.log("profile", [0, 1], ["u17"])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert one.count() == 2 and [r.f for r in store.fold("profile", ["u17"]).collect()] == [17]
+    assert sorted(r.f for b in range(3) for r in store.fold("profile", bucket=b).collect()) == list(range(400))
+
+
+def test_log_vectors_equal_joined_folds(spark):
+    rows = random_log(9, 200)
+    frame = log(spark, rows)
+    parts = {g: ops.fold_log(frame.where(F.col("grp") == g)) for g in ("5m", "1h")}
+    want = ops.feature_vectors(parts)
+    got = ops.log_vectors(frame, {"5m": ["f", "h"], "1h": ["f", "h"]})
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))

@@ -3,13 +3,19 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.decode import encode_events, events_of, replayed
+from tidemark.operators.expiry import mark_lives
 from tidemark.operators.windows import windowed_features
 from tidemark.session import shared_dir, streaming_session
+from tidemark.sources.contracts import packaged_schemas
 from tidemark.sources.events import event_source
 from tidemark.sources.feature_store import FeatureStore
 from tidemark.streaming import jobs, sinks
+from tidemark.streaming.expiry import mark_lives_stream
 
 SCHEMA = "event_id string, user_id string, event_type string, product_id string, category string, amount double, event_ts timestamp, device string"
+EVENTS = "event_id string, user_id string, event_type string, product_id string, category string, amount double, currency string, event_ts timestamp, session_id string, device string"
+LOG = "user_id string, grp string, seq long, guard long, write_ts timestamp"
 NOON = dt.datetime(2024, 5, 1, 12)
 
 
@@ -116,3 +122,96 @@ def test_supervise_watches_its_own_queries(spark, tmp_path):
         jobs.supervise(session, [query], progress, every=60)
     assert not query.isActive
     progress.close()
+
+
+def test_contracts_are_asked_for_at_every_batch(spark, tmp_path):
+    """The second version is registered between two batches of one running job; rejects of the first are replayed."""
+    schemas = packaged_schemas()
+    known = {1: schemas[1]}
+    session = streaming_session(spark, 2)
+
+    def send(number, *users):
+        rows = [(f"e{u}", u, "view", "p1", "c", 1.0, "USD", NOON, None, "ios") for u in users]
+        events = spark.createDataFrame(rows, EVENTS)
+        sent = encode_events(events, schemas, 2, "json").select("key", "value", F.col("event_ts").alias("timestamp"))
+        sent.coalesce(1).write.parquet(str(tmp_path / "raw" / f"n={number}"))
+
+    def contracts():
+        asked.append(sorted(known))
+        return dict(known), schemas[2]
+
+    asked = []
+    send(0, "early")
+    raw = event_source(session, "parquet", str(tmp_path / "raw" / "*"), {"maxFilesPerTrigger": "1"}, "key binary, value binary, timestamp timestamp")
+    query = jobs.start_refreshing_ingest(raw, contracts, str(tmp_path / "out"), str(tmp_path / "c"), "json", {"processingTime": "200 milliseconds"})
+    try:
+        query.processAllAvailable()
+        known[2] = schemas[2]
+        send(1, "late")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert asked == [[1], [1, 2]]
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.status, r.user_id, r.reason) for r in rows.collect()} == {("event", "late", None), ("reject", None, "unknown_schema")}
+    rejects = rows.where("status = 'reject'").select("value", F.col("kafka_ts").alias("timestamp"), "schema_id", "reason")
+    again = replayed(rejects, *contracts(), "json")
+    assert [r.user_id for r in events_of(again).collect()] == ["early"] and [r.rejected_for for r in again.collect()] == ["unknown_schema"]
+
+
+def test_a_batch_that_is_there_is_not_written_again(spark, tmp_path):
+    schemas = packaged_schemas()
+    sink = sinks.ingest_sink(lambda: (schemas, schemas[2]), str(tmp_path / "out"), "json")
+    event = spark.createDataFrame([("e", "u", "view", "p1", "c", 1.0, "USD", NOON, None, "ios")], EVENTS)
+    batch = encode_events(event, schemas, 2, "json").select("key", "value", F.col("event_ts").alias("timestamp"))
+    sink(batch, 0)
+    before = {r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("_metadata.file_path").collect()}
+    sink(batch, 0)
+    sink(batch, 1)
+    after = {r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("_metadata.file_path").collect()}
+    assert before < after and len(after) == 2
+
+
+def test_publishing_commits_both_outputs_at_once(spark, tmp_path, monkeypatch):
+    """The write of a batch fails, the job starts again: every record is there once, and nothing is seen before."""
+    good = '{"event_id": "1", "user_id": "u", "event_type": "view", "product_id": "p", "category": "c", "amount": 1.0, "currency": "USD", "event_ts": 1714564800000}'
+    rows = [(good, NOON), (good.replace('"user_id": "u", ', ""), NOON), ("broken", NOON)]
+    spark.createDataFrame(rows, "value string, timestamp timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    session, schemas = streaming_session(spark, 1), packaged_schemas()
+    out = str(tmp_path / "out")
+
+    def publish():
+        records = event_source(session, "parquet", str(tmp_path / "in"), {}, "value string, timestamp timestamp")
+        jobs.finish([jobs.start_publish_files(records, schemas, 2, out, str(tmp_path / "c"), "json", {"availableNow": True})])
+
+    letters = sinks.dead_letters
+    monkeypatch.setattr(sinks, "dead_letters", lambda checked: letters(checked).withColumn("value", F.raise_error(F.lit("letters are down"))))
+    with pytest.raises(Exception, match="letters are down"):
+        publish()
+    assert sinks.read_published(spark, out, "messages").count() == 0
+    monkeypatch.undo()
+    publish()
+    publish()
+    assert sinks.read_published(spark, out, "messages").count() == 1 and sinks.read_published(spark, out, "letters").count() == 2
+
+
+def test_state_read_back(spark, tmp_path):
+    put(spark, f"{tmp_path}/in", ("u1", 0), ("u2", 1))
+    session = streaming_session(spark, 2)
+    run(session, f"{tmp_path}/in", str(tmp_path / "c"), "5 minutes", "1 minute")
+    rows = jobs.state_rows(session, str(tmp_path / "c" / "w")).collect()
+    assert [(r.operator_id, r.rows) for r in rows] == [(0, 9)]  # five windows each, the earliest of u1 is closed
+
+
+def test_expiring_state_equals_the_batch(spark, tmp_path):
+    rows = [("u", "5m", 0, 9, 0), ("u", "5m", 1, 5, 30), ("v", "1h", 2, 3, 40), ("u", "1h", 3, 1, 50), ("u", "5m", 4, 5, 109), ("u", "5m", 5, 4, 170), ("v", "1h", 6, 1, 200)]
+    log = spark.createDataFrame([(u, g, s, guard, NOON + dt.timedelta(minutes=m)) for u, g, s, guard, m in rows], LOG)
+    for number, part in enumerate(("seq < 3", "seq >= 3 and seq < 5", "seq >= 5")):
+        log.where(part).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={number}"))
+    stream = event_source(streaming_session(spark, 2), "parquet", str(tmp_path / "in" / "*"), {"maxFilesPerTrigger": "1"}, LOG)
+    sink = sinks.to_files(str(tmp_path / "out"))
+    jobs.finish([jobs.start(mark_lives_stream(stream, 3600), "lives", sink, str(tmp_path / "c"), {"availableNow": True}, "append")])
+    columns = ["user_id", "seq", "life", "accepted"]
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()))
+    assert got == sorted(map(tuple, mark_lives(log, 3600).select(*columns).collect()))
+    assert {s: a for _, s, _, a in got} == {0: True, 1: False, 2: True, 3: True, 4: False, 5: True, 6: True}

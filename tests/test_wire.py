@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import wire
 from tidemark.operators.decode import decode_events, decode_messages, decode_rejects, encode_events, encode_payload, split_frames
 from tidemark.operators.validate import (
-    check_records, dead_letters, letter_reasons, read_letters, recent_letters, short_error, valid_events,
+    check_records, dead_letter_report, dead_letters, letter_reasons, read_letters, recent_letters, short_error, valid_events,
 )
 from tidemark.sources.contracts import packaged_schemas
 
@@ -154,3 +157,47 @@ def test_short_error(spark):
     rows = [("a  b\n c (d) e",), (None,), ("",), ("x" * 500,)]
     got = [r[0] for r in spark.createDataFrame(rows, "e string").select(short_error(F.col("e"))).collect()]
     assert got == ["a b c", "Unknown error", "Unknown error", "x" * 160]
+
+
+def test_values_that_do_not_fit_the_reader_are_malformed(spark):
+    """One writer schema with wider numbers spoils its own messages only."""
+    record = '{"type": "record", "name": "R", "fields": [{"name": "user_id", "type": "string"}, {"name": "n", "type": "%s"}]}'
+    writers, reader = {1: record % "int", 2: record % "long", 3: record % "string"}, record % "int"
+    rows = spark.createDataFrame([("a", 2, 7), ("b", 2, 2**40), ("c", 1, 9)], "user_id string, id int, n long")
+    parts = [
+        rows.where(F.col("id") == i).select(wire.frame(F.lit(i), encode_payload(writers[i])).alias("value"), F.current_timestamp().alias("timestamp"))
+        for i in (1, 2)
+    ]
+    text = rows.limit(1).withColumn("n", F.lit("x")).select(wire.frame(F.lit(3), encode_payload(writers[3])).alias("value"), F.current_timestamp().alias("timestamp"))
+    got = decode_messages(parts[0].unionByName(parts[1]).unionByName(text), writers, reader).select("e.*", "reason").collect()
+    assert sorted((r.user_id or "", r.n or 0, r.reason or "") for r in got) == [("", 0, "malformed"), ("", 0, "malformed"), ("a", 7, ""), ("c", 9, "")]
+
+
+def test_letter_report(spark):
+    rows = [("k", f"bad {i} (x)", "{}", i) for i in range(12)] + [("k", "old", "{}", None)]
+    letters = spark.createDataFrame(rows, "key string, error string, event string, at int").select(
+        "key", "error", "event", F.timestamp_seconds("at").alias("timestamp")
+    )
+    report = dead_letter_report(letters, 3).first()
+    assert report.total == 13 and [(r.error, r.timestamp_ms) for r in report.recent] == [("bad 11 (x)", 11000), ("bad 10 (x)", 10000), ("bad 9 (x)", 9000)]
+    nothing = dead_letter_report(letters.limit(0)).first()
+    assert (nothing.total, nothing.recent) == (0, [])
+
+
+def test_decoding_where_workers_lack_the_package(tmp_path):
+    """Only the driver's own path has the package, added after the start; workers start in another folder."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+sys.path.insert(0, {repo!r})
+from tidemark.operators.decode import decode_events
+from tidemark.plans.derived import messages
+from tidemark.sources.contracts import packaged_schemas
+schemas = packaged_schemas()
+print(len(decode_events(messages(spark, "/root/testdata/sf0.001"), schemas, schemas[2]).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and int(done.stdout) > 0, done.stderr[-3000:]

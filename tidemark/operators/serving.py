@@ -21,13 +21,13 @@ def lookup(vectors: DataFrame, user_id: str, now: Column) -> DataFrame:
 
 
 def lookup_batch(vectors: DataFrame, request: Sequence[str] | DataFrame, now: Column) -> DataFrame:
-    """One row per requested id, in request order, duplicates kept, ``found`` false for unknown users.
+    """One row per requested id, duplicates kept, ``found`` false for unknown users; a Python request in its order.
 
     A Python request is limited in length and therefore safe to broadcast. A request table
     (``pos, user_id``) of any size is joined by shuffle; ids asked for very often are spread by the
     adaptive skew join, since the vector side has one row per id.
     """
-    spark = vectors.sparkSession
+    spark, asked = vectors.sparkSession, request
     if not isinstance(request, DataFrame):
         if not 1 <= len(request) <= REQUEST_LIMIT:
             raise ValueError(f"a request holds 1 to {REQUEST_LIMIT} ids; pass a table for more")
@@ -36,11 +36,8 @@ def lookup_batch(vectors: DataFrame, request: Sequence[str] | DataFrame, now: Co
         wanted = F.broadcast(request.select("user_id").distinct())
         vectors = vectors.join(wanted, "user_id", "left_semi")
     known = _with_freshness(vectors, now).withColumn("found", F.lit(True))
-    return (
-        request.join(known, "user_id", "left")
-        .withColumn("found", F.coalesce("found", F.lit(False)))
-        .orderBy("pos")
-    )
+    answers = request.join(known, "user_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return answers if isinstance(asked, DataFrame) else answers.orderBy("pos")  # a table is not sorted whole
 
 
 def _json_list(ids: Sequence[str]) -> str:
@@ -85,16 +82,17 @@ def newest(rows: DataFrame, at: str, k: int, *tie_break: str) -> DataFrame:
 
 #: Cells of an octave in the first round, and of an opened cell in the second.
 OCTAVE, INNER = 64, 1 << 16
-#: Above the number of every cell of a finite value.
-_OUTSIDE = 1 << 18
+#: Doubles lie within this many octaves of one, on either side.
+OCTAVES = 1100
 
 
-def _outer_cell(value: Column) -> Column:
-    """A whole number that never falls as the value grows: by sign and logarithm, at most some 270 000 different ones."""
-    v = value.cast("double")
-    size = F.floor(F.log2(F.abs(v)) * OCTAVE) + _OUTSIDE // 2
+def _outer_cell(value: Column, octave: int = OCTAVE) -> Column:
+    """A whole number that never falls as the value grows: by sign and logarithm, some thousands of different ones for
+    each cell of an octave at most."""
+    v, most = value.cast("double"), 2 * OCTAVES * octave
+    size = F.floor(F.log2(F.abs(v)) * octave) + most // 2
     finite = F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
-    edge = F.when(F.isnan(v), F.lit(_OUTSIDE + 1)).when(v == float("inf"), F.lit(_OUTSIDE)).when(v == -float("inf"), F.lit(-_OUTSIDE))
+    edge = F.when(F.isnan(v), F.lit(most + 1)).when(v == float("inf"), F.lit(most)).when(v == -float("inf"), F.lit(-most))
     return F.coalesce(edge, finite).cast("bigint")
 
 
@@ -114,7 +112,9 @@ def _opened(cells: DataFrame, along: Window, ranks: Column) -> DataFrame:
     return placed.withColumn("ranks", held).where(F.size("ranks") > 0).drop("first")
 
 
-def order_statistics(rows: DataFrame, value: str, ranks: Callable[[Column], Mapping[str, Column]]) -> DataFrame:
+def order_statistics(
+    rows: DataFrame, value: str, ranks: Callable[[Column], Mapping[str, Column]], octave: int = OCTAVE
+) -> DataFrame:
     """One row: ``n`` and, by name, the values at ranks (from 0) that ``ranks`` gives for a row count; nulls do not count.
 
     Exact selection by histograms of ever finer cells, of which only those that hold a wanted rank are opened: counts by
@@ -122,7 +122,7 @@ def order_statistics(rows: DataFrame, value: str, ranks: Callable[[Column], Mapp
     an opened step. Three scans; each row is sent as a map-side count of its cell, and rows of unopened cells are not
     sent again. The joined cells are as many as the ranks.
     """
-    values = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), _outer_cell(F.col(value)).alias("cell"))
+    values = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), _outer_cell(F.col(value), octave).alias("cell"))
     ends = [F.count(F.lit(1)).alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")]
     whole = Window.partitionBy()  # one row per cell
     outer = values.groupBy("cell").agg(*ends).withColumn("n", F.sum("rows").over(whole))
@@ -132,13 +132,12 @@ def order_statistics(rows: DataFrame, value: str, ranks: Callable[[Column], Mapp
 
     step = _inner_cell(F.col("v"), F.col("low"), F.col("high"))
     found = values.join(F.broadcast(outer), "cell").withColumn("step", step)
-    inner = found.groupBy("cell", "step").agg(F.count(F.lit(1)).alias("rows"))
-    inner = _opened(inner.join(F.broadcast(outer), "cell"), Window.partitionBy("cell").orderBy("step"), F.col("ranks"))
+    inner = found.groupBy("cell", "step", "low", "high", "ranks", "n").agg(F.count(F.lit(1)).alias("rows"))
+    inner = _opened(inner, Window.partitionBy("cell").orderBy("step"), F.col("ranks"))
     inner = inner.select("cell", "low", "high", F.col("step").alias("opened"), "ranks", "n")
 
     found = values.join(F.broadcast(inner), "cell").where(step == F.col("opened"))
-    each = found.groupBy("cell", "opened", "v").agg(F.count(F.lit(1)).alias("rows"))
-    last = each.join(F.broadcast(inner), ["cell", "opened"])
+    last = found.groupBy("cell", "opened", "v", "ranks", "n").agg(F.count(F.lit(1)).alias("rows"))
     last = _opened(last, Window.partitionBy("cell", "opened").orderBy("v"), F.col("ranks"))
     picks = [F.max(F.when(F.exists("ranks", lambda r: r["name"] == name), F.col("v"))).alias(name) for name in wanted]  # noqa: B023
     return last.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *picks)
@@ -151,24 +150,24 @@ def _median_ranks(n: Column) -> dict[str, Column]:
 _MEDIAN = "(below + above) / 2"
 
 
-def serving_latency(lookups: DataFrame) -> DataFrame:
+def serving_latency(lookups: DataFrame, octave: int = OCTAVE) -> DataFrame:
     """Samples, median and p95 (rank ``floor(0.95 n)``, 0-based, at most the last), to 3 places."""
     found = order_statistics(
-        lookups, "latency_ms", lambda n: {**_median_ranks(n), "p95": F.least(n - 1, F.floor(F.lit(0.95) * n))}
+        lookups, "latency_ms", lambda n: {**_median_ranks(n), "p95": F.least(n - 1, F.floor(F.lit(0.95) * n))}, octave
     )
     return found.select(
         F.col("n").alias("samples"), F.round(F.expr(_MEDIAN), 3).alias("p50_ms"), F.round("p95", 3).alias("p95_ms")
     )
 
 
-def benchmark_latency(lookups: DataFrame) -> DataFrame:
+def benchmark_latency(lookups: DataFrame, octave: int = OCTAVE) -> DataFrame:
     """Lookups, median, p95 and p99 by rank ``round((n - 1) p / 100)`` (half to even), to 2 places."""
 
     def rank(n: Column, p: int) -> Column:
         return F.least(n - 1, F.bround((n - 1) * F.lit(float(p)) / 100).cast("bigint"))
 
     found = order_statistics(
-        lookups, "latency_ms", lambda n: {**_median_ranks(n), "p95": rank(n, 95), "p99": rank(n, 99)}
+        lookups, "latency_ms", lambda n: {**_median_ranks(n), "p95": rank(n, 95), "p99": rank(n, 99)}, octave
     )
     return found.select(
         F.col("n").alias("lookups"), F.round(F.expr(_MEDIAN), 2).alias("p50_ms"),

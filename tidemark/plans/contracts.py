@@ -10,6 +10,9 @@ from tidemark.plans.derived import contracts, table
 from tidemark.sources.storefront import padded_id
 
 
+LEVELS = ["FULL", "FORWARD", "NONE"]
+
+
 def _halves(spark, sf):
     """Orders that are urgent or not open form the registry; the others arrive later as candidates."""
     c = contracts(spark, sf)
@@ -54,6 +57,19 @@ def _registered(spark, sf):
     return ops.register(start, candidates).select("subject", "seq", "status", "version")
 
 
+def _registered_at_levels(spark, sf):
+    """Every fourth customer's subject at another level, the rest at the global one."""
+    start, candidates = _halves(spark, sf)
+    kind = F.col("c_custkey") % 4
+    own = table(spark, sf, "customer").where(kind < 3).select(
+        ops.subject_name(padded_id("c", F.col("c_custkey"), 6)).alias("subject"),
+        F.element_at(F.array(*map(F.lit, LEVELS)), (kind + 1).cast("int")).alias("level"),
+    )
+    shared = spark.range(1).select(F.lit(None).cast("string").alias("subject"), F.lit("BACKWARD").alias("level"))
+    rows = ops.register(start, candidates, levels=own.unionByName(shared))
+    return rows.select("subject", "seq", "status", "version")
+
+
 def _registered_ids(spark, sf):
     start, candidates = _halves(spark, sf)
     rows = ops.register(start, candidates).where("status = 'registered'")
@@ -90,6 +106,7 @@ QUERIES = {
     "newest_contracts": _newest,
     "compat_levels": _levels,
     "register_contracts": _registered,
+    "register_levels": _registered_at_levels,
     "register_ids": _registered_ids,
 }
 
@@ -190,12 +207,30 @@ decided as (
   from based b left join (select subject, min(version) as stop from bad group by subject) using (subject)
 )"""
 
-ORACLES = {
-    "register_contracts": sql.with_(_REGISTER) + """
+_DECIDED = """
 select d.subject, cast(d.version as bigint) as seq, d.decision as status,
        cast(case d.decision when 'registered' then d.new_version
                             when 'unchanged' then coalesce(d.known, f.new_version) end as integer) as version
-from decided d left join decided f on f.subject = d.subject and f.version = d.first_turn""",
+from decided d left join decided f on f.subject = d.subject and f.version = d.first_turn"""
+
+# The level of a subject, the comparison with old data where it asks for it, and the one with old readers.
+_AT_LEVELS = _REGISTER.replace(
+    "bad as (", f"""
+levelled as (
+  select *, coalesce({LEVELS}[cast(substr(subject, 2, 6) as integer) % 4 + 1], 'BACKWARD') as level from based
+),
+bad as (
+  select b.subject, b.version from levelled b join fields o on o.subject = b.subject and o.version = b.base
+  left join fields n on n.subject = b.subject and n.version = b.version and n.name = o.name
+  where b.level in ('FORWARD', 'FULL') and ((n.name is null and not o.has_default) or o.canonical <> n.canonical)
+  union"""
+).replace("from based b join fields n", "from levelled b join fields n").replace(
+    "where b.base is not null and", "where b.level in ('BACKWARD', 'FULL') and b.base is not null and"
+)
+
+ORACLES = {
+    "register_contracts": sql.with_(_REGISTER) + _DECIDED,
+    "register_levels": sql.with_(_AT_LEVELS) + _DECIDED,
     "register_ids": sql.with_(_REGISTER) + """
 select count(*) as registered, count(*) as ids, true as above_used from decided where decision = 'registered'""",
     "contract_fields": sql.with_(REGISTRY)

@@ -12,6 +12,7 @@ from tidemark.plans.derived import AFTER_ALL, answered_lookups, at, events, mess
 from tidemark.plans.serving import LOOKUPS
 
 STALLED_AT = "2024-01-31 00:05:00"
+BEFORE_ALL, EARLY = "2024-01-01 00:30:00", "2024-01-01 05:00:20"
 
 
 def _progress(spark, sf):
@@ -22,6 +23,12 @@ def _latest(spark, sf):
     return ops.latest_progress(_progress(spark, sf).drop("raw"))
 
 
+def _latest_until(spark, sf, text):
+    """The newest reports of batches that had ended by then."""
+    rows = _progress(spark, sf).drop("raw").where(F.try_to_timestamp("timestamp") <= at(text))
+    return ops.latest_progress(rows)
+
+
 def _samples(spark, sf):
     return ops.throughput_samples(_progress(spark, sf))
 
@@ -58,7 +65,8 @@ QUERIES = {
     "batch_ages": lambda spark, sf: ops.batch_ages(_latest(spark, sf), at(AFTER_ALL)),
     "health_live": lambda spark, sf: ops.health(_latest(spark, sf), at(AFTER_ALL)),
     "health_stalled": lambda spark, sf: ops.health(_latest(spark, sf), at(STALLED_AT)),
-    "health_starting": lambda spark, sf: ops.health(_latest(spark, sf).where(F.col("num_input_rows") < 0), at(AFTER_ALL)),
+    "health_starting": lambda spark, sf: ops.health(_latest_until(spark, sf, BEFORE_ALL), at(BEFORE_ALL)),
+    "health_early": lambda spark, sf: ops.health(_latest_until(spark, sf, EARLY), at(EARLY)),
     "capacity": lambda spark, sf: ops.capacity(_latest(spark, sf)),
     "kpi_report": lambda spark, sf: ops.kpi_report(_latest(spark, sf), at(AFTER_ALL)),
     "stats_report": _stats,
@@ -151,6 +159,15 @@ def _median(places: int) -> str:
     return f"(select {sql.rounded(mid, places)} from s)"
 
 
+def _health_until(now: str) -> str:
+    """Health from the batches that had ended by then; none of them: starting."""
+    until = PROGRESS.replace("select * from progress qualify", f"select * from progress where ended <= timestamp '{now}' qualify")
+    known = _health_sql(now).replace(sql.with_(PROGRESS), "")
+    return sql.with_(until) + f"""
+select if(reporting = 0, 'starting', state) as state, if(reporting = 0, 'waiting for the first batch', detail) as detail,
+       reporting, oldest_ms, newest_ms from ({known})"""
+
+
 ORACLES = {
     "progress_rows": sql.with_(PROGRESS) + "select * exclude (ended) from progress",
     "progress_raw": sql.with_(PROGRESS) + "select query, count(*) as readable from progress group by query",
@@ -159,9 +176,8 @@ ORACLES = {
     + f"select query, greatest(0, epoch_ms(timestamp '{AFTER_ALL}') - epoch_ms(ended)) as batch_age_ms from latest",
     "health_live": _health_sql(AFTER_ALL),
     "health_stalled": _health_sql(STALLED_AT),
-    "health_starting": """
-select 'starting' as state, 'waiting for the first batch' as detail, count(*) as reporting,
-       cast(null as bigint) as oldest_ms, cast(null as bigint) as newest_ms from events where event_id < 0""",
+    "health_starting": _health_until(BEFORE_ALL),
+    "health_early": _health_until(EARLY),
     "capacity": sql.with_(PROGRESS) + """
 select query, least(1.5, input_rows_per_second / processed_rows_per_second) as utilization,
        case when input_rows_per_second / processed_rows_per_second > 0.9 then 'Busy' else 'Healthy' end as status

@@ -6,15 +6,20 @@ files live below the shared folder of the cluster.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.decode import events_of, replayed
+from tidemark.operators.decode import decode_messages, events_of, replayed
+from tidemark.operators.monitor import latest_progress
+from tidemark.operators.validate import read_letters
 from tidemark.operators.windows import windowed_features
 from tidemark.plans import sql
 from tidemark.plans.derived import at, events, expiring_log, messages, plain, record_texts
 from tidemark.plans.windows import DISTINCT, SPECS, distinct_checked
 from tidemark.plans.store import FORGET_SECONDS, LIVES_MARKED
+from tidemark.plans.wire import ERRORS
 from tidemark.plans.wire import ORACLES as WIRE
 from tidemark.session import shared_dir, streaming_session
 from tidemark.sources.contracts import contracts_table, packaged_schemas, writer_schemas
@@ -22,7 +27,7 @@ from tidemark.sources.events import MESSAGE_SCHEMA, event_source, written_events
 from tidemark.sources.feature_store import FeatureStore
 from tidemark.streaming import jobs
 from tidemark.streaming.expiry import mark_lives_stream
-from tidemark.streaming.sinks import to_files
+from tidemark.streaming.sinks import read_published, to_files
 
 SUBJECT = "user-events-value"
 SLICE_ENDS = ["2024-01-11", "2024-01-21", None]  # the last slice is open and takes records without a time
@@ -145,13 +150,13 @@ def _job_progress(spark, sf):
 
 def _ingest(spark, sf):
     root = shared_dir(spark, "ingest")
-    sent = messages(spark, sf)
+    sent = messages(spark, sf, "json")
     files = _files(sent)
     _slices(sent, f"{root}/raw", range(3), files, "timestamp")
     session = streaming_session(spark)
     schemas = packaged_schemas()
     raw = _read(session, f"{root}/raw", MESSAGE_SCHEMA, files)
-    query = jobs.start_ingest(raw, schemas, schemas[max(schemas)], f"{root}/decoded", f"{root}/checkpoints", trigger=NOW_OR_NEVER)
+    query = jobs.start_ingest(raw, schemas, schemas[max(schemas)], f"{root}/decoded", f"{root}/checkpoints", "json", NOW_OR_NEVER)
     jobs.finish([query])
     return root
 
@@ -211,18 +216,26 @@ def _pipeline_vectors(spark, sf):
 
 
 def _publish(spark, sf):
+    """Every message and every letter read back: what a record became, under which key, and its reason."""
     root = shared_dir(spark, "publish")
     texts = record_texts(spark, sf)
     files = _files(texts)
     _slices(texts, f"{root}/records", range(3), files, "timestamp")
     session = streaming_session(spark)
     records = _read(session, f"{root}/records", "value string, timestamp timestamp", files)
-    query = jobs.start_publish(records, packaged_schemas(), 2, to_files(f"{root}/messages"), to_files(f"{root}/letters"),
-                               f"{root}/checkpoints", trigger=NOW_OR_NEVER)
-    jobs.finish([query])
-    sent = spark.read.parquet(f"{root}/messages").agg(F.count(F.lit(1)).alias("rows"))
-    letters = spark.read.parquet(f"{root}/letters").agg(F.count(F.lit(1)).alias("rows"))
-    return sent.withColumn("written", F.lit("messages")).unionByName(letters.withColumn("written", F.lit("letters")))
+    schemas = packaged_schemas()
+    jobs.finish([jobs.start_publish_files(records, schemas, 2, f"{root}/out", f"{root}/checkpoints", "json", NOW_OR_NEVER)])
+    sent = decode_messages(read_published(spark, f"{root}/out", "messages"), schemas, schemas[2], "json")
+    sent = sent.select(
+        F.lit("messages").alias("written"), F.col("key").cast("string").alias("key"), "e.event_id", "e.amount",
+        F.col("reason").alias("error"), "timestamp",
+    )
+    letters = read_letters(read_published(spark, f"{root}/out", "letters").withColumn("key", F.col("key").cast("string")))
+    event = F.when(F.col("event").startswith("{"), F.get_json_object("event", "$.event_id"))
+    letters = letters.select(
+        F.lit("letters").alias("written"), "key", event.alias("event_id"), F.lit(None).cast("double").alias("amount"), "error", "timestamp"
+    )
+    return plain(sent.unionByName(letters))
 
 
 def _lives(spark, sf):
@@ -237,8 +250,22 @@ def _lives(spark, sf):
     return plain(spark.read.parquet(f"{root}/marked").select("user_id", "grp", "seq", "life", "accepted"))
 
 
+def _state(spark, sf):
+    """Rows in state after the job ended, read from the checkpoints beside what the last reports say."""
+    root = shared_dir(spark, "state")
+    _run_job(spark, sf, root)
+    session = streaming_session(spark)
+    reported = latest_progress(spark.read.parquet(f"{root}/progress")).select("query", F.col("state_rows").alias("reported"))
+    held = [
+        jobs.state_rows(session, f"{root}/checkpoints/window_{grp}").select(F.lit(f"window_{grp}").alias("query"), "operator_id", F.col("rows").alias("held"))
+        for grp in SPECS if grp in ("5m", "1h")
+    ]
+    return reduce(DataFrame.unionByName, held).join(reported, "query")
+
+
 QUERIES = {
     "stream_lives": _lives,
+    "state_read_back": _state,
     "rejects_replayed": _replayed,
     "pipeline_vectors": _pipeline_vectors,
     "stream_windows_5m": _windows("5m"),
@@ -330,6 +357,16 @@ _PIPELINE = sql.with_(_DECODABLE, sql.PROFILE, _last_window("5m"), _last_window(
 _REPLAYED = f"""
 select d.*, d.device is not null and d.kafka_ts < timestamp '{SLICE_ENDS[0]}' as replayed from ({WIRE["decode_events_json"]}) d"""
 
+def _open_windows(grp: str) -> str:
+    """Windows that the last watermark leaves open: two minutes behind the newest event."""
+    end = "(select make_timestamp(epoch_us(max(event_ts)) // 1000 * 1000) - interval 2 minute from ev)"
+    return f"select 'window_{grp}' as query, cast(0 as bigint) as operator_id, count(*) as held, count(*) as reported from w_{grp} where window_end > {end}"
+
+
+_STATE = sql.with_(sql.EVENTS, sql.windows("w_5m", *SPECS["5m"][2:]), sql.windows("w_1h", *SPECS["1h"][2:])) + (
+    f"{_open_windows('5m')} union all {_open_windows('1h')}"
+)
+
 ORACLES = {
     "rejects_replayed": _REPLAYED,
     "pipeline_vectors": _PIPELINE,
@@ -344,10 +381,10 @@ ORACLES = {
 select unnest(['window_5m', 'window_1h', 'profile']) as query, count(*) as input_rows from events""",
     "stream_ingest_events": WIRE["decode_events"],
     "stream_ingest_rejects": WIRE["reject_reasons"],
-    "stream_publish": """
-select 'messages' as written, count(*) filter (where k not in (13, 29, 57, 91)) as rows
-from (select cast(regexp_extract(props, '[0-9]+') as integer) as k from events)
-union all
-select 'letters', count(*) filter (where k in (13, 29, 57, 91))
-from (select cast(regexp_extract(props, '[0-9]+') as integer) as k from events)""",
+    "stream_publish": sql.with_(sql.EVENTS, ERRORS) + """
+select case when error is null then 'messages' else 'letters' end as written, case when error is null then user_id else l.key end as key,
+       case when l.product_id <> 'p00029' then event_id end as event_id, case when error is null then amount end as amount,
+       error, case when error is null then make_timestamp(epoch_us(timestamp) // 1000 * 1000) else timestamp end as timestamp
+from letters l join ev using (event_id)""",
+    "state_read_back": _STATE,
 }

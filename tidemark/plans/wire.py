@@ -13,7 +13,7 @@ from tidemark.plans.derived import events, messages, plain, record_texts
 from tidemark.sources.contracts import packaged_schemas
 
 
-def _decoded(spark, sf, codec="avro_arrow"):
+def _decoded(spark, sf, codec="json"):
     schemas = packaged_schemas()
     return decode_messages(messages(spark, sf, codec), schemas, schemas[max(schemas)], codec)
 
@@ -44,9 +44,9 @@ def _roundtrip(spark, sf):
 
 
 def _payload_bytes(spark, sf):
-    """Bytes written per contract version: the length of each part of the record is known."""
+    """Bytes of each record as its contract's JSON form."""
     schema = packaged_schemas()[2]
-    return events(spark, sf).select("event_id", F.length(encode_payload(schema)).alias("payload_bytes"))
+    return events(spark, sf).select("event_id", F.length(encode_payload(schema, "json")).alias("payload_bytes"))
 
 
 def _checked(spark, sf):
@@ -81,7 +81,7 @@ QUERIES = {
     "frame_split": _frames,
     "frame_roundtrip": _roundtrip,
     "payload_bytes": _payload_bytes,
-    "decode_events": _events("avro_arrow"),
+    "decode_events": _events("json"),
     "decode_events_json": _events("json"),
     "decode_rejects": _rejects,
     "reject_reasons": lambda spark, sf: rejects_of(_decoded(spark, sf)).groupBy("reason").agg(
@@ -115,7 +115,7 @@ select event_id, user_id, event_type, product_id, category, amount, currency, se
        make_timestamp((epoch_us(event_ts) // 1000) * 1000) as event_ts, event_ts as kafka_ts
 from reasons where reason is null"""
 
-_ERRORS = """
+ERRORS = """
 letters as (
   select event_id, event_ts as timestamp,
          case when product_id in ('p00013', 'p00029') then '' else user_id end as key,
@@ -126,10 +126,10 @@ letters as (
          product_id
   from ev
 )"""
-_LETTERS = sql.with_(sql.EVENTS, _ERRORS) + """
+_LETTERS = sql.with_(sql.EVENTS, ERRORS) + """
 select key, error, case when product_id <> 'p00029' then event_id end as event_id, timestamp
 from letters where error is not null"""
-_OUTCOME = _ERRORS + """,
+_OUTCOME = ERRORS + """,
 outcomes as (
   select timestamp, case when error is not null then 'dlq' when product_id = 'p00083' then 'failed' else 'delivered' end as outcome
   from letters
@@ -145,8 +145,10 @@ from reasons""",
     "frame_roundtrip": sql.with_(sql.EVENTS)
     + "select n, cast(2147483647 - n * 7919 as integer) as schema_id, user_id as payload from ev",
     "payload_bytes": sql.with_(sql.EVENTS) + """
-select event_id, cast(6 + length(event_id) + length(user_id) + length(event_type) + length(product_id) + length(category)
-       + length(currency) + 8 + 6 + 1 + case when device is null then 1 else 2 + length(device) end as integer) as payload_bytes
+select event_id, cast(strlen(
+  '{"event_id":"' || event_id || '","user_id":"' || user_id || '","event_type":"' || event_type || '","product_id":"' || product_id
+  || '","category":"' || category || '","amount":' || amount || ',"currency":"' || currency || '","event_ts":' || epoch_us(event_ts) // 1000
+  || coalesce(',"device":"' || device || '"', '') || '}') as integer) as payload_bytes
 from ev""",
     "decode_events": _DECODED,
     "decode_events_json": _DECODED,
@@ -157,7 +159,7 @@ select event_id, reason, event_ts as timestamp,
 from reasons where reason is not null""",
     "reject_reasons": sql.with_(sql.EVENTS, _REASON)
     + "select reason, count(*) as messages from reasons where reason is not null group by reason",
-    "contract_split": sql.with_(sql.EVENTS, _ERRORS)
+    "contract_split": sql.with_(sql.EVENTS, ERRORS)
     + "select error is null as valid, count(*) as records from letters group by 1",
     "contract_valid_events": sql.with_(sql.EVENTS) + """
 select event_id, user_id, event_type, product_id, category, amount, currency, session_id, device,
@@ -165,12 +167,12 @@ select event_id, user_id, event_type, product_id, category, amount, currency, se
 from ev where product_id not in ('p00013', 'p00029', 'p00057', 'p00091')""",
     "dead_letters": _LETTERS,
     "dead_letters_recent": _LETTERS + " order by timestamp desc, error limit 8",
-    "dead_letter_total": sql.with_(sql.EVENTS, _ERRORS) + "select count(error) as total from letters",
-    "dead_letter_report": sql.with_(sql.EVENTS, _ERRORS) + """
+    "dead_letter_total": sql.with_(sql.EVENTS, ERRORS) + "select count(error) as total from letters",
+    "dead_letter_report": sql.with_(sql.EVENTS, ERRORS) + """
 select (select count(error) from letters) as total,
        string_agg(error || ' @' || epoch_us(timestamp) // 1000, '; ' order by timestamp desc, error) as newest
 from (select * from letters where error is not null order by timestamp desc, error limit 8)""",
-    "dead_letter_reasons": sql.with_(sql.EVENTS, _ERRORS) + """
+    "dead_letter_reasons": sql.with_(sql.EVENTS, ERRORS) + """
 select split_part(error, ' (', 1) as reason, count(*) as letters from letters where error is not null group by 1""",
     "delivery_counters": sql.with_(sql.EVENTS, _OUTCOME) + """
 select count(*) filter (where outcome <> 'dlq') as sent, count(*) filter (where outcome = 'delivered') as delivered,

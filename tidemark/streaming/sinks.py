@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import wire
@@ -111,3 +111,36 @@ def ingest_sink(contracts: Contracts, path: str, codec: str = "avro_arrow") -> S
             raise OSError(f"could not rename {aside}")
 
     return write
+
+
+def published_sink(schema: str, schema_id: int, path: str, codec: str = "avro_arrow") -> Sink:
+    """Messages and dead letters of a batch in one write, by ``output``: the marker that Spark writes last stands for
+    both, so no reader of :func:`read_published` sees one without the other, and a replayed batch replaces both."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        outputs: dict[str, DataFrame] = {}
+
+        def hold(output: str) -> Sink:
+            return lambda rows, _: outputs.update({output: rows})
+
+        def both(rows: DataFrame, _: int) -> None:
+            hold("letters")(rows, _)
+            parts = [
+                r.select(F.lit(o).alias("output"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "timestamp")
+                for o, r in outputs.items()
+            ]
+            parts[0].unionByName(parts[1]).write.mode("overwrite").partitionBy("output").parquet(f"{path}/batch_id={batch_id}")
+
+        contract_sink(schema, schema_id, hold("messages"), both, codec)(batch, batch_id)
+
+    return write
+
+
+def read_published(spark: SparkSession, path: str, output: str) -> DataFrame:
+    """``key, value, timestamp`` of one output (``messages`` or ``letters``), of batches written to their end."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/_SUCCESS")
+    fs = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [str(status.getPath().getParent()) for status in fs.globStatus(found) or []]
+    schema = "key binary, value binary, timestamp timestamp, output string"
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*done) if done else spark.createDataFrame([], schema)
+    return rows.where(F.col("output") == output).select("key", "value", "timestamp")
