@@ -4,11 +4,12 @@
    the number of its word (0 between pieces). Words are told apart by prefix polynomials over the bytes and then by the
    bytes.
 2. Prefix polynomials over the words of a block give the fingerprint of every phrase by one subtraction. A block sends
-   each of its words and pairs of words once: fingerprint, occurrences and a pointer (block and place) to one of them.
-   The shuffle adds up by fingerprint; those below the least count are gone.
+   each of its words and pairs of words once: fingerprint, occurrences and a pointer (block and place) to one of them,
+   packed into one row per bucket of fingerprints. Buckets hold about ``BUCKET`` places of the corpus each; there the
+   occurrences are added up, and fingerprints below the least count are gone.
 3. Phrases of one word more are only looked at where both their parts have frequent fingerprints, which are sent back
    to the blocks that have them. A fingerprint that two phrases share only counts too much, so nothing frequent is lost.
-4. Rows also carry a check, a digest of the words themselves. Where all checks of a frequent fingerprint agree, it is
+4. Pointers also carry a check, a digest of the words themselves. Where all checks of a frequent fingerprint agree, it is
    read at one pointer; only here phrases become text. Where they differ, phrases collided: every pointer of that
    fingerprint is read, and the counts of equal texts are added up.
 
@@ -34,9 +35,11 @@ from tidemark.llm.common import read, shared_dir, small_batches, text_or_empty,
 LONGEST, LEAST, TOP, COVERS = 5, 100, 2000, 100
 #: Bytes of text in a block.
 BLOCK = 6 << 20
+#: Places of the corpus for each bucket of fingerprints.
+BUCKET = 1 << 20
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-#: Bits of a pointer that hold the place in a block, and bits of a fingerprint that hold the number of words.
-PLACE_BITS, SIZE_BITS = 27, 3
+#: Bits of a place in a block, and bits of a fingerprint that hold the number of words.
+PLACE_BITS, SIZE_BITS = 31, 3
 #: Odd factors of the polynomials over bytes and over words.
 BYTE_FACTOR, WORD_FACTOR = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -211,14 +214,63 @@ class Block:
 
 #: What a task needs of a block.
 COLUMNS = ["block", "lang", "words", "word_bytes", "places", "n_places"]
-PRINTS = "fingerprint long, pointer long, count long, check int"
+#: Phrases of a block whose fingerprints belong to one bucket: a number of each list for each phrase.
+PACKED = "bucket int, block long, prints binary, places binary, counts binary, checks binary"
+#: What is left of them: fingerprints that are frequent, and the pointers to read with the occurrences they stand for.
+FREQUENT = "block long, prints binary, read_print binary, read_place binary, read_count binary"
 
 
-def _out(block: int, prints, places, counts, checks):
+def _packed(block: int, prints, places, counts, checks, buckets: int) -> pa.RecordBatch:
     import numpy as np
 
-    columns = prints, places.astype(np.int64) + block, counts.astype(np.int64), checks
-    return pa.record_batch([pa.array(c) for c in columns], names=["fingerprint", "pointer", "count", "check"])
+    own = _mixed(prints.view(np.uint64)) % np.uint64(buckets)
+    order = np.argsort(own.astype(np.uint16) if buckets < 1 << 16 else own, kind="stable")
+    found, first = np.unique(own[order], return_index=True)
+    columns = [x.astype(t)[order] for x, t in ((prints, "<i8"), (places, "<i4"), (counts, "<i8"), (checks, "<i4"))]
+    packed = [[p.tobytes() for p in np.split(c, first[1:])] if len(found) else [] for c in columns]
+    arrays = [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), block)), *[pa.array(p, pa.binary()) for p in packed]]
+    return pa.record_batch(arrays, names=["bucket", "block", "prints", "places", "counts", "checks"])
+
+
+def _summed(table: pa.Table, least: int) -> pa.Table:
+    """A bucket's frequent fingerprints, for each block that has them.
+
+    Where all checks of a fingerprint agree, one pointer is to be read for all occurrences, otherwise every pointer for
+    its own.
+    """
+    import numpy as np
+
+    def joined(name: str, kind: str):
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+    prints, places, counts, checks = joined("prints", "<i8"), joined("places", "<i4"), joined("counts", "<i8"), joined("checks", "<i4")
+    sizes = [len(p) // 8 for p in table.column("prints").to_pylist()]
+    row = np.repeat(np.argsort(np.argsort(table.column("block").to_numpy())), sizes)  # rows in order of their blocks
+    order = np.lexsort((places, row, prints))
+    prints, places, counts, checks, row = (x[order] for x in (prints, places, counts, checks, row))
+    first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
+    length = np.diff(np.append(first, len(prints)))
+    total = np.add.reduceat(counts, first)
+    agree = np.minimum.reduceat(checks, first) == np.maximum.reduceat(checks, first)
+    lead = np.zeros(len(prints), bool)
+    lead[first] = True
+    agree, total = np.repeat(agree, length), np.repeat(total, length)
+    stay = total >= least
+    read = stay & (lead | ~agree)
+    counts = np.where(agree, total, counts)
+    back = np.argsort(row, kind="stable")
+    blocks, out = np.sort(table.column("block").to_numpy()), {n: [] for n in ("block", "prints", "read_print", "read_place", "read_count")}
+    edges = np.searchsorted(row[back], np.arange(len(blocks) + 1))
+    for k, block in enumerate(blocks.tolist()):
+        at = back[edges[k] : edges[k + 1]]
+        own, asked = at[stay[at]], at[read[at]]
+        if len(own):
+            out["block"].append(block)
+            out["prints"].append(prints[own].tobytes())
+            for name, x in (("read_print", prints), ("read_place", places), ("read_count", counts)):
+                out[name].append(x[asked].tobytes())
+    types = [pa.int64(), *[pa.binary()] * 4]
+    return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types)})
 
 
 def _each(batches: Iterator[pa.RecordBatch], bits: int):
@@ -230,19 +282,19 @@ def _each(batches: Iterator[pa.RecordBatch], bits: int):
             yield block, lang, Block(lang, words, word_bytes, places, n_places, bits), row.columns[len(COLUMNS) :]
 
 
-def _short(batches, bits: int, longest: int):
+def _short(batches, bits: int, longest: int, buckets: int):
     """Words, whose place is the word's number, and pairs of words."""
     import numpy as np
 
     for block, _, own, (counts,) in _each(batches, bits):
         n = np.frombuffer(counts[0].as_py(), "<i8")
         numbers = np.arange(1, len(n) + 1)
-        yield _out(block, own.finished(own.hashes[1:], 1), numbers, n, own.checks([numbers]))
+        yield _packed(block, own.finished(own.hashes[1:], 1), numbers, n, own.checks([numbers]), buckets)
         if longest > 1:
-            yield _out(block, *own.phrases(np.flatnonzero((own.places[:-1] > 0) & (own.places[1:] > 0)), 2))
+            yield _packed(block, *own.phrases(np.flatnonzero((own.places[:-1] > 0) & (own.places[1:] > 0)), 2), buckets)
 
 
-def _longer(batches, bits: int, n: int):
+def _longer(batches, bits: int, n: int, buckets: int):
     """Phrases of ``n`` words of which both parts of one word less are frequent."""
     import numpy as np
 
@@ -250,41 +302,33 @@ def _longer(batches, bits: int, n: int):
         gaps = np.cumsum(np.append(0, own.places == 0))
         at = np.flatnonzero(gaps[n - 1 :] == gaps[: len(gaps) - n + 1])
         known = np.zeros(len(own.places), bool)
-        known[at] = np.isin(own.fingerprints(at, n - 1), frequent.flatten().to_numpy())
-        yield _out(block, *own.phrases(np.flatnonzero(known[:-1] & known[1:]), n))
+        frequent = np.frombuffer(b"".join(frequent[0].as_py()), "<i8")
+        known[at] = np.isin(own.fingerprints(at, n - 1), frequent[frequent & ((1 << SIZE_BITS) - 1) == n - 1])
+        yield _packed(block, *own.phrases(np.flatnonzero(known[:-1] & known[1:]), n), buckets)
 
 
 def _texts(batches, bits: int):
-    """``lang, phrase, count`` for lists of pointers."""
-    for block, lang, own, (at,) in _each(batches, bits):
-        at, names, numbers, out = at.flatten(), own.raw.split(b"\n"), own.places, []
-        sizes = (p & ((1 << SIZE_BITS) - 1) for p in at.field("fingerprint").to_pylist())
-        for n, place in zip(sizes, (p - block for p in at.field("pointer").to_pylist())):
-            out.append(names[place - 1] if n == 1 else b" ".join([names[w - 1] for w in numbers[place : place + n].tolist()]))
+    """``lang, phrase, count`` of the pointers to read."""
+    import numpy as np
+
+    for block, lang, own, (lists,) in _each(batches, bits):
+        names, numbers, out, counts = own.raw.split(b"\n"), own.places, [], []
+        for part in lists[0].as_py():
+            sizes = np.frombuffer(part["read_print"], "<i8") & ((1 << SIZE_BITS) - 1)
+            for n, place in zip(sizes.tolist(), np.frombuffer(part["read_place"], "<i4").tolist()):
+                out.append(names[place - 1] if n == 1 else b" ".join([names[w - 1] for w in numbers[place : place + n].tolist()]))
+            counts.append(np.frombuffer(part["read_count"], "<i8"))
         yield pa.record_batch(
-            [pa.array([lang] * len(out)), pa.array([t.decode() for t in out], pa.string()), at.field("count")], names=["lang", "phrase", "count"]
+            [pa.array([lang] * len(out)), pa.array([t.decode() for t in out], pa.string()), pa.array(np.concatenate(counts))],
+            names=["lang", "phrase", "count"],
         )
 
 
-def _frequent(prints: DataFrame, least: int, name: str) -> DataFrame:
-    """``fingerprint, pointer, count, total, first, agree``: pointers whose fingerprint occurs often enough over all blocks,
-    the least pointer of each, and whether all checks are equal. One shuffle; a fingerprint has one row per block and
-    phrase."""
-    own = Window.partitionBy("fingerprint")
-    rows = prints.withColumns({
-        "total": F.sum("count").over(own), "first": F.min("pointer").over(own), "agree": F.min("check").over(own) == F.max("check").over(own),
-    })
-    return written_once(rows.where(F.col("total") >= least).drop("check"), name)
-
-
 def _blocks_table(rows: DataFrame, block: int) -> DataFrame:
     """The blocks, written in buckets by their number: lists for blocks then meet them without moving them again."""
     spark = rows.sparkSession
     schema = "lang string, words binary, word_bytes long, counts binary, places binary, n_places long"
-    # number of the task and of the block within it, above the bits of a place
-    number = F.monotonically_increasing_id()
-    number = F.shiftleft(F.shiftright(number, 33), 43) + F.shiftleft(number.bitwiseAND(F.lit((1 << 33) - 1)), PLACE_BITS)
-    cut = rows.mapInArrow(lambda b: _blocks(b, block), schema).withColumn("block", number)
+    cut = rows.mapInArrow(lambda b: _blocks(b, block), schema).withColumn("block", F.monotonically_increasing_id())
     buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"phrase_blocks_{uuid.uuid4().hex}"
     path = shared_dir(spark, "phrase-blocks")
     cut.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", path).saveAsTable(table)
@@ -303,22 +347,25 @@ def frequent_phrases(
     rows = small_batches(docs).select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
     blocks = _blocks_table(rows, block)
     own = blocks.select(*COLUMNS)
+    places = blocks.agg(F.sum("n_places")).first()[0] or 0
+    buckets = max(1, -(-places // BUCKET))
+
+    def frequent(packed: DataFrame, n: int) -> DataFrame:
+        summed = packed.groupBy("bucket").applyInArrow(lambda table: _summed(table, least), FREQUENT)
+        return written_once(summed, f"phrase-{n}")
 
-    def sent_back(rows: DataFrame, *columns: str) -> DataFrame:
-        to = F.shiftleft(F.shiftright("pointer", PLACE_BITS), PLACE_BITS)
-        lists = rows.groupBy(to.alias("block")).agg(F.collect_list(F.struct(*columns) if len(columns) > 1 else F.col(columns[0])).alias("list"))
+    def sent_back(rows: DataFrame, column) -> DataFrame:
+        lists = rows.groupBy("block").agg(F.collect_list(column).alias("list"))
         return own.join(lists.hint("merge"), "block").select(*COLUMNS, "list")
 
-    short = blocks.select(*COLUMNS, "counts").mapInArrow(lambda b: _short(b, bits, longest), PRINTS)
-    found = last = _frequent(short, least, "phrase-short")
+    short = blocks.select(*COLUMNS, "counts").mapInArrow(lambda b: _short(b, bits, longest, buckets), PACKED)
+    found = last = frequent(short, 2)
     for n in range(3, longest + 1):
-        size = F.col("fingerprint").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
-        longer = sent_back(last.where(size == n - 1), "fingerprint").mapInArrow(lambda b, n=n: _longer(b, bits, n), PRINTS)
-        last = _frequent(longer, least, f"phrase-{n}")
+        longer = sent_back(last, F.col("prints")).mapInArrow(lambda b, n=n: _longer(b, bits, n, buckets), PACKED)
+        last = frequent(longer, n)
         found = found.unionByName(last)
-    one = found.where("agree and pointer = first").select("fingerprint", "pointer", F.col("total").alias("count"))
-    every = found.where("not agree").select("fingerprint", "pointer", "count")
-    texts = sent_back(one.unionByName(every), "fingerprint", "pointer", "count").mapInArrow(
+    asked = found.where(F.octet_length("read_place") > 0)
+    texts = sent_back(asked, F.struct("read_print", "read_place", "read_count")).mapInArrow(
         lambda b: _texts(b, bits), "lang string, phrase string, count long"
     )
     known = texts.groupBy("lang", "phrase").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
