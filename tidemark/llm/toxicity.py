@@ -103,10 +103,11 @@ def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _share(rows: DataFrame, most: int, total: int, *of: Column) -> DataFrame:
-    """About ``most`` of ``total`` rows, never more, by a hash of ``of``."""
+    """About ``most`` of ``total`` rows, never more, by a hash of ``of``: the same rows in every run."""
+    drawn = F.xxhash64(F.lit("sample"), *of)
     if total > most:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), *of), F.lit(1 << 30)) < int((1 << 30) * most / total))
-    return rows.limit(most)
+        rows = rows.where(F.pmod(drawn, F.lit(1 << 30)) < int((1 << 30) * most / total))
+    return rows.orderBy(drawn, *of).limit(most)
 
 
 def samples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
@@ -116,7 +117,7 @@ def samples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     n, n_toxic = own.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
     learn = small_batches(docs).select("doc_id", "text").where(fold("doc_id", 5) != 0)
     ids = _share(own.where("toxic = 1").select("doc_id"), MOST_TOXIC, n_toxic, F.col("doc_id"))
-    confirmed = learn.join(F.broadcast(ids), "doc_id").limit(MOST_TOXIC)
+    confirmed = learn.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64(F.lit("sample"), "doc_id", "text"), "doc_id").limit(MOST_TOXIC)
     unlabelled = _share(learn, MOST_UNLABELLED, learn.count(), F.col("doc_id"), F.xxhash64("text"))
     both = confirmed.select(F.lit(1).alias("toxic"), "text").unionByName(unlabelled.select(F.lit(0).alias("toxic"), "text"))
     rows = both.select("toxic", features(text_or_empty("text")).alias("features"))
