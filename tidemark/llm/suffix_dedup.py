@@ -14,6 +14,9 @@ gram that occurs once in the corpus needs no further look. What remains is sorte
    as well.
 4. Classes give their repeated starts back to all their documents, where covered bytes are merged and removed.
 
+Equality is told by bytes within a shard and by 128-bit digests elsewhere: of whole segments, whose gram then may have
+no other class and needs no sorting, and of single strings between the shards of a spread gram.
+
 Defined results: null and empty texts are no bytes; a row repeated whole is another document, so its strings repeat;
 ids may be null or shared, a row is found by id and text; an empty table gives an empty result.
 """
@@ -308,8 +311,12 @@ def without_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and whether anything was removed (``removed``): ``n_bytes`` is the length of the whole
+    text and says nothing about that."""
     cut = without_repeats(read(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select(
+        "doc_id", (F.col("n_removed") > 0).alias("removed"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
