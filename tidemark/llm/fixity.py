@@ -13,10 +13,11 @@ replicas have no differences.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read, text_or_empty, written_once
+from tidemark.operators.ordered import running_before
 
 #: Bits of the offset ranges within a file, bits by which ranges of files grow, and bits of the ids in one file.
 RANGE_BITS = (14, 18, 22, 26, 30)
@@ -134,8 +135,9 @@ def page_records(pages: DataFrame) -> DataFrame:
         record_digest(two).alias("replica_digest"),
         (kind == 2).alias("gone"),
     )
-    order = Window.partitionBy("file").orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return written_once(rows.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0))), "fixity-records")
+    # a frequent id fills a file with more rows than one task should window
+    placed = running_before(rows.withColumn("place", F.struct("key", "digest")), ["file"], "place", "length", "offset", "sum")
+    return written_once(placed.drop("place").withColumn("offset", F.coalesce("offset", F.lit(0))), "fixity-records")
 
 
 def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
