@@ -185,10 +185,10 @@ class Block:
         return self.finished(prefix_hashes(self.hashes[self.places], WORD_FACTOR, at, at + n), n)
 
     def checks(self, numbers):
-        """32 bits of the digests of words, given by their numbers: one row per word of the phrases."""
+        """32 bits of a digest of the language and the words, given by their numbers: one list per word of the phrases."""
         import numpy as np
 
-        out = np.zeros(len(numbers[0]), np.uint64)
+        out = np.full(len(numbers[0]), self.lang, np.uint64)
         for w in numbers:
             out = _mixed(out + self.digests[w])
         return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
