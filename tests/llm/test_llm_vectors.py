@@ -197,7 +197,7 @@ def test_query_equals_sql(spark, sf_dir, name):
 def test_entry_has_all(spark):
     import __spark_entry__ as e
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in e.queries() if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in e.queries() if q.startswith("op")}
     assert "pipeline" in e.queries()
 
 
