@@ -11,6 +11,7 @@ from tidemark.operators.decode import decode_events, decode_messages, decode_rej
 from tidemark.operators.validate import (
     check_records, dead_letter_report, dead_letters, letter_reasons, read_letters, recent_letters, short_error, valid_events,
 )
+from tidemark.plans.wire import QUERIES
 from tidemark.sources.contracts import packaged_schemas
 
 SCHEMAS = packaged_schemas()
@@ -61,6 +62,22 @@ def test_frame_ids_survive(spark):
     assert all(r.id == r.schema_id and bytes(r.payload) == b"xyz" and r.valid_magic for r in back.collect())
 
 
+def test_negative_ids_survive_and_longer_ones_keep_their_low_bytes(spark):
+    ids = spark.createDataFrame([(-1, -1), (-(2**31), -(2**31)), (2**32 + 5, 5), (-(2**32) + 7, 7), (2**31, -(2**31))], "id bigint, want int")
+    back = split_frames(ids.withColumn("value", wire.frame(F.col("id"), F.lit(b"xyz"))))
+    assert all(r.want == r.schema_id and bytes(r.payload) == b"xyz" for r in back.collect())
+
+
+def test_roundtrip_of_large_event_ids(spark, tmp_path):
+    """Ids past 271 181 make negative schema ids, past 542 352 ones beyond 32 bits."""
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(1)
+    numbers = [0, 271_181, 271_182, 542_352, 542_353, 6_000_000]
+    source.withColumn("event_id", F.explode(F.array(*[F.lit(n).cast("bigint") for n in numbers]))).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.n: r for r in QUERIES["frame_roundtrip"](spark, str(tmp_path)).collect()}
+    assert {n: r.schema_id for n, r in got.items()} == {n: (2**31 - 1 - n * 7919 + 2**31) % 2**32 - 2**31 for n in numbers}
+    assert all(r.payload.startswith("u") for r in got.values())
+
+
 def test_unregistered_schema_fails_fast(spark):
     with pytest.raises(ValueError):
         encode_events(spark.range(1), SCHEMAS, 7)

@@ -19,9 +19,9 @@ def has_header(value: Column) -> Column:
 
 
 def schema_id(value: Column) -> Column:
-    """Id in the header; null if the header is short or the id does not fit a signed 32-bit number."""
-    number = F.conv(F.hex(F.substring(value, 2, 4)), 16, 10).try_cast("int")
-    return F.when(has_header(value), number)
+    """Id in the header, its four bytes read as a signed number; null if the header is short."""
+    number = F.conv(F.hex(F.substring(value, 2, 4)), 16, 10).cast("bigint")
+    return F.when(has_header(value), F.when(number >= 2**31, number - 2**32).otherwise(number).cast("int"))
 
 
 def payload(value: Column) -> Column:
@@ -29,4 +29,6 @@ def payload(value: Column) -> Column:
 
 
 def frame(schema_id: Column, payload: Column) -> Column:
-    return F.concat(F.lit(MAGIC), F.unhex(F.lpad(F.hex(schema_id), 8, "0")), payload)
+    """A message under the low four bytes of ``schema_id``, which are the whole id of any 32-bit number."""
+    low = F.right(F.lpad(F.hex(schema_id), 16, "0"), F.lit(8))
+    return F.concat(F.lit(MAGIC), F.unhex(low), payload)

@@ -36,9 +36,9 @@ def _frames(spark, sf):
 
 
 def _roundtrip(spark, sf):
-    """Every event's id as schema id: framed, split, compared."""
+    """Every event's id as schema id: framed, split, compared. Numbers beyond 32 bits go by their low four bytes."""
     ev = events(spark, sf).select(F.col("event_id").cast("bigint").alias("n"), F.col("user_id").cast("binary").alias("body"))
-    spread = ev.withColumn("id", (F.lit(2**31 - 1) - F.col("n") * 7919).cast("int"))
+    spread = ev.withColumn("id", F.lit(2**31 - 1) - F.col("n") * 7919)
     framed = spread.withColumn("value", wire.frame(F.col("id"), F.col("body")))
     return split_frames(framed).select("n", F.col("schema_id"), F.col("payload").cast("string").alias("payload"))
 
