@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import to_micros
+from tidemark.operators import windows
 from tidemark.operators.profiles import latest_profile
 from tidemark.operators.windows import select_current_windows, windowed_features
 
@@ -112,6 +113,33 @@ def test_panes_equal_direct_with_a_hot_user(spark, window, slide):
     assert panes.exceptAll(direct).count() == 0 and direct.exceptAll(panes).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 2])
+@pytest.mark.parametrize("window,slide", [("5 minutes", "1 minute"), ("7 minutes", "3 minutes"), ("90 minutes", "40 minutes")])
+def test_windows_across_blocks(spark, monkeypatch, window, slide, block):
+    monkeypatch.setattr(windows, "BLOCK", block)
+    rng = random.Random(6)
+    rows = [
+        row(user=f"u{rng.randrange(3)}", kind=rng.choice(["view", "purchase"]), seconds=rng.randrange(-9000, 9000),
+            product=rng.choice([None, "a", "b"]), category=rng.choice([None, "x", "y"]))
+        for _ in range(300)
+    ]
+    ev = events(spark, rows + rows[:20])
+    panes = windowed_features(ev, window, slide, exact=True)
+    direct = windowed_features(ev, window, slide, exact=True, strategy="direct")
+    assert panes.exceptAll(direct).count() == 0 and direct.exceptAll(panes).count() == 0
+    sketched = windowed_features(ev, window, slide, strategy="panes").drop("distinct_products", "distinct_categories")
+    assert sketched.exceptAll(direct.drop("distinct_products", "distinct_categories")).count() == 0
+
+
+def test_tasks_follow_the_windows(spark, monkeypatch):
+    """Not the session's width: windows of ever more events would grow in each task."""
+    monkeypatch.setattr(windows, "ROWS", 50)
+    ev = events(spark, [row(user=f"u{i}", seconds=60 * i) for i in range(100)])
+    out = windowed_features(ev, "5 minutes", "1 minute", exact=True)
+    assert out.rdd.getNumPartitions() == 10
+    assert max(len(part) for part in out.rdd.glom().collect()) < 150
+
+
 def test_stream_refuses_exact(spark, sf_dir):
     stream = spark.readStream.schema(SCHEMA.replace("timestamp_ntz", "timestamp")).parquet(sf_dir)
     with pytest.raises(ValueError):

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import to_micros
 from tidemark.functions.money import money_merge, money_sums, money_total
+from tidemark.session import tasks_for
 
 # Output names and the event types they stand for.
 COUNTED = {"view_count": "view", "cart_count": "add_to_cart", "purchase_count": "purchase"}
 SUMMED = {"spend": "purchase", "refund_amount": "refund"}
 DISTINCT = {"distinct_products": "product_id", "distinct_categories": "category"}
 
-BLOCK = 256  # window lengths of one user and value that are put in order together
+BLOCK = 256  # window lengths of one user that are worked on together
+ROWS = 500_000  # (event, window) pairs that one task takes
 SKETCH_LG_K = 11  # about 1.8 % standard error, inside the 5 % the features promise
 
 
@@ -62,12 +64,14 @@ def windowed_features(
 
     ``strategy="direct"`` is Spark's own windowed aggregate: the only form a stream can use, and in
     batch the one with the same HyperLogLog++ distinct counts as the stream. It copies each event into
-    window/slide rows before the map-side combine.
+    window/slide rows before the map-side combine; a stream deals its events first to as many tasks as its
+    session shuffles into, so that width bounds what a task combines.
 
-    ``strategy="panes"`` (batch) combines events into panes first and copies panes, not events, so the
-    copying and the second shuffle shrink with event density; a user who owns a third of all events
-    still contributes at most one row per map task and pane. ``exact=True`` counts distincts exactly;
-    otherwise mergeable sketches are kept per pane.
+    ``strategy="panes"`` (batch) combines events into panes first and shuffles panes, not windows, so the
+    shuffles shrink with event density; a user who owns a third of all events still contributes at most
+    one row per map task and pane (and pair of counted values, if exact). ``exact=True`` counts distincts
+    exactly; otherwise mergeable sketches are kept per pane. It counts the events at once, to shuffle into as
+    many tasks as their windows ask for, whatever the session's width.
 
     ``auto``: streams and approximate batch counts go direct (one answer for both), exact batch counts
     go through panes.
@@ -85,6 +89,9 @@ def windowed_features(
 
 def _direct(events: DataFrame, window: str, slide: str, watermark: str, exact: bool) -> DataFrame:
     count = F.count_distinct if exact else F.approx_count_distinct
+    if events.isStreaming:
+        # a file may hold more events than one task should combine; times spread a hot user
+        events = events.repartition("user_id", "event_ts")
     agg = (
         events.withWatermark("event_ts", watermark)
         .groupBy(F.window("event_ts", window, slide).alias("span"), "user_id")
@@ -93,6 +100,11 @@ def _direct(events: DataFrame, window: str, slide: str, watermark: str, exact: b
     return _finish(agg.withColumns({"window_start": F.col("span.start"), "window_end": F.col("span.end")}))
 
 
+def _parts(events: DataFrame, copies: int) -> int:
+    """Tasks for the windows of as many events as there are, each in ``copies`` windows; counts them at once."""
+    return tasks_for(events.sparkSession, events.count() * copies, ROWS)
+
+
 def _paned(events: DataFrame, window: str, slide: str, exact: bool) -> DataFrame:
     length, step = to_micros(window), to_micros(slide)
     if step > length:
@@ -108,42 +120,39 @@ def _paned(events: DataFrame, window: str, slide: str, exact: bool) -> DataFrame
     def last_window(pane_at: Column) -> Column:
         return aligned(pane_at, step)
 
-    def to_windows(panes: DataFrame, first: Column, *carried: Column) -> DataFrame:
-        starts = F.sequence(first, last_window(F.col("pane")), F.lit(step).cast("bigint"))
-        return panes.select("user_id", F.explode(starts).alias("start"), *carried)
-
     placed = events.where(F.col("event_ts").isNotNull()).withColumn(
         "pane", aligned(F.unix_micros("event_ts"), pane)
     )
+    # Measures are combined map-side per pane; with exact counts, per pane and counted values. Panes then go to blocks
+    # of window starts, a pane whose windows lie in two blocks to both, and all windows of a block are made where its
+    # panes are: nothing is copied before the shuffle.
+    values = list(DISTINCT.values())
     if exact:
-        # Measures are combined once per (user, pane); of the counted values only keys travel. A value is counted once
-        # per window it occurs in: a pane announces it only to the windows that its previous pane with this value did
-        # not reach already. Only panes less than a window back matter, so groups are cut into blocks of time that
-        # repeat one window of the block before.
-        panes = placed.groupBy("user_id", "pane").agg(*_measures())
-        kept = [c for c in panes.columns if c not in ("user_id", "pane")]
-        items = [F.struct(F.lit(k).alias("item"), F.col(c).cast("string").alias("value")) for k, c in enumerate(DISTINCT.values(), 1)]
-        values = placed.select("user_id", "pane", F.inline(F.array(*items))).where(F.col("value").isNotNull()).distinct()
-        size = F.lit(BLOCK * length)
-        block = F.floor(F.col("pane") / size).cast("bigint")
-        again = F.col("pane") + F.lit(length) >= (block + 1) * size
-        blocks = values.withColumn("own", block).withColumn(
-            "block", F.explode(F.when(again, F.array(block, block + 1)).otherwise(F.array(block)))
-        )
-        before = F.lag("pane").over(Window.partitionBy("user_id", "item", "value", "block").orderBy("pane"))
-        first = F.greatest(first_window(F.col("pane")), last_window(F.col("before")) + F.lit(step))
-        fresh = blocks.withColumn("before", before).where("own = block").withColumn("first", first)
-        announced = to_windows(fresh.where(F.col("first") <= last_window(F.col("pane"))), F.col("first"), "item")
-        spread = to_windows(panes, first_window(F.col("pane")), *kept).unionByName(announced, allowMissingColumns=True)
-        distinct = [F.count_if(F.col("item") == k).alias(name) for k, name in enumerate(DISTINCT, 1)]
+        panes = placed.groupBy("user_id", "pane", *values).agg(*_measures())
     else:
         sketches = [F.hll_sketch_agg(F.col(source), SKETCH_LG_K).alias(name) for name, source in DISTINCT.items()]
         panes = placed.groupBy("user_id", "pane").agg(*_measures(), *sketches)
-        kept = [c for c in panes.columns if c not in ("user_id", "pane")]
-        spread = to_windows(panes, first_window(F.col("pane")), *kept)
+    size = F.lit(BLOCK * length)
+    ends = F.array(*[F.floor(at / size).cast("bigint") for at in (first_window(F.col("pane")), last_window(F.col("pane")))])
+    here = ["user_id", "block"]
+    blocks = panes.withColumn("block", F.explode(F.array_distinct(ends))).repartition(_parts(events, -(-length // step)), *here)
+    if exact:
+        # A value is counted once per window it occurs in: a pane brings it only to the windows that the pane before with
+        # this value did not reach already.
+        reached = {
+            f"_{name}": last_window(F.lag("pane").over(Window.partitionBy(*here, source).orderBy("pane")))
+            for name, source in DISTINCT.items()
+        }
+        blocks = blocks.withColumns(reached)
+        distinct = [
+            F.count_if(F.col(source).isNotNull() & F.coalesce(F.col("start") > F.col(f"_{name}"), F.lit(True))).alias(name)
+            for name, source in DISTINCT.items()
+        ]
+    else:
         distinct = [F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name) for name in DISTINCT]
-
-    agg = spread.groupBy("user_id", "start").agg(*_merged_measures(), *distinct)
+    starts = F.sequence(first_window(F.col("pane")), last_window(F.col("pane")), F.lit(step).cast("bigint"))
+    spread = blocks.withColumn("start", F.explode(starts)).where(F.floor(F.col("start") / size) == F.col("block"))
+    agg = spread.groupBy(*here, "start").agg(*_merged_measures(), *distinct)
     return _finish(
         agg.withColumns(
             {
