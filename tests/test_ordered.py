@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import serving
+from tidemark.operators import ordered
 from tidemark.operators.ordered import in_order, running_before
 
 SCHEMA = "u string, g string, seq bigint, v bigint"
@@ -59,6 +60,13 @@ def test_the_log_is_read_once(spark, tmp_path):
     assert str(tmp_path / "log") not in out._jdf.queryExecution().toString()  # read when the parts were written, not again
 
 
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Not the session's width: what a task puts in order would grow with the log."""
+    monkeypatch.setattr(ordered, "ROWS", 100)
+    rows = spark.range(2000).selectExpr("concat('u', id % 500) u", "'g' g", "id seq", "id % 7 v")
+    assert running_before(rows, ["u", "g"], "seq", "v", "before", parts=4).rdd.getNumPartitions() == 20
+
+
 def test_running_values_of_nothing(spark):
     assert running_before(spark.createDataFrame([], SCHEMA), ["u"], "seq", "v", "before").collect() == []
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import expiry
 from tidemark.operators import store as ops
+from tidemark.plans.store import _totals
 from tidemark.session import shared_dir
 from tidemark.sources.feature_store import FeatureStore
 
@@ -116,6 +117,22 @@ def test_parse_values(spark):
     assert all(got[t][0] == "text" and got[t][3] == t for t in ("ios", "1d", "", "p007"))
 
 
+def test_folds_join_nothing(spark):
+    """Fetching the settling rows by a join would shuffle every row of the log again; joins meet carried rows only."""
+    rows = [("u1", "a", 1, 1, 1, None), ("u1", "a", 2, 3, None, 5), ("u1", "a", 3, 2, 9, 9), ("u2", "a", 1, None, 4, 4), ("u1", "a", 2, 3, None, 7)]
+    out = ops.fold_log(log(spark, rows))
+    assert folded(out) == {("u1", "a"): {"f": 1, "h": 7, "guard": 3}}
+    assert "SortMergeJoin" not in out._jdf.queryExecution().toString()
+
+
+def test_totals_beyond_64_bits_are_kept(spark):
+    """Six million times a time in milliseconds passes 2**63."""
+    rows = [("u", f, str(v)) for f, v in (("at", 2**62), ("at", 2**62), ("at", 2**62), ("n", 2), ("n", -5), ("x", 0.5), ("x", 1.25))]
+    long = spark.createDataFrame(rows, "user_id string, field string, value string")
+    got = {r.field: (r.kind, r.values_read, r.int_total, r.double_total) for r in _totals(ops.parse_values(long)).collect()}
+    assert got == {"at": ("int", 3, None, 3.0 * 2**62), "n": ("int", 2, -3, None), "x": ("float", 2, None, 1.75)}
+
+
 def test_maps_and_keys(spark):
     rows = spark.createDataFrame([("u1", 2, "x")], "user_id string, b int, a string")
     assert list(ops.feature_maps(ops.to_long(rows)).first().features) == ["a", "b"]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import PARTS, running_before
-from tidemark.operators.store import LOG_COLUMNS, _presence, _settled, _unbeaten, feature_columns
+from tidemark.operators.store import _settled, _unbeaten, feature_columns
 from tidemark.session import written_once
 
 
@@ -65,4 +65,4 @@ def fold_with_expiry(log: DataFrame, ttl_seconds: int, on_null: str = "keep", pa
     ends = accepted.groupBy(F.col("user_id").alias("_user")).agg(F.max("life").alias("_lived"), F.max("write_ts").alias("_end"))
     own = F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("life") == F.col("_lived"))
     last = accepted.join(ends, own).withColumn("write_ts", F.col("_end")).select(*log.columns)
-    return _settled(last.select(*LOG_COLUMNS, *_presence(fields)), last, fields, on_null)
+    return _settled(last, fields, on_null)

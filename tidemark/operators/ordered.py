@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import written_once
+from tidemark.session import tasks_for, written_once
 
 #: As many parts as the session shuffles into.
 PARTS = 0
+ROWS = 500_000  # rows that one task puts in order
 FOLDS: dict[str, Callable[[str], Column]] = {"max": F.max, "sum": F.sum}
 
 
@@ -41,11 +42,14 @@ def _carried(placed: DataFrame, keys: list[str], value: str, fold: Callable[[str
 
 
 def running_over(placed: DataFrame, keys: list[str], order: str, value: str, out: str, how: str = "max") -> DataFrame:
-    """``running_before`` for rows of :func:`in_order`, which keep their ``_part``."""
+    """``running_before`` for rows of :func:`in_order`, which keep their ``_part``. As they are files, counting them reads
+    no rows; the groups within parts are dealt to as many tasks as there are rows for."""
     fold = FOLDS[how]
+    tasks = tasks_for(placed.sparkSession, placed.count(), ROWS)
     near = Window.partitionBy("_part", *keys).orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1)
     carried = written_once(_carried(placed, keys, value, fold), "carried")
-    joined = placed.withColumn("_near", fold(value).over(near)).join(F.broadcast(carried), F.col("_part") == F.col("_to"), "left")
+    dealt = placed.repartition(tasks, "_part", *keys)
+    joined = dealt.withColumn("_near", fold(value).over(near)).join(F.broadcast(carried), F.col("_part") == F.col("_to"), "left")
     far = F.when(F.struct(*keys).eqNullSafe(F.col("_key")), F.col("_far"))
     if how == "max":
         total = F.greatest("_near", far)

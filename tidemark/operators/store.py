@@ -58,57 +58,26 @@ def write_counts(marked: DataFrame) -> DataFrame:
     )
 
 
-#: Fields whose presence one number tells.
-_BITS = 62
+def _settled(accepted: DataFrame, fields: Sequence[str], on_null: str) -> DataFrame:
+    """One row per user and group from its accepted rows: each field as the row of the greatest seq has it, of rows with
+    equal seq the greatest value.
 
-
-def _presence(fields: Sequence[str]) -> list[Column]:
-    """Which fields of a row are not null, as bits of ``_has0``, ``_has1`` and so on."""
-    out = []
-    for k in range(0, max(1, len(fields)), _BITS):
-        bits = [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(fields[k : k + _BITS])]
-        out.append(sum(bits, F.lit(0)).cast("bigint").alias(f"_has{k // _BITS}"))
-    return out
-
-
-def _settled(accepted: DataFrame, rows: DataFrame, fields: Sequence[str], on_null: str) -> DataFrame:
-    """One row per user and group from ``accepted`` (keys, seq, guard, write_ts and ``_presence``) and the rows themselves.
-
-    The seq that settles each field is a maximum of fixed width, found in a hash aggregate without the fields. Only the
-    rows with such a seq, at most one per field, are fetched by an equi-join on (user, group, seq) and put together.
+    Rows with a ``_part`` (see ``ordered.in_order``) are put together per part first. They were windowed by the same keys
+    and are in their order, so this neither shuffles nor sorts nor holds them; a row per part, user and group is left.
     """
     if on_null not in ("keep", "replace"):
         raise ValueError("on_null must be 'keep' or 'replace'")
-    bit = [(f"_has{i // _BITS}", 1 << i % _BITS) for i in range(len(fields))]
-    keep = on_null == "keep"
-    held = [F.max(F.when(F.col(has).bitwiseAND(F.lit(b)) != 0, F.col("seq"))).alias(f"_at{i}") for i, (has, b) in enumerate(bit)]
-    newest = accepted.groupBy(*KEYS).agg(
-        F.max("seq").alias("_seq"), F.max("guard").alias("_guard"), F.max("write_ts").alias("_ts"), *(held if keep else [])
-    )
-    ats = F.array_distinct(F.array_compact(F.array("_seq", *[f"_at{i}" for i in range(len(fields) if keep else 0)])))
-
-    def settles(at: Column) -> Column:
-        masks = [F.lit(0).cast("bigint") for _ in range(0, max(1, len(fields)), _BITS)]
-        for i, (_, b) in enumerate(bit):
-            own = F.coalesce(F.col(f"_at{i}") == at, F.lit(False)) if keep else F.lit(True)
-            masks[i // _BITS] += F.when(own, F.lit(b)).otherwise(F.lit(0))
-        return F.struct(at.alias("at"), *[m.alias(f"for{k}") for k, m in enumerate(masks)])
-
-    wanted = newest.select(
-        *[F.col(k).alias(f"_{k}") for k in KEYS], "_seq", "_guard", "_ts", F.explode(F.transform(ats, settles)).alias("_w")
-    )
-    own = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS]
-    found = rows.join(wanted, [*own, F.col("seq") == F.col("_w.at")])
-    held = found.groupBy(*KEYS).agg(
-        F.max("_seq").alias("seq"), F.max("_guard").alias("guard"), F.max("_ts").alias("write_ts"),
-        F.collect_list(F.struct(F.col("_w").alias("w"), *fields)).alias("_rows"),
-    )
 
-    def settled(i: int, name: str) -> Column:
-        mine = F.filter("_rows", lambda r: r["w"][f"for{i // _BITS}"].bitwiseAND(F.lit(1 << i % _BITS)) != 0)
-        return F.array_max(F.transform(mine, lambda r: r[name])).alias(name)  # one row, or equal ones of a repeated write
+    def last(name: str) -> Column:
+        held = F.struct("seq", F.col(name).alias("value"))
+        return F.max(F.when(F.col(name).isNotNull(), held) if on_null == "keep" else held).alias(name)
 
-    return held.select(*KEYS, "seq", "guard", "write_ts", *[settled(i, c) for i, c in enumerate(fields)])
+    newest = [F.max(c).alias(c) for c in ("seq", "guard", "write_ts")]
+    first = ["_part"] if "_part" in accepted.columns else []
+    held = accepted.groupBy(*first, *KEYS).agg(*newest, *[last(c) for c in fields])
+    if first:
+        held = held.groupBy(*KEYS).agg(*newest, *[F.max(c).alias(c) for c in fields])
+    return held.select(*KEYS, "seq", "guard", "write_ts", *[F.col(c)["value"].alias(c) for c in fields])
 
 
 def fold(marked: DataFrame, on_null: str = "keep") -> DataFrame:
@@ -118,19 +87,17 @@ def fold(marked: DataFrame, on_null: str = "keep") -> DataFrame:
     present fields does. ``replace``: the last accepted row wins whole. The result is itself a log frame,
     so a fold can be folded again with later rows.
     """
-    fields, accepted = feature_columns(marked), marked.where("accepted")
-    return _settled(accepted.select(*LOG_COLUMNS, *_presence(fields)), accepted, fields, on_null)
+    return _settled(marked.where("accepted"), feature_columns(marked), on_null)
 
 
 def fold_log(log: DataFrame, on_null: str = "keep", parts: int | None = PARTS) -> DataFrame:
-    """:func:`fold` of a log, which is read once: its rows are written in order, and the guards' running maximum and the
-    choice of rows see no feature columns. This runs jobs at once; ``parts=None`` does not, see ``running_before``."""
+    """:func:`fold` of a log, which is read once: its rows are written in order, in parts, and judged and folded within
+    them. This runs jobs at once; ``parts=None`` does not, see ``running_before``."""
     fields, guarded = feature_columns(log), log.where(F.col("guard").isNotNull())
     if parts is None:
         return fold(mark_accepted(log, parts), on_null)
     rows = in_order(guarded, [*KEYS, "seq", "guard"], parts)
-    seen = running_over(rows.select(*LOG_COLUMNS, "_part", *_presence(fields)), KEYS, "seq", "guard", "_seen")
-    return _settled(seen.where(_unbeaten()), rows.drop("_part"), fields, on_null)
+    return _settled(running_over(rows, KEYS, "seq", "guard", "_seen").where(_unbeaten()), fields, on_null)
 
 
 def compact(snapshot: DataFrame, later: DataFrame, on_null: str = "keep", parts: int | None = PARTS) -> DataFrame:
