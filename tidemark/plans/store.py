@@ -62,12 +62,21 @@ def _long(spark, sf):
 
 def _parsed(spark, sf):
     """The text form read back, summed up per field: text is compared by value, not by spelling."""
-    parsed = ops.parse_values(_long(spark, sf))
-    return parsed.groupBy("field", "kind").agg(
+    return _totals(ops.parse_values(_long(spark, sf)))
+
+
+def _totals(parsed):
+    """Whole numbers are summed exactly; a total that no 64-bit number holds stands in ``double_total`` instead."""
+    sums = parsed.groupBy("field", "kind").agg(
         F.count(F.lit(1)).alias("values_read"),
-        F.sum("int_value").alias("int_total"),
+        F.sum(F.col("int_value").cast("decimal(20,0)")).alias("whole"),
         F.sum(F.col("double_value").cast("decimal(18,4)")).cast("double").alias("double_total"),
     )
+    total = F.col("whole").try_cast("bigint")
+    beyond = F.when(total.isNull(), F.col("whole").cast("double"))
+    return sums.select(
+        "field", "kind", "values_read", total.alias("int_total"), F.coalesce("double_total", beyond).alias("double_total")
+    )
 
 
 def _text(spark, sf):
