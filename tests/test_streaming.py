@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.decode import encode_events, events_of, replayed
 from tidemark.operators.expiry import mark_lives
 from tidemark.operators.windows import windowed_features
+from tidemark.plans import streams
 from tidemark.session import shared_dir, streaming_session
 from tidemark.sources.contracts import packaged_schemas
 from tidemark.sources.events import event_source
@@ -50,6 +51,13 @@ def test_late_rows_are_judged_per_window(spark, window, slide, kept, lost):
         assert seen[2][("u1", "12:20")] == 2 and seen[2][("u1", "13:10")] == 2
 
 
+def test_width_follows_the_events(spark, monkeypatch):
+    """State and comparison of ever more events would grow in each of a fixed number of tasks."""
+    monkeypatch.setattr(streams, "ROWS_PER_TASK", 100)
+    assert int(streams._session(spark, spark.range(2000)).conf.get("spark.sql.shuffle.partitions")) == 20
+    assert int(streams._session(spark, spark.range(1)).conf.get("spark.sql.shuffle.partitions")) == spark.sparkContext.defaultParallelism
+
+
 def test_replayed_batch_changes_nothing(spark):
     store = FeatureStore(spark, shared_dir(spark, "replay"))
     now = F.lit(NOON).cast("timestamp")
