@@ -405,6 +405,21 @@ def test_suffix_dedup(spark, monkeypatch, classes):
     assert got == suffix_truth(rows, 100)
 
 
+def test_suffix_dedup_query_goes_by_400_bytes(spark, tmp_path):
+    """Of two repeated passages of 57 words, the one of 399 bytes stays; ``n_bytes`` is the whole text's length."""
+    rnd = random.Random(8)
+    make = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(57))
+    short, long = make() + "x", make() + "xy"
+    assert (len(short), len(long)) == (399, 400)
+    rows = [(i, f"{i} {i * 7919}{p}{i}" + "-" * i, None, None) for i, p in enumerate([short, short, long, long, make(), "", long])]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = suffix_dedup.op4_suffix_dedup(spark, str(tmp_path)).collect()
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out)
+    assert got == [(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in suffix_truth(rows, 400)]
+    assert [r.doc_id for r in sorted(out) if r.removed] == [2, 3, 6]
+    assert [n for _, n, *_ in got] == [len(t) for _, t, *_ in rows]
+
+
 def test_anchors_of_a_text_do_not_depend_on_blocks(monkeypatch):
     raw = bytes(random.Random(7).choice(b"abcdefgh ") for _ in range(5000))
     whole = [np.concatenate(x) for x in zip(*suffix_dedup.anchors(raw, 400))]
