@@ -291,6 +291,20 @@ def test_files_of_a_batch_are_bounded_by_buckets(spark):
     assert sorted(r.f for b in range(3) for r in store.fold("profile", bucket=b).collect()) == list(range(400))
 
 
+def test_files_of_a_batch_without_adaptive_execution(spark):
+    """As sinks of stateful streams write: each task had a file in each bucket, with a megabyte of filter in each."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    store = FeatureStore(session, shared_dir(spark, "files"), buckets=3)
+    rows = session.range(400).select(F.concat(F.lit("u"), "id").alias("user_id"), F.lit(5).cast("bigint").alias("last_seen_ms"), F.col("id").alias("f"))
+    store.append(rows.repartition(40), "profile", 0, F.lit(T).cast("timestamp"))
+    store.compact()
+    for part in (store.log("profile", [0]), store.snapshot("profile", 1)):
+        files = part.select("_metadata.file_path", "_metadata.file_size").distinct().collect()
+        assert len(files) == 3 and max(r.file_size for r in files) < 50_000
+    assert [r.f for r in store.fold("profile", ["u17"]).collect()] == [17]
+
+
 def test_log_vectors_equal_joined_folds(spark):
     rows = random_log(9, 200)
     frame = log(spark, rows)

@@ -10,10 +10,10 @@ Layout below one root::
 A batch counts once its folder holds the marker that Spark writes last. Compaction stops before the first batch
 without one, so a batch in flight is folded by a later compaction, and vacuum deletes only what was folded.
 
-A batch is rebalanced by bucket before it is written, so its files are as many as its buckets and its size ask for,
+A batch is dealt by bucket before it is written, so its files are as many as its buckets and its size ask for,
 whatever the number of tasks before. A lookup prunes to its users' buckets, in snapshots and in the log, and Parquet's
-bloom filters on ``user_id`` skip the row groups of the files that are left. A user has one row per batch, which
-bounds what a fold holds of one user.
+bloom filters on ``user_id``, sized by the users there are, skip the row groups of the files that are left. A user has
+one row per batch, which bounds what a fold holds of one user.
 """
 
 from __future__ import annotations
@@ -26,6 +26,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.store import GUARDS, feature_columns, fold_log, log_vectors, to_log
 
+# A filter of a fixed size would take a megabyte in every file; of these 16, each half the one before it,
+# the smallest that holds the users of a row group is written.
+BLOOM = {
+    "parquet.bloom.filter.enabled#user_id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.bloom.filter.candidates.number#user_id": "16",
+}
+
 
 class FeatureStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64, on_null: str = "keep",
@@ -73,11 +81,12 @@ class FeatureStore:
         log = to_log(rows, grp, batch_id, guard or GUARDS.get(grp, "window_end_ms"), now).drop("grp")
         (
             log.withColumn("bucket", self._bucket(F.col("user_id")))
+            .repartition("bucket")  # the sinks of stateful streams run without adaptive execution, which drops the hint
             .hint("rebalance", "bucket")
             .sortWithinPartitions("bucket", "user_id")
             .write.mode("overwrite")
             .option("maxRecordsPerFile", self.rows_per_file)
-            .option("parquet.bloom.filter.enabled#user_id", "true")
+            .options(**BLOOM)
             .partitionBy("bucket")
             .parquet(f"{self.root}/log/grp={grp}/batch_id={batch_id}")
         )
@@ -172,7 +181,7 @@ class FeatureStore:
                 .sortWithinPartitions("bucket", "user_id")
                 .write.mode("overwrite")
                 .option("maxRecordsPerFile", self.rows_per_file)
-                .option("parquet.bloom.filter.enabled#user_id", "true")
+                .options(**BLOOM)
                 .partitionBy("bucket")
                 .parquet(f"{self.root}/snapshot/version={version + 1}/grp={grp}")
             )
