@@ -1,4 +1,6 @@
 import datetime as dt
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +213,43 @@ def test_state_read_back(spark, tmp_path):
     assert [(r.operator_id, r.rows) for r in rows] == [(0, 10)]  # five windows each
 
 
+def test_a_job_that_ends_keeps_no_stores_and_shuffles(spark, tmp_path):
+    """Stores stayed open on their executors, and shuffles on disk, as many as state partitions and batches."""
+    local = [spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())]
+    local += [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def held(pattern):
+        return {p for d in local for p in Path(d).rglob(pattern)}
+
+    rows = [(str(i), f"u{i}", "view", "p", "c", 1.0, NOON + dt.timedelta(minutes=i), "web") for i in range(20)]
+    for number in range(2):
+        spark.createDataFrame(rows[10 * number : 10 * number + 10], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/n={number}")
+    session = streaming_session(spark, 2, once=True)
+    before = held("CURRENT"), held("shuffle_*.data")
+    store = FeatureStore(session, f"{tmp_path}/store")
+    stream = event_source(session, "parquet", f"{tmp_path}/in/*", {"maxFilesPerTrigger": "1"}, SCHEMA)
+    queries = jobs.run_features(stream, store, f"{tmp_path}/c", now=F.lit(NOON).cast("timestamp"))
+    for _ in range(50):  # removal does not wait
+        left = held("CURRENT") - before[0], held("shuffle_*.data") - before[1]
+        if not any(left):
+            break
+        time.sleep(0.2)
+    assert left == (set(), set())
+    assert [q.isActive for q in queries] == [False] * 3 and store.vectors().count() == 20
+
+
+def test_state_of_a_window_follows_what_it_holds(spark, tmp_path):
+    """A window with one product took 832 bytes of registers."""
+    put(spark, f"{tmp_path}/in", ("u1", 0), ("u2", 1))
+    session = streaming_session(spark, 2)
+    run(session, f"{tmp_path}/in", str(tmp_path / "c"), "5 minutes", "1 minute")
+    state = session.read.format("statestore").load(str(tmp_path / "c" / "w")).select("value.*")
+    state = state.toDF(*[f"c{i}" for i in range(len(state.columns))])
+    sketches = [f.name for f in state.schema.fields if f.dataType.typeName() == "binary"]
+    widest = state.select(F.max(F.greatest(*[F.length(c) for c in sketches]))).first()[0]
+    assert len(state.columns) < 30 and len(sketches) == 2 and widest <= 40
+
+
 def test_expiring_state_equals_the_batch(spark, tmp_path):
     rows = [("u", "5m", 0, 9, 0), ("u", "5m", 1, 5, 30), ("v", "1h", 2, 3, 40), ("u", "1h", 3, 1, 50), ("u", "5m", 4, 5, 109), ("u", "5m", 5, 4, 170), ("v", "1h", 6, 1, 200)]
     log = spark.createDataFrame([(u, g, s, guard, NOON + dt.timedelta(minutes=m)) for u, g, s, guard, m in rows], LOG)

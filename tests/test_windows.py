@@ -179,3 +179,13 @@ def test_latest_profile_breaks_ties_by_event_id(spark):
     ev = events(spark, [row(device=d) for d in ("web", "ios", "android")])
     ids = F.when(F.col("device") == "ios", "z").otherwise("a")
     assert latest_profile(ev.withColumn("event_id", ids)).first().last_device == "ios"
+
+
+def test_some_distinct_values_are_counted_to_one(spark):
+    """Hundred products in a window: registers of 5 % would miss one in twenty windows by more than that."""
+    ev = spark.range(4000).selectExpr(
+        "concat('u', id div 100) as user_id", "'view' as event_type", "concat('p', id) as product_id", "concat('c', id % 30) as category",
+        "1.0D as amount", "timestamp'2024-05-01 12:00:00' as event_ts",
+    )
+    rows = windowed_features(ev, "5 minutes", "5 minutes").collect()
+    assert len(rows) == 40 and all(abs(r.distinct_products - 100) <= 1 and r.distinct_categories == 30 for r in rows)
